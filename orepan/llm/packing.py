@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
 from .tokens import encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_to long"
@@ -140,4 +141,4 @@ def pack(docs: DataFrame, vocabulary: str, *, end_id: int, size: int = 2048, id_
         if rows:
             yield flush()
 
-    return d.mapInArrow(run, SCHEMA + (", ids binary" if with_ids else ""))
+    return map_arrow(d, run, SCHEMA + (", ids binary" if with_ids else ""))

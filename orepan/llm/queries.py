@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_files
+from . import packing, simhash, token_files
 from .common import table
 
 
@@ -18,8 +18,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), token_files.vocabulary_path("word_bpe_49k.json"), end_id=1, size=2048)
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, radius=3)
+    return found.select("doc_id", simhash.hex64("fp").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op8_packing)}
+    return {f.__name__: f for f in (op1_token_files, op8_packing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

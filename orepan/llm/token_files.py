@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import open_fs, shared_dir, written
+from .common import map_arrow, open_fs, shared_dir, written
 from .tokens import encoder
 
 MAGIC = b"TOKZ0001"
@@ -106,7 +106,7 @@ def write_token_files(
                 out.append(packer.compress(x))
             yield pa.RecordBatch.from_arrays([pa.array(files), ids, pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["file_no", "doc_id", "n", "frame"])
 
-    coded = d.mapInArrow(frames, "file_no int, doc_id long, n long, frame binary")
+    coded = map_arrow(d, frames, "file_no int, doc_id long, n long, frame binary")
     # equal rows are alike, so any order among them gives the same file
     placed = coded.repartitionById(len(cuts) + 1, F.col("file_no")).sortWithinPartitions("file_no", F.col("doc_id").asc_nulls_first(), F.crc32("frame"), "n")
 
@@ -123,7 +123,7 @@ def write_token_files(
         if out is not None:
             yield out.close()
 
-    return written(placed.mapInArrow(write, "file_no int, path string, docs long, tokens long, dict_sha256 string"), "token-manifest")
+    return written(map_arrow(placed, write, "file_no int, path string, docs long, tokens long, dict_sha256 string"), "token-manifest")
 
 
 class _Writer:
@@ -194,7 +194,7 @@ def read_token_files(manifest: DataFrame, dictionary: bytes, *, with_ids: bool =
     ``start`` counts the ids of all documents before it over all files: the files' own totals are
     summed (one row per file), the rest is a running sum inside each file.
     """
-    files = manifest.withColumn("base", F.sum("tokens").over(W.orderBy("file_no").rowsBetween(W.unboundedPreceding, -1))).select("path", F.coalesce("base", F.lit(0)).alias("base"))
+    files = manifest.withColumn("base", F.sum("tokens").over(W.orderBy("file_no").rowsBetween(W.unboundedPreceding, -1))).select("file_no", "path", F.coalesce("base", F.lit(0)).alias("base"))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
     if with_ids:
         schema.add("ids", T.BinaryType())
@@ -213,7 +213,7 @@ def read_token_files(manifest: DataFrame, dictionary: bytes, *, with_ids: bool =
 
     # files are dealt out again since a few small manifest parts would put them on a few tasks
     n = manifest.count()
-    return files.repartitionById(max(1, n), F.monotonically_increasing_id().cast("int")).mapInArrow(read, schema)
+    return map_arrow(files.repartitionById(max(1, n), F.col("file_no")).select("path", "base"), read, schema)
 
 
 def token_round_trip(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
