@@ -12,11 +12,12 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import islice
 
 import numpy as np
 
 #: Chunks kept by one Python worker, and the longest chunk worth keeping (characters).
-CACHED_CHUNKS = 1_000_000
+CACHED_CHUNKS = 1_500_000
 LONGEST_CHUNK = 64
 
 _READY: dict[str, "ChunkEncoder"] = {}
@@ -37,10 +38,15 @@ class _Chunks(dict):
             ids = np.asarray(self.encode(chunk), dtype="<u4").tobytes()
         if len(chunk) <= LONGEST_CHUNK:
             if len(self) >= self.keep:
-                self.clear()
+                self.forget_later_half()
             self[chunk] = ids
         return ids
 
+    def forget_later_half(self):
+        """Chunks met first tend to be the frequent ones, so the younger half goes."""
+        for chunk in list(islice(self, len(self) // 2, None)):
+            del self[chunk]
+
 
 #: White space other than the space and the line feed.
 _ODD_SPACE = re.compile("[\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -58,6 +64,10 @@ class ChunkEncoder:
         self.special = [t["content"] for t in spec.get("added_tokens", ())]
         # either the space belongs to the word after it, or the pre-tokenizer removes it
         self.space_kept = '"Removed"' not in json.dumps(spec.get("pre_tokenizer"))
+        mark = self._ids("\0")
+        self.mark = mark[0] if len(mark) == 1 else -1
+        self.opens = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
+        self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True  # byte-level name of the space
         marks = {c: np.asarray(self._ids(c), dtype="<u4").tobytes() for c in ".,"}
         self.first = _Chunks(self._ids, marks, keep // 8 if self.space_kept else keep)
         self.rest = _Chunks(lambda chunk: self._ids(" " + chunk), marks, keep) if self.space_kept else self.first
@@ -97,16 +107,27 @@ class ChunkEncoder:
         new = {c[:-1] if c[-1:] in marks and c[-2:-1].isalpha() else c for c in seen if c not in known}
         new = [c for c in new if c and c not in known and len(c) <= LONGEST_CHUNK]
         if len(known) + len(new) > known.keep:
-            known.clear()
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            given = [" " + c for c in part] if self.space_kept else part
-            for c, found in zip(part, self.tokenizer.encode_batch_fast(given, add_special_tokens=False)):
-                known[c] = np.asarray(found.ids, dtype="<u4").tobytes()
+            known.forget_later_half()
+        for i in range(0, len(new), 200):
+            self._learn(new[i : i + 200])
         del seen, new
         return [self.encode(text) for text in texts]
 
 
+    def _learn(self, chunks: list[str]) -> None:
+        """Encode chunks in one text, with borders that can be told apart in the ids."""
+        plain = [c for c in chunks if not (c[0].isspace() or c[-1].isspace() or "\0" in c)]
+        text = " " + " ".join(plain) if self.space_kept else " \0 ".join(plain + [""])
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        # the first id of a chunk holds the space before it; or the mark's own id follows each chunk
+        at = np.flatnonzero(self.opens[ids] if self.space_kept else ids == self.mark)
+        if len(at) != len(plain):
+            return  # each is then encoded alone when it is asked for
+        lo, hi = (at, np.append(at[1:], len(ids))) if self.space_kept else (np.append(0, at[:-1] + 1)[: len(at)], at)
+        raw = ids.tobytes()
+        self.rest.update((c, raw[x:y]) for c, x, y in zip(plain, (4 * lo).tolist(), (4 * hi).tolist()))
+
+
 def encoder(path: str) -> ChunkEncoder:
     """The encoder of this Python worker: loaded and filled once, used by all its tasks."""
     if path not in _READY:
