@@ -5,15 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, simhash, token_files
-from .common import table
+from . import lm, packing, simhash, token_files
+from .common import crc_of_id, table
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_round_trip(spark, table(spark, sf_dir, "documents"), token_files.vocabulary_path("byte_bpe_50k.json"), end_id=2)
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.pmod(crc_of_id("doc_id"), F.lit(7))
+    found = lm.score_texts(table(spark, sf_dir, "documents"), learn=fold != 2, fold=fold == 3)
+    return found.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), token_files.vocabulary_path("word_bpe_49k.json"), end_id=1, size=2048)
 
@@ -24,7 +31,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op8_packing, op10_simhash)}
+    return {f.__name__: f for f in (op1_token_files, op6_lm, op8_packing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
