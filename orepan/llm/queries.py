@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm, packing, simhash, token_files
+from . import lm, packing, simhash, token_files, toxicity
 from .common import crc_of_id, table
 
 
@@ -15,6 +15,16 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_round_trip(spark, table(spark, sf_dir, "documents"), token_files.vocabulary_path("byte_bpe_50k.json"), end_id=2)
 
 
+TOXIC_AT = 0.7
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(crc_of_id("doc_id"), F.lit(3)) == 1
+    model = toxicity.train(*toxicity.training_sample(docs, table(spark, sf_dir, "labels"), learn=~held_out))
+    return toxicity.score_texts(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
+
+
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.pmod(crc_of_id("doc_id"), F.lit(7))
     found = lm.score_texts(table(spark, sf_dir, "documents"), learn=fold != 2, fold=fold == 3)
@@ -31,7 +41,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op6_lm, op8_packing, op10_simhash)}
+    return {f.__name__: f for f in (op1_token_files, op3_toxicity, op6_lm, op8_packing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
