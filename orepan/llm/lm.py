@@ -8,11 +8,12 @@ with weights that depend on the bucket b of log2 c(v).  The weights are learned
 maximisation on held-out counts: one fold of the learning texts is deleted from the counts and
 scored with the rest.
 
-How the counts travel.  The input is cut into parts of ``part_bytes`` of text, each held in one
-task.  A part sends each of its distinct n-grams once, with its count, as sorted and delta-coded
-blocks to the bucket of the n-gram's hash.  A bucket adds up and answers each part, leaving out
-n-grams whose count the part knows already since no other part has them.  So the shuffles carry
-distinct n-grams of parts, no task or driver ever holds the corpus' counts, and all texts count.
+How the counts travel.  The input is cut into parts of ``part_bytes`` of text, which are written
+once so that every later step sees the same parts.  A part sends each of its distinct n-grams once,
+with its count, as sorted and delta-coded blocks to the bucket of the n-gram's hash.  A bucket adds
+up and answers each part with what the others have, in the order the part sent its n-grams, so an
+answer holds no keys and is mostly zeros.  So the shuffles carry distinct n-grams of parts, no task
+or driver ever holds the corpus' counts, and all texts count.
 
 Null and blank texts have the end token alone.  Repeated rows count as often as they stand there.
 Rows with a null id learn and score like others (``learn`` decides; a null there means no).  An empty
@@ -97,6 +98,20 @@ def _unblock(raw: bytes) -> list[np.ndarray]:
     return out
 
 
+def _counts(*counts: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(_shuffled(c.astype("<u4")) for c in counts))
+
+
+def _uncounts(raw: bytes, kinds: int) -> list[np.ndarray]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    size = len(raw) // kinds
+    return [_unshuffled(raw[k * size : (k + 1) * size], size // 4, "<u4").astype(np.int64) for k in range(kinds)]
+
+
 def _pack_docs(ids: list, learn: list, texts: list[bytes]) -> bytes:
     import zstandard
 
@@ -124,11 +139,12 @@ def _counted(keys: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return all_keys[order], np.concatenate([counts, np.zeros(len(rest), np.int64)])[order]
 
 
-PARTS = "part long, fold boolean, bucket int, block binary, docs binary"
+PARTS = "part long, fold boolean, docs binary"
+BLOCKS = "bucket int, part long, fold boolean, block binary"
 
 
-def _send(batches, buckets: int, part_bytes: int):
-    """Cut the task's rows into parts; per part its documents, and its n-grams by bucket."""
+def _split(batches, part_bytes: int):
+    """Cut the task's rows into parts; those of the fold are kept apart."""
     from pyspark import TaskContext
 
     number = TaskContext.get().partitionId() << 24
@@ -139,17 +155,7 @@ def _send(batches, buckets: int, part_bytes: int):
         nonlocal number
         rows, number = held[fold], number + 1
         held[fold], size[fold] = [], 0
-        ids, learn, texts = zip(*rows)
-        uni, bi, n = _keys(texts)
-        learns = np.repeat(np.array(learn, dtype=bool), n)
-        out = [(number, fold, -1, None, _pack_docs(ids, learn, texts))]
-        counted = [_counted(uni, learns), _counted(bi, learns)]
-        edges = [np.searchsorted(((k >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1)) for k, _ in counted]
-        for b in range(buckets):
-            blocks = [_block(k[e[b] : e[b + 1]], c[e[b] : e[b + 1]]) for (k, c), e in zip(counted, edges)]
-            if any(e[b] < e[b + 1] for e in edges):
-                out.append((number, fold, b, struct.pack("<I", len(blocks[0])) + b"".join(blocks), None))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary()))], ["part", "fold", "bucket", "block", "docs"])
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([fold]), pa.array([_pack_docs(*zip(*rows))], pa.binary())], ["part", "fold", "docs"])
 
     for batch in batches:
         for doc_id, learn, fold, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
@@ -162,12 +168,29 @@ def _send(batches, buckets: int, part_bytes: int):
             yield part(fold)
 
 
+def _send(batches, buckets: int):
+    """The distinct n-grams of each part, by bucket."""
+    for batch in batches:
+        for number, fold, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            docs = _unpack_docs(raw)
+            uni, bi, n = _keys(docs.column("text").to_pylist())
+            learns = np.repeat(docs.column("learn").to_numpy(), n)
+            counted = [_counted(uni, learns), _counted(bi, learns)]
+            edges = [np.searchsorted(((k >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1)) for k, _ in counted]
+            out = []
+            for b in range(buckets):
+                if any(e[b] < e[b + 1] for e in edges):
+                    blocks = [_block(k[e[b] : e[b + 1]], c[e[b] : e[b + 1]]) for (k, c), e in zip(counted, edges)]
+                    out.append((b, number, fold, struct.pack("<I", len(blocks[0])) + b"".join(blocks)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.bool_(), pa.binary()))], ["bucket", "part", "fold", "block"])
+
+
 def _pair(block: bytes) -> tuple[list, list]:
     (first,) = struct.unpack_from("<I", block)
     return _unblock(block[4 : 4 + first]), _unblock(block[4 + first :])
 
 
-REPLIES = "part long, fold boolean, block binary, tokens long, fold_tokens long, distinct long"
+REPLIES = "part long, fold boolean, bucket int, block binary, tokens long, fold_tokens long, distinct long"
 
 
 def _answer(batches):
@@ -191,11 +214,11 @@ def _answer(batches):
                 where = inverse[lo : lo + len(x[0])]
                 lo += len(x[0])
                 mine = counts[lo - len(x[0]) : lo]
-                differ = (total[where] != mine) | (parts[i][1] & (folded[where] != mine))
-                replies[i].append(_block(x[0][differ], total[where][differ], *([folded[where][differ]] if parts[i][1] else [])))
-        rows = [(p[0], p[1], struct.pack("<I", len(r[0])) + r[0] + r[1], None, None, None) for p, r in zip(parts, replies)] + [(None, None, None, tokens, fold_tokens, distinct)]
-        types = (pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["part", "fold", "block", "tokens", "fold_tokens", "distinct"])
+                # how many the others have; a part of the fold also hears of the fold's other parts
+                replies[i].append(_counts(total[where] - mine, *([folded[where] - mine] if parts[i][1] else [])))
+        rows = [(p[0], p[1], at, struct.pack("<I", len(r[0])) + r[0] + r[1], None, None, None) for p, r in zip(parts, replies)] + [(None, None, None, None, tokens, fold_tokens, distinct)]
+        types = (pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["part", "fold", "bucket", "block", "tokens", "fold_tokens", "distinct"])
 
     for batch in batches:
         for bucket, part, fold, block in zip(*(batch.column(i).to_pylist() for i in range(4))):
@@ -211,15 +234,9 @@ def _answer(batches):
 def _lookup(keys: np.ndarray, learn: np.ndarray, replies: list[list[np.ndarray]], fold: bool) -> tuple[np.ndarray, np.ndarray | None]:
     """For every token: its n-gram's count over the corpus, and (in a fold part) over the fold."""
     distinct, inverse = np.unique(keys, return_inverse=True)
-    count = np.bincount(inverse[learn], minlength=len(distinct))  # what the part knows itself
-    folded = count.copy() if fold else None
-    for r in replies:
-        if len(r[0]):
-            at = np.searchsorted(distinct, r[0])
-            count[at] = r[1]
-            if fold:
-                folded[at] = r[2]
-    return count[inverse], folded[inverse] if fold else None
+    own = np.bincount(inverse[learn], minlength=len(distinct))  # what the part knows itself
+    count = own + np.concatenate([r[0] for r in replies])
+    return count[inverse], (own + np.concatenate([r[1] for r in replies]))[inverse] if fold else None
 
 
 def bucket_of(context: np.ndarray) -> np.ndarray:
@@ -241,15 +258,16 @@ def _before(counts: np.ndarray, starts: np.ndarray, end_count: int) -> np.ndarra
 
 
 def _by_part(batches, work):
-    """Rows come sorted by part, replies before documents; ``work(fold, replies, docs)`` per part."""
+    """Rows come sorted by part, replies in bucket order before documents; ``work(fold, replies, docs)`` per part."""
     at, replies = None, ([], [])
     for batch in batches:
         for part, fold, block, docs in zip(*(batch.column(i).to_pylist() for i in range(4))):
             if part != at:
                 at, replies = part, ([], [])
             if block is not None:
-                for k, x in enumerate(_pair(block)):
-                    replies[k].append(x)
+                (first,) = struct.unpack_from("<I", block)
+                for k, x in enumerate((block[4 : 4 + first], block[4 + first :])):
+                    replies[k].append(_uncounts(x, 2 if fold else 1))
             if docs is not None:
                 yield from work(fold, replies, _unpack_docs(docs))
 
@@ -334,15 +352,16 @@ def score_texts(docs: DataFrame, *, learn: Column, fold: Column, id_col: str = "
         F.col(id_col).cast("long").alias("doc_id"), learns.alias("learn"), (learns & F.coalesce(fold, F.lit(False))).alias("fold"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
     )
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = written(map_arrow(d, partial(_send, buckets=buckets, part_bytes=part_bytes), PARTS), "lm-parts")
-    asked = parts.where("bucket >= 0").select("bucket", "part", "fold", "block").repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
+    parts = written(map_arrow(d, partial(_split, part_bytes=part_bytes), PARTS), "lm-parts")
+    asked = map_arrow(parts, partial(_send, buckets=buckets), BLOCKS).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
     replies = written(map_arrow(asked, _answer, REPLIES), "lm-replies")
     stats = replies.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "fold_tokens", "distinct"))).first()
     tokens, fold_tokens, distinct = (int(x) for x in stats)
 
-    rows = replies.where("part is not null").select("part", "fold", "block", F.lit(None).cast("binary").alias("docs")).unionByName(parts.where("bucket < 0").select("part", "fold", F.lit(None).cast("binary").alias("block"), "docs"))
-    # replies first (their documents column is null), then the part's documents
-    together = lambda x: x.repartition(F.col("part")).sortWithinPartitions("part", F.col("docs").isNotNull())
+    none = F.lit(None)
+    rows = replies.where("part is not null").select("part", "fold", "bucket", "block", none.cast("binary").alias("docs")).unionByName(parts.select("part", "fold", none.cast("int").alias("bucket"), none.cast("binary").alias("block"), "docs"))
+    # replies first in bucket order, then the part's documents
+    together = lambda x: x.repartition(F.col("part")).sortWithinPartitions("part", F.col("bucket").asc_nulls_last()).drop("bucket")
     histogram = map_arrow(together(rows.where("fold")), partial(_heldout, tokens=tokens, fold_tokens=fold_tokens, distinct=distinct), "cell long, n long")
     # at most BUCKETS times the square of the ratio steps cells, whatever the input
     weights = learn_weights([tuple(r) for r in histogram.groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").collect()])
