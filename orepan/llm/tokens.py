@@ -12,7 +12,8 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import islice
+from itertools import compress, islice
+from operator import not_
 
 import numpy as np
 
@@ -100,19 +101,37 @@ class ChunkEncoder:
                 group, size = [], 0
         yield from self._group(group)
 
-    def _group(self, texts: list[str]):
-        known, marks, seen = self.rest, self.rest.marks, set()
+    def _group(self, texts: list[str]) -> list[bytes]:
+        known, marks = self.rest, self.rest.marks
+        get = known.get
+        cut, found, new = [], [], set()
         for text in texts:
-            seen.update(text.split(" "))
-        new = {c[:-1] if c[-1:] in marks and c[-2:-1].isalpha() else c for c in seen if c not in known}
-        new = [c for c in new if c and c not in known and len(c) <= LONGEST_CHUNK]
+            if self._whole(text) or any(s in text for s in self.special):
+                cut.append(None)
+                found.append(None)
+                continue
+            chunks = text.split(" ")
+            ids = list(map(get, chunks))
+            new.update(compress(chunks, map(not_, ids)))
+            cut.append(chunks)
+            found.append(ids)
         if len(known) + len(new) > known.keep:
             known.forget_later_half()
+        new = {c[:-1] if c[-1:] in marks and c[-2:-1].isalpha() else c for c in new}
+        new = [c for c in new if c and c not in known and len(c) <= LONGEST_CHUNK]
         for i in range(0, len(new), 200):
             self._learn(new[i : i + 200])
-        del seen, new
-        return [self.encode(text) for text in texts]
-
+        out = []
+        for text, chunks, ids in zip(texts, cut, found):
+            if chunks is None:
+                out.append(self.encode(text))
+                continue
+            for i in list(compress(range(len(ids)), map(not_, ids))):
+                ids[i] = known[chunks[i]] if chunks[i] or self.space_kept else b""
+            if self.space_kept:
+                ids[0] = self.first[chunks[0]] if text else b""
+            out.append(b"".join(ids))
+        return out
 
     def _learn(self, chunks: list[str]) -> None:
         """Encode chunks in one text, with borders that can be told apart in the ids."""
