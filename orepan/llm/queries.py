@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lm, packing, sharding, simhash, token_files, topk, toxicity, warc
+from . import decontam, line_dedup, lm, packing, sharding, simhash, token_files, topk, toxicity, warc
 from .common import crc_of_id, table
 
 
@@ -34,6 +34,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), words=50).select("doc_id", "text", "removed_lines")
+
+
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.pmod(crc_of_id("doc_id"), F.lit(7))
     found = lm.score_texts(table(spark, sf_dir, "documents"), learn=fold != 2, fold=fold == 3)
@@ -58,7 +62,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_topk, op3_toxicity, op4_sharding, op6_lm, op7_warc, op8_packing, op9_decontamination, op10_simhash)}
+    return {f.__name__: f for f in (op1_token_files, op2_topk, op3_toxicity, op4_sharding, op5_line_dedup, op6_lm, op7_warc, op8_packing, op9_decontamination, op10_simhash)}
 
 
 ORACLE = {

@@ -184,3 +184,17 @@ def score_texts(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_c
     """``doc_id, score`` for every row: the probability of the toxic class."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return map_arrow(d, partial(_score, model=model), "doc_id long, score double")
+
+
+def keep_below(docs: DataFrame, model: Model, at: float, *, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is below ``at``; texts are scored where they are read, no join is made."""
+    names = docs.columns
+    schema = docs.schema
+
+    def run(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column(names.index(text_col)).to_pylist()]
+            ok = np.concatenate([model.scores(texts[lo : lo + 1000]) for lo in range(0, len(texts), 1000)] or [np.empty(0)]) < at
+            yield batch.filter(pa.array(ok))
+
+    return map_arrow(docs, run, schema)
