@@ -87,13 +87,29 @@ class ItemIndex:
         self.block_max = [[max(x[i : i + block]) for i in range(0, len(x), block)] for x in self.impacts]
         self.most = np.array([max(x) for x in self.impacts])
         self.upper = self.most.tolist()
-        # largest impact of each term in each of at most 64 equal ranges of items
-        self.range = max(8, -(-len(self.ids) // 64))
-        self.range_max = np.zeros((len(postings), -(-len(self.ids) // self.range)), dtype=np.float32)
+        # largest impact of each term in equal ranges of items: at most 32 wide ones and 256 narrow ones
+        self.range_max, self.narrow_max = (self._ranges(postings, n) for n in (32, 256))
+        # Terms of little weight: all of them in one item weigh `light` at most, so a passage whose other
+        # terms stay below the threshold less that cannot reach it.
+        self.light, self.heavy = 0.0, dict(self.vocabulary)
+        for cut in (0.1, 0.07, 0.05, 0.03, 0.02, 0.01, 0.005):
+            mass = np.zeros(max(1, len(self.ids)))
+            for t, x in enumerate(postings):
+                if self.upper[t] < cut:
+                    for item, impact in x:
+                        mass[item] += impact
+            if mass.max() <= 0.2:
+                self.light = float(mass.max())
+                self.heavy = {w: t for w, t in self.vocabulary.items() if self.upper[t] >= cut}
+                break
+
+    def _ranges(self, postings, most: int) -> np.ndarray:
+        size = max(1, -(-len(self.ids) // most))
+        out = np.zeros((len(postings), -(-len(self.ids) // size)), dtype=np.float32)
         for t, x in enumerate(postings):
             for item, impact in x:
-                r = item // self.range
-                self.range_max[t, r] = max(self.range_max[t, r], impact * (1 + 1e-6))
+                out[t, item // size] = max(out[t, item // size], impact * (1 + 1e-6))
+        return out
 
     def retrieve(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All (item number, score) with a score of at least ``threshold`` for the distinct ``terms``."""
@@ -150,7 +166,7 @@ OUT = "doc_id long, item_id long, passages int, score double, question_overlap d
 def search_text(text: str, index: ItemIndex, stride: int, threshold: float, question_at: float, answer_at: float) -> list[tuple]:
     """Verified items of one text: (item id, passages, best score, and its two overlaps)."""
     words = words_of(text)
-    ids = np.fromiter(map(index.vocabulary.get, words, repeat(-1)), np.int64, len(words))
+    ids = np.fromiter(map(index.heavy.get, words, repeat(-1)), np.int64, len(words))
     hit = np.flatnonzero(ids >= 0)
     if not len(hit):
         return []
@@ -163,11 +179,10 @@ def search_text(text: str, index: ItemIndex, stride: int, threshold: float, ques
     bins[stretch[first]] = np.add.reduceat(index.range_max[terms], first, axis=0)
     reach = (bins[:-1] + bins[1:]).max(axis=1)
     best: dict[int, list] = {}
-    for w in np.flatnonzero(reach >= threshold):
+    for w in np.flatnonzero(reach >= threshold - index.light):
         lo, hi = int(w) * stride, (int(w) + 2) * stride
-        inside = np.unique(ids[lo:hi])
-        inside = inside[inside >= 0]
-        if index.range_max[inside].sum(axis=0).max() < threshold:
+        inside = np.array(sorted({index.vocabulary[x] for x in words[lo:hi] if x in index.vocabulary}))
+        if index.narrow_max[inside].sum(axis=0).max() < threshold:
             continue
         pairs = None
         for item, score in index.retrieve(inside.tolist(), threshold):
