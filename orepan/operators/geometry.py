@@ -22,6 +22,10 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(sum(((F.get(a, F.lit(i)) - F.get(b, F.lit(i))) * (F.get(a, F.lit(i)) - F.get(b, F.lit(i))) for i in (1, 2)), (F.get(a, F.lit(0)) - F.get(b, F.lit(0))) * (F.get(a, F.lit(0)) - F.get(b, F.lit(0)))))
 
 
+def _shifted(steps: Column, name: str) -> Column:
+    return F.transform(steps, lambda d: F.col(name) + d)
+
+
 def _area(p: Column, q: Column, r: Column) -> Column:
     a = [F.get(q, F.lit(i)) - F.get(p, F.lit(i)) for i in range(3)]
     b = [F.get(r, F.lit(i)) - F.get(p, F.lit(i)) for i in range(3)]
@@ -81,7 +85,7 @@ def match_triangles(index: DataFrame, query: DataFrame, *, tolerance: float = TO
         F.struct("i", "j", "k").alias("q"), F.col("points").alias("q_points"), "type_key", "b0", "b1", "b2"
     )
     for x in range(3):
-        q = q.withColumn(f"b{x}", F.explode(F.transform(around, lambda d, x=x: F.col(f"b{x}") + d)))
+        q = q.withColumn(f"b{x}", F.explode(_shifted(around, f"b{x}")))
     if candidates is not None:
         index = index.join(candidates, "object_id", "left_semi")
     met = index.join(F.broadcast(q), ["type_key", "b0", "b1", "b2"])
@@ -168,7 +172,7 @@ def contacts(left: DataFrame, right: DataFrame, radius: float, by: str = "struct
     around = F.array(*(F.lit(d) for d in (-1, 0, 1)))
     a = left.select(by, F.col("id").alias("left_id"), *(F.col(c).alias(f"l{c}") for c in "xyz"), *(v.alias(k) for k, v in cell.items()))
     for c in "xyz":
-        a = a.withColumn(f"g{c}", F.explode(F.transform(around, lambda d, c=c: F.col(f"g{c}") + d)))
+        a = a.withColumn(f"g{c}", F.explode(_shifted(around, f"g{c}")))
     b = right.select(by, F.col("id").alias("right_id"), *(F.col(c).alias(f"r{c}") for c in "xyz"), *(v.alias(k) for k, v in cell.items()))
     d = F.sqrt(sum(((F.col(f"l{c}") - F.col(f"r{c}")) * (F.col(f"l{c}") - F.col(f"r{c}")) for c in "xyz"), F.lit(0.0)))
     return a.join(b, [by, "gx", "gy", "gz"]).withColumn("distance", d).where(F.col("distance") <= radius).select(by, "left_id", "right_id", "distance")

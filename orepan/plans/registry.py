@@ -4,3 +4,18 @@ from __future__ import annotations
 
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+
+def query(sql: str | None):
+    """Registers a query under its function's name, with the DuckDB SQL of the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+from . import queries as _queries  # noqa: E402, F401
