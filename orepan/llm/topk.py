@@ -31,28 +31,28 @@ from .common import map_arrow, written
 
 
 #: After which shares of the open rest the proof is tried.
-TRIES = (0.5, 0.35, 0.25, 0.15, 0.08, 0.0)
+TRIES = (0.12, 0.0)
 
 
 class ImpactIndex:
     """Posting segments of one block of candidates (``x``: whole numbers, rows in id order).
 
-    Segment s holds, ascending, the rows whose dimension ``dim[s]`` has level ``level[s]``.
+    A segment is a dimension and a level; ``codes[d]`` says for each row which of dimension d's segments
+    holds it, so that all segments of one band of impacts are added in one pass over a dimension.
     """
 
-    def __init__(self, x: np.ndarray, width: int = 4):
+    def __init__(self, x: np.ndarray, width: int = 2):
         self.x, self.width = x.astype(np.float64), width  # exact for whole numbers below 2^53
         level = (x - x.min(axis=0)) // width
-        self.rows, dim, found, size = [], [], [], []
+        codes, found = [], []
         for d in range(x.shape[1]):
-            order = np.argsort(level[:, d], kind="stable").astype(np.int32)
-            values, first = np.unique(level[order, d], return_index=True)
-            self.rows += np.split(order, first[1:])
-            dim.append(np.full(len(values), d))
+            values, code = np.unique(level[:, d], return_inverse=True)
+            codes.append(code.astype(np.uint16 if len(values) < 1 << 16 else np.uint32))
             found.append(values)
-        self.dim, self.level = np.concatenate(dim), np.concatenate(found)
-        self.size = np.fromiter(map(len, self.rows), np.int64, len(self.rows))
-        self.first = np.flatnonzero(np.r_[True, self.dim[1:] != self.dim[:-1]])
+        self.codes, self.level = codes, np.concatenate(found)
+        sizes = np.array([len(v) for v in found])
+        self.dim, self.first = np.repeat(np.arange(len(found)), sizes), np.cumsum(sizes) - sizes
+        self.end = self.first + sizes
         self.top = np.maximum.reduceat(self.level, self.first)
 
     def possible(self, q: np.ndarray, k: int, enough: int) -> np.ndarray:
@@ -70,17 +70,21 @@ class ImpactIndex:
         below[1:][up[1:] & same] = gain[:-1][up[1:] & same]
         below[:-1][~up[:-1] & same] = gain[1:][~up[:-1] & same]
         order = np.argsort(-gain, kind="stable")
-        left = np.maximum.reduceat(gain, self.first).sum() - np.cumsum((gain - below)[order])
+        whole = np.maximum.reduceat(gain, self.first).sum()
+        left = whole - np.cumsum((gain - below)[order])
         slack = weight[self.first].sum() * (self.width - 1)
-        total, done = np.zeros(n), 0
-        used = int((gain > 0).sum())
+        kind = np.int32 if whole + slack < 1 << 31 else np.int64
+        total, step, done, used = np.zeros(n, dtype=kind), np.empty(n, dtype=kind), 0, int((gain > 0).sum())
         for share in TRIES:
-            upto = min(int(np.searchsorted(-left, -share * (left[0] + gain[order[0]]))) + 1, used) if share else used
+            upto = min(int(np.searchsorted(-left, -share * whole)) + 1, used) if share else used
             if upto > done:
-                part = order[done:upto]
-                total += np.bincount(np.concatenate([self.rows[s] for s in part]), np.repeat(gain[part], self.size[part]), n)
+                band = np.zeros(len(gain), dtype=kind)
+                band[order[done:upto]] = gain[order[done:upto]]
+                for d in np.unique(self.dim[order[done:upto]]):
+                    np.take(band[self.first[d] : self.end[d]], self.codes[d], out=step, mode="clip")
+                    total += step
                 done = upto
-            rest = (left[done - 1] if done else 0) + slack
+            rest = (left[done - 1] if done else whole) + slack
             kth = np.partition(total, n - k)[n - k]
             # the k-th sum is reached by k candidates for sure; who cannot reach it is out
             open_ = np.flatnonzero(total + rest >= kth)
