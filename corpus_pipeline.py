@@ -49,7 +49,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training windows of 2048 ids: one row per piece of a document."""
-    return packing.pack(docs, token_files.vocabulary_path("word_bpe_49k.json"), end_id=1, size=2048)
+    return packing.pack(docs, token_files.vocabulary_path("word_bpe_49k.json"), end_id=1, size=2048, cached_chunks=400_000)
 
 
 STAGES = [

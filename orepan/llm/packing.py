@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow
-from .tokens import encoder
+from .tokens import CACHED_CHUNKS, encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_to long"
 
@@ -84,11 +84,11 @@ class SumOfSquares:
         return self.size if left >= self.size else 1 << (left.bit_length() - 1) if left else 0
 
 
-def pack(docs: DataFrame, vocabulary: str, *, end_id: int, size: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, *, end_id: int, size: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cached_chunks: int = CACHED_CHUNKS) -> DataFrame:
     """One row per piece: which ids of which document lie where in which sequence.
 
     No shuffle: every input part is packed by the task that reads it, and ``sequence_id`` is that
-    part's number and a running number.  ``with_ids`` adds the ids themselves (little-endian).
+    part's number and a running number.  ``with_ids`` adds the ids themselves (little-endian); ``cached_chunks`` bounds a worker's memory.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     names = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -96,7 +96,7 @@ def pack(docs: DataFrame, vocabulary: str, *, end_id: int, size: int = 2048, id_
     def run(batches):
         from pyspark import TaskContext
 
-        enc, tail = encoder(vocabulary), np.asarray([end_id], dtype="<u4").tobytes()
+        enc, tail = encoder(vocabulary, cached_chunks), np.asarray([end_id], dtype="<u4").tobytes()
         packer, sequence = SumOfSquares(size), TaskContext.get().partitionId() << 33
         held: dict[int, list] = {}  # row -> [doc_id, bytes, ids not yet given out]
         rows, row = [], 0

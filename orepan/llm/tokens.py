@@ -18,7 +18,7 @@ from operator import not_
 import numpy as np
 
 #: Chunks kept by one Python worker, and the longest chunk worth keeping (characters).
-CACHED_CHUNKS = 1_500_000
+CACHED_CHUNKS = 1_000_000
 LONGEST_CHUNK = 64
 
 _READY: dict[str, "ChunkEncoder"] = {}
@@ -147,9 +147,9 @@ class ChunkEncoder:
         self.rest.update((c, raw[x:y]) for c, x, y in zip(plain, (4 * lo).tolist(), (4 * hi).tolist()))
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, keep: int = CACHED_CHUNKS) -> ChunkEncoder:
     """The encoder of this Python worker: loaded and filled once, used by all its tasks."""
     if path not in _READY:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark owns the cores
-        _READY[path] = ChunkEncoder(path)
+        _READY[path] = ChunkEncoder(path, keep)
     return _READY[path]

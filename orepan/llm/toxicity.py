@@ -9,7 +9,7 @@ Training takes a bounded sample of the labelled rows (``sample_docs`` rows in a
 at most ``sample_chars`` characters); scoring takes every whole text.  Since the softmax is linear,
 a word's share of the score is one number, which each Python worker keeps per word.
 
-Null and blank texts have the score of an empty bag (the bias alone).  Labels that are null, and
+Null and blank texts have the score of an empty bag: the toxic share of the sample.  Labels that are null, and
 labelled rows without a document, are left out; if a document has several labels each counts.  With
 no usable labels, or one class only, every text has that class's share as score (0 if none).  Repeated rows
 are scored alike; an empty table gives no rows.
@@ -27,6 +27,9 @@ from pyspark.sql import Window as W
 
 from .common import map_arrow
 
+#: Words kept by one Python worker.
+CACHED_WORDS = 300_000
+
 #: Characters cut from both ends of a word.
 EDGE = ".,;:!?\"'()[]{}*#$%&-_"
 
@@ -80,11 +83,11 @@ class Model:
         for words in split:
             seen.update(words)
         new = [w for w in seen if w not in known]
-        if len(known) + len(new) > 1_000_000:
+        if len(known) + len(new) > CACHED_WORDS:
             known.clear()
             new = list(seen)
-        for lo in range(0, len(new), 50_000):
-            part = new[lo : lo + 50_000]
+        for lo in range(0, len(new), 20_000):
+            part = new[lo : lo + 20_000]
             subs, n = subwords(part, len(self.share))
             total = np.add.reduceat(self.share[subs].astype(np.float64), np.cumsum(n) - n)
             pairs = np.stack([total, n.astype(np.float64)], axis=1).astype("<f4")
@@ -118,8 +121,9 @@ def train(texts: list[str], labels: list[int], *, buckets: int = 1 << 18, dim: i
     rng = np.random.default_rng(seed)
     emb = (rng.standard_normal((buckets, dim)) * 0.05).astype(np.float32)
     soft = (rng.standard_normal((dim, 2)) * 0.5).astype(np.float32)
+    # the bias stays at the classes' shares, which is then the score of an empty bag
     bias = np.log(np.bincount(y, minlength=2) / len(y)).astype(np.float32)
-    seen_emb, seen = np.zeros(buckets, np.float32), {"soft": np.zeros_like(soft), "bias": np.zeros_like(bias)}
+    seen_emb, seen_soft = np.zeros(buckets, np.float32), np.zeros_like(soft)
     usual, weight = 1e-12, np.array([1.0, toxic_weight])
     epochs = max(epochs, -(-least_steps * batch // len(y)))
     for epoch in range(epochs):
@@ -149,14 +153,13 @@ def train(texts: list[str], labels: list[int], *, buckets: int = 1 << 18, dim: i
             touched = np.flatnonzero(per_sub)
             own = per_sub[touched]
             seen_emb[touched] += own * own
-            small = {"soft": np.stack([-pull, pull], axis=1), "bias": np.array([-g.sum(), g.sum()], np.float32)}
+            grad = np.stack([-pull, pull], axis=1)
             # each embedding's step is its share of the gradient over its own past size; what is seldom
             # seen is measured by the usual size, so that rare n-grams don't learn texts by heart
             usual += float(own @ own) / len(own)
             emb[touched] -= (lr * own / np.sqrt(seen_emb[touched] + usual))[:, None] * (slope / (np.linalg.norm(slope) + 1e-9))[None, :]
-            for k, value in (("soft", soft), ("bias", bias)):
-                seen[k] += small[k] * small[k]
-                value -= 0.2 * lr * small[k] / (np.sqrt(seen[k]) + 1e-9)
+            seen_soft += grad * grad
+            soft -= 0.2 * lr * grad / (np.sqrt(seen_soft) + 1e-9)
     return Model((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
