@@ -47,7 +47,7 @@ def subwords(words: list[str], buckets: int, shortest: int = 3, longest: int = 6
     left = np.repeat(np.cumsum(size), size) - np.arange(len(codes))  # characters to the word's end
     found, owners = [], []
     rolled = np.zeros(len(codes), dtype=np.uint64)
-    for n in range(1, longest + 1):
+    for n in range(1, min(longest, len(codes)) + 1):
         # hash of the n characters from each place on
         rolled[: len(codes) - n + 1] = rolled[: len(codes) - n + 1] * np.uint64(0x100000001B3) + codes[n - 1 :]
         if n >= shortest:
