@@ -105,7 +105,7 @@ def read_docking(spark: SparkSession, path: str, score: str = r"RESULT:\s+(-?\d+
 def scan_files(spark: SparkSession, path: str, suffixes: list[str], max_bytes: int = 64 << 20) -> DataFrame:
     """All files below ``path``: relative name, size, digest, and why one would be skipped.
 
-    Contents of files over the size cap are never read: the length comes from the listing.
+    Spark's scan leaves out files of no bytes.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
@@ -134,7 +134,7 @@ assay_id:string,replicate_group_id:string,target_identity:string,compound_parent
 
 def iso_date(text: Column) -> Column:
     """The date of a canonical ISO text, null for any other form."""
-    day = F.try_to_date(text, F.lit("yyyy-MM-dd"))
+    day = F.try_to_date(text, "yyyy-MM-dd")
     return F.when(F.date_format(day, "yyyy-MM-dd") == text, day)
 
 
