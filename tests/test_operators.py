@@ -208,3 +208,56 @@ def test_altloc_and_clusters(spark):
     assert {(r.atom, r.altloc, r.tied) for r in geometry.choose_altloc(a, ("structure_id", "atom")).collect()} == {("CA", "A", 2), ("CB", "B", 1)}
     p = spark.createDataFrame([("s", "D", 0.0, 0.0, 0.0), ("s", "D", 1.0, 0.0, 0.0), ("s", "D", 5.0, 0.0, 0.0), ("s", "A", 1.0, 0.0, 0.0)], "structure_id string, type string, x double, y double, z double")
     assert sorted((r.type, r.x, r.members) for r in geometry.cluster_points(p).collect()) == [("A", 1.0, 1), ("D", 0.5, 2), ("D", 5.0, 1)]
+
+
+def test_overlay_and_coherent_mapping(spark):
+    import numpy as np
+
+    from orepan.operators import overlay
+
+    rng = np.random.default_rng(0)
+    p = rng.normal(size=(6, 3))
+    c, s = np.cos(0.7), np.sin(0.7)
+    q = p @ np.array([[c, -s, 0], [s, c, 0], [0, 0, 1]]).T + (1, 2, 3)
+    m = overlay.rigid_overlay(p, q)
+    assert np.allclose(p @ m[:3, :3].T + m[:3, 3], q)
+    # the second match would map point 0 to another partner, so it does not count
+    mapping, chosen = overlay.coherent_mapping([(0.1, (0, 1, 2), (0, 1, 2)), (0.0, (0, 1, 3), (5, 1, 3)), (0.2, (0, 2, 3), (0, 2, 3))], p, q, 1e-6)
+    assert mapping == {0: 0, 1: 1, 2: 2, 3: 3} and sorted(chosen) == [0, 2]
+    rows = [("demo", 0, [(t, [x[0] + 10, x[1], x[2]]) for t, x in QUERY])]
+    objects = library(spark, rows)
+    index = geometry.binned(geometry.triangles(objects))
+    best = geometry.best_matches(geometry.match_triangles(index, geometry.binned(geometry.triangles(library(spark, [("q", 0, QUERY)])))))
+    r = overlay.coherent_hits(best, objects, [x for _, x in QUERY]).first()
+    assert (r.coverage, r.matches) == (1.0, 4) and r.overlay[0][3] == pytest.approx(-10)
+
+
+def test_sequence_verification(spark):
+    from orepan.operators import overlay
+
+    assert overlay.align("ACGT", "ACGT") == (8, 4, 4) and overlay.align("", "AC")[0] == -4
+    pairs = spark.createDataFrame([("a", "MKTV", "MKTV"), ("b", "KT", "MKTV"), ("c", "MKTVAAAAAAAAAAAAAAAA", "MKTVAAAAAAAAAAAAAAAC"), ("d", "WWWW", "MKTV"), ("d", "WWWW", "WWWWQ")], "k string, observed string, reference string")
+    assert {r.k: r.status for r in overlay.verify_identity(pairs, "k").collect()} == {"a": "EXACT", "b": "PARTIAL", "c": "VARIANT", "d": "PARTIAL"}
+
+
+def test_structure_checks(spark):
+    from orepan.operators import structures
+
+    atoms = spark.createDataFrame(
+        [("s", 1, "A", 1, "", "ALA", a, i, "", "C", False, float(i), 0.0, 0.0) for i, a in enumerate(["N", "CA", "C"])] + [("s", 1, "A", 2, "", "GLY", "CA", 3, "A", "C", False, 3.0, 0.0, 0.0), ("s", 1, "B", 9, "", "LIG", "C1", 4, "", "C", True, 4.0, 0.0, 0.0), ("s", 1, "B", 10, "", "ZN", "ZN", 5, "", "ZN", True, 9.0, 0.0, 0.0)],
+        "structure_id string, model int, chain string, resnum int, icode string, resname string, atom string, serial int, altloc string, element string, het boolean, x double, y double, z double",
+    )
+    letters = spark.createDataFrame([("ALA", "A"), ("GLY", "G")], "resname string, letter string")
+    r = structures.inspect(atoms, letters, ["ZN"]).where("chain = 'A'").first()
+    assert (r.residues, r.sequence, r.broken_backbone, r.altlocs) == (2, "AG", 1, 1)
+    classes = spark.createDataFrame([("ZN", "metal")], "resname string, class string")
+    assert structures.first_reject(structures.classify_residues(atoms, classes)).first().reject == "metal"
+    expected = spark.createDataFrame([("GLY", "N"), ("GLY", "CA"), ("ALA", "N")], "resname string, atom string")
+    m = structures.missing_atoms(atoms, expected, spark.createDataFrame([("s", 0.0, 0.0, 0.0)], "structure_id string, cx double, cy double, cz double"), 2.0).collect()
+    assert [(x.resname, x.missing, x["inside"]) for x in m] == [("GLY", ["N"], False)]
+    bonds = structures.bond_edges(spark.createDataFrame([("s", 2, [4, 99]), ("s", 4, [2])], "structure_id string, serial int, others array<int>"), atoms)
+    assert {(x.a, x.b, x.kind) for x in bonds.collect()} == {(2, 4, "covalent"), (2, 99, "unresolved")}
+    chains = spark.createDataFrame([("s", "A", "AG"), ("s", "B", "AG")], "structure_id string, chain string, sequence string")
+    wanted = spark.createDataFrame([("s", "AG"), ("s", "XX")], "structure_id string, sequence string")
+    assert {x.sequence: x.status for x in structures.assign_chains(wanted, chains).collect()} == {"AG": "AMBIGUOUS", "XX": "MISSING"}
+    assert structures.element_counts(atoms).first().elements == {"C": 5, "ZN": 1}
