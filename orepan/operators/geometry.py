@@ -210,24 +210,27 @@ def choose_altloc(atoms: DataFrame, key: tuple[str, ...], tie: float = 1e-6) ->
 def cluster_points(points: DataFrame, threshold: float = 1.5, by: str = "structure_id") -> DataFrame:
     """Greedy clusters of same-type points by running centroid, in (type, position) order.
 
-    The rule is sequential inside a structure, whose points are few; structures run in parallel.
+    The rule is sequential inside a structure, whose points are few; structures are rows, many to a batch.
     """
     import pandas as pd
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for kind, group in pdf.sort_values(["type", "x", "y", "z"]).groupby("type", sort=True):
-            centers: list[list[float]] = []
-            for x, y, z in group[["x", "y", "z"]].itertuples(index=False):
-                for c in centers:
-                    if ((c[0] - x) ** 2 + (c[1] - y) ** 2 + (c[2] - z) ** 2) ** 0.5 <= threshold:
-                        n = c[3]
-                        c[:] = [(c[0] * n + x) / (n + 1), (c[1] * n + y) / (n + 1), (c[2] * n + z) / (n + 1), n + 1]
-                        break
-                else:
-                    centers.append([x, y, z, 1])
-            out += [(pdf[by].iloc[0], kind, *c) for c in centers]
-        return pd.DataFrame(out, columns=[by, "type", "x", "y", "z", "members"])
+    def clusters(points):
+        centers: list[list] = []
+        for kind, x, y, z in points:
+            for c in centers:
+                if c[0] == kind and ((c[1] - x) ** 2 + (c[2] - y) ** 2 + (c[3] - z) ** 2) ** 0.5 <= threshold:
+                    n = c[4]
+                    c[1:] = [(c[1] * n + x) / (n + 1), (c[2] * n + y) / (n + 1), (c[3] * n + z) / (n + 1), n + 1]
+                    break
+            else:
+                centers.append([kind, x, y, z, 1])
+        return centers
+
+    def run(batches):
+        for pdf in batches:
+            out = [(s, *c) for s, p in zip(pdf[by], pdf["p"]) for c in clusters([(q["type"], q["x"], q["y"], q["z"]) for q in p])]
+            yield pd.DataFrame(out, columns=[by, "type", "x", "y", "z", "members"])
 
     kind = dict(points.dtypes)[by]
-    return points.groupBy(by).applyInPandas(run, f"{by} {kind}, type string, x double, y double, z double, members long")
+    rows = points.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("type", "x", "y", "z"))).alias("p"))
+    return rows.mapInPandas(run, f"{by} {kind}, type string, x double, y double, z double, members long")

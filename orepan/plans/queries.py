@@ -482,3 +482,128 @@ def required_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users whose events hold view, click and purchase in order without a failure of the one that is due."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.struct("ts", "event_id").alias("seq"), F.col("event_type").alias("tool"), (F.col("value") >= 1).alias("ok"))
     return runs.required_subsequence(e, list(STAGES))
+
+
+# --- further operators ------------------------------------------------------------------------
+
+
+@query("WITH a AS (SELECT event_type AS k, user_id, event_id, value FROM events), r AS (SELECT user_id % 50 AS c, event_id % 7 AS rep, CAST(sum(CAST(value AS DECIMAL(18, 6))) AS DOUBLE) AS v, count(*) AS n FROM a WHERE event_id % 2 = 0 GROUP BY ALL), s AS (SELECT user_id % 50 AS c, event_id % 7 AS rep, CAST(sum(CAST(value AS DECIMAL(18, 6))) AS DOUBLE) AS v, count(*) AS n FROM a WHERE event_id % 2 = 1 GROUP BY ALL) SELECT count(*) FILTER (r.v IS NOT NULL AND s.v IS NOT NULL) AS common, count(*) FILTER (r.v IS NULL OR s.v IS NULL) AS unmatched, round(avg(CASE WHEN r.v IS NOT NULL AND s.v IS NOT NULL THEN CAST(r.n = s.n AS INTEGER) END), 6) AS equal_share, round(median(s.v) FILTER (r.v IS NOT NULL) / median(r.v) FILTER (s.v IS NOT NULL), 6) AS ratio FROM r FULL JOIN s ON r.c = s.c AND r.rep = s.rep")
+def compare_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over common keys: equal outputs and the ratio of medians."""
+    e = table(spark, sf_dir, "events").withColumns({"c": F.col("user_id") % 50, "rep": F.col("event_id") % 7})
+    run = lambda k: e.where(F.col("event_id") % 2 == k).groupBy("c", "rep").agg(F.sum(F.col("value").cast("decimal(18,6)")).cast("double").alias("seconds"), F.count("*").alias("output"))
+    r = stats.compare_runs(run(0), run(1), ["c", "rep"])
+    return r.select("common", "unmatched", r6(F.col("equal_share")).alias("equal_share"), r6(F.col("ratio")).alias("ratio"))
+
+
+@query("WITH r AS (SELECT o_orderkey AS case_id, list_distinct(list(l_shipdate > TIMESTAMP '1996-01-01')) AS have FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) SELECT o_orderkey AS case_id, CASE WHEN have IS NULL THEN 'PENDING' WHEN list_contains(have, o_orderdate > TIMESTAMP '1996-01-01') THEN 'REUSED' ELSE 'STALE' END AS status FROM orders LEFT JOIN r ON case_id = o_orderkey")
+def resume_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which cases have a result with their binding."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), (F.col("o_orderdate") > F.lit("1996-01-01").cast("timestamp")).alias("binding"))
+    r = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), (F.col("l_shipdate") > F.lit("1996-01-01").cast("timestamp")).alias("binding"))
+    return selection.resume(o, r)
+
+
+@query("SELECT l_partkey, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1 HAVING n > 1")
+def cache_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that stand for more than one value."""
+    return selection.conflicts(table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey").select("l_partkey", "n")
+
+
+@query("WITH x AS (SELECT l_partkey AS k, count(*) AS in_a FROM lineitem WHERE l_linenumber = 1 GROUP BY 1), y AS (SELECT l_partkey AS k, count(*) AS in_b FROM lineitem WHERE l_linenumber = 2 GROUP BY 1) SELECT coalesce(x.k, y.k) AS l_partkey, coalesce(in_a, 0) AS in_a, coalesce(in_b, 0) AS in_b FROM x FULL JOIN y ON x.k = y.k WHERE coalesce(in_a, 0) <> coalesce(in_b, 0)")
+def multiset_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return selection.multiset_difference(li.where("l_linenumber = 1"), li.where("l_linenumber = 2"), ["l_partkey"])
+
+
+@query(f"WITH {LINES_SQL}, m AS (SELECT l_orderkey AS case_id, l_linenumber AS mode, l_extendedprice AS score, row_number() OVER w AS rn, lag(l_extendedprice) OVER w AS before FROM lines WINDOW w AS (PARTITION BY l_orderkey ORDER BY lines.mode)) SELECT case_id, bool_or(mode <> rn) AS gap, coalesce(bool_or(score < before), false) AS falls FROM m GROUP BY 1 HAVING gap OR falls")
+def contiguous_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases whose modes are not 1..n or whose scores fall."""
+    m = lines(spark, sf_dir).select(F.col("l_orderkey").alias("case_id"), F.col("mode").alias("place"), F.col("l_linenumber").alias("number"), F.col("l_extendedprice").alias("score"))
+    own = W.partitionBy("case_id").orderBy("place")
+    marked = m.select("case_id", (F.col("number") != F.row_number().over(own)).alias("gap"), (F.col("score") < F.lag("score").over(own)).alias("falls"))
+    return marked.groupBy("case_id").agg(F.bool_or("gap").alias("gap"), F.coalesce(F.bool_or("falls"), F.lit(False)).alias("falls")).where("gap or falls")
+
+
+@query("WITH c AS (SELECT c_custkey AS id, map {'positive': c_acctbal > 0, 'segment': c_mktsegment <> 'HOUSEHOLD', 'rmsd': false, 'nation': CASE WHEN c_nationkey < 20 THEN c_nationkey > 2 END} AS m FROM customer) SELECT id, array_to_string(list_sort([k for k in map_keys(m) if k <> 'rmsd' and not coalesce(m[k], false)]), ',') AS failed FROM c")
+def failed_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks of a boolean map that do not hold; a null check does not hold, the ignored one is left out."""
+    checks = F.create_map(F.lit("positive"), F.col("c_acctbal") > 0, F.lit("segment"), F.col("c_mktsegment") != "HOUSEHOLD", F.lit("rmsd"), F.lit(False), F.lit("nation"), F.when(F.col("c_nationkey") < 20, F.col("c_nationkey") > 2))
+    _, failed = stats.failed_checks("m")
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), checks.alias("m")).select("id", F.array_join(failed, ",").alias("failed"))
+
+
+@query("WITH d AS (SELECT doc_id AS id, lower(text) AS t FROM documents), p AS (SELECT * FROM (VALUES ('trash', 'filter'), ('licensed', 'license'), ('the', 'english'), ('idiot', 'filter')) AS v(term, tool)), n AS (SELECT * FROM (VALUES ('filter', 'score'), ('license', 'catalog')) AS v(tool, needs)), h AS (SELECT DISTINCT id, tool FROM d JOIN p ON contains(t, term)), u AS (SELECT id, tool FROM h UNION SELECT id, needs FROM h JOIN n USING (tool)), c AS (SELECT id, array_to_string(list_sort(list(tool)), ',') AS tools FROM u WHERE tool IN ('filter', 'score', 'english', 'license') GROUP BY 1) SELECT d.id, coalesce(tools, 'english,filter,license,score') AS tools, tools IS NULL AS fallback FROM d LEFT JOIN c ON c.id = d.id")
+def route_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tools per document by the terms in it, with what the tools need; all tools where no term stands."""
+    packs = spark.createDataFrame([("trash", "filter"), ("licensed", "license"), ("the", "english"), ("idiot", "filter")], "term string, tool string")
+    needs = spark.createDataFrame([("filter", "score"), ("license", "catalog")], "tool string, needs string")
+    available = spark.createDataFrame([("filter",), ("score",), ("english",), ("license",)], "tool string")
+    r = text.route_keywords(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), packs, needs, available)
+    return r.select("id", F.array_join("tools", ",").alias("tools"), "fallback")
+
+
+@query("WITH a AS (SELECT o_orderkey AS id, 'see [ord:' || o_custkey || '] and [ord:' || (o_custkey + 1) || ']' AS t, ['ord:' || o_custkey, 'ord:0'] AS k FROM orders) SELECT id, trim(replace(t, '[ord:' || regexp_extract(t, 'and .ord:([0-9]+)', 1) || ']', '')) AS checked FROM a")
+def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unknown citations taken out of the text."""
+    key = F.col("o_custkey").cast("string")
+    a = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("see [ord:"), key, F.lit("] and [ord:"), (F.col("o_custkey") + 1).cast("string"), F.lit("]")).alias("text"), F.array(F.concat(F.lit("ord:"), key), F.lit("ord:0")).alias("known"))
+    return text.check_citations(a).select("id", "checked")
+
+
+@query("SELECT event_id, round(value * 10 / nullif(value / 5, 0), 6) AS total_rate FROM events")
+def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    total, _ = runs.throughput(F.col("value") * 10, F.col("value") / 5, F.col("value") / 10)
+    return table(spark, sf_dir, "events").select("event_id", r6(total).alias("total_rate"))
+
+
+@query("WITH e AS (SELECT user_id, value, event_type FROM events), r AS (SELECT user_id, bool_or(event_type = 'purchase') AS passed, bool_or(event_type = 'click') AS cited, bool_and(value >= 0) AS tools_ok, CAST(sum(CAST(value AS DECIMAL(18, 6))) AS DOUBLE) AS seconds FROM e GROUP BY 1) SELECT count(*) AS runs, round(avg(CAST(passed AS INTEGER)), 6) AS pass_rate, round(avg(CAST(cited AS INTEGER)), 6) AS citation_rate, round(avg(CAST(tools_ok AS INTEGER)), 6) AS tool_rate, round(quantile_cont(seconds, 0.5), 5) AS p50, round(quantile_cont(seconds, 0.95), 5) AS p95, coalesce(least(avg(CAST(passed AS INTEGER)), avg(CAST(cited AS INTEGER)), avg(CAST(tools_ok AS INTEGER))) = 1, false) AS eligible FROM r")
+def agent_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates over all runs and the gate over them."""
+    e = table(spark, sf_dir, "events")
+    r = e.groupBy("user_id").agg(F.bool_or(F.col("event_type") == "purchase").alias("passed"), F.bool_or(F.col("event_type") == "click").alias("cited"), F.bool_and(F.col("value") >= 0).alias("tools_ok"), F.sum(F.col("value").cast("decimal(18,6)")).cast("double").alias("seconds"))
+    a = runs.agent_rollup(r)
+    return a.select("runs", *(r6(F.col(c)).alias(c) for c in ("pass_rate", "citation_rate", "tool_rate")), *(F.round(c, 5).alias(c) for c in ("p50", "p95")), "eligible")
+
+
+@query("WITH a AS (SELECT l_orderkey, l_partkey, l_suppkey, CAST(sum(CAST(l_quantity AS DECIMAL(18, 2))) AS DOUBLE) AS q FROM lineitem GROUP BY ALL), b AS (SELECT * REPLACE (q + CASE WHEN l_orderkey % 11 = 0 THEN 1 ELSE 0 END AS q) FROM a WHERE l_orderkey % 13 <> 0) SELECT coalesce(a.l_orderkey, b.l_orderkey) AS l_orderkey, coalesce(a.l_partkey, b.l_partkey) AS l_partkey, coalesce(a.l_suppkey, b.l_suppkey) AS l_suppkey, CASE WHEN b.q IS NULL THEN 'only_recorded' ELSE 'q' END AS reasons FROM a LEFT JOIN b USING (l_orderkey, l_partkey, l_suppkey) WHERE b.q IS NULL OR abs(a.q - b.q) > 1e-6")
+def recorded_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recorded summary against a recomputed one that lost rows and changed some."""
+    keys = ["l_orderkey", "l_partkey", "l_suppkey"]
+    a = table(spark, sf_dir, "lineitem").groupBy(*keys).agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("q"))
+    b = a.where("l_orderkey % 13 != 0").withColumn("q", F.col("q") + F.when(F.col("l_orderkey") % 11 == 0, 1).otherwise(0))
+    return stats.recorded_differences(a, b, keys, ["q"]).select(*keys, F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(None)
+def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cut into chunks by sections and line ends; the packing is sequential in each document."""
+    return text.chunk_sections(table(spark, sf_dir, "documents"))
+
+
+@query(None)
+def point_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy clusters of same-type points per structure."""
+    return geometry.cluster_points(_atoms(spark, sf_dir).select("structure_id", "type", "x", "y", "z"), 5.0)
+
+
+@query(None)
+def coherent_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search's hits over coherent matches only, with their overlays."""
+    from ..operators import overlay
+
+    best, n = _search(spark, sf_dir)
+    first = lines(spark, sf_dir).groupBy("l_orderkey").agg(F.count("*").alias("n")).where(F.col("n").between(4, 9)).agg(F.min("l_orderkey").alias("o")).first()
+    own = objects(spark, sf_dir).where(F.col("object_id") == first.o).first()
+    hits = overlay.coherent_hits(best, objects(spark, sf_dir), [list(f.position) for f in own.features])
+    return geometry.top_objects(hits.withColumn("score", F.col("coverage") / (1 + F.col("median_error"))), 512)
+
+
+@query(None)
+def identity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names against the names of the same brand with the next key, by containment or alignment."""
+    from ..operators import overlay
+
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    pairs = p.withColumn("reference", F.lead("p_name").over(W.partitionBy("p_brand").orderBy("p_partkey"))).where("reference is not null")
+    return overlay.verify_identity(pairs.select("p_partkey", F.col("p_name").alias("observed"), "reference"), "p_partkey")
