@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder URI under ``spark.checkpoint.dir``, which driver and executors share.
 
@@ -40,6 +43,9 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
+    # Whole documents are wide rows: small batches bound what a worker and the JVM's side buffers hold.
+    if spark.conf.get(BATCH) == "10000":  # Spark's own default; another value is the user's choice
+        spark.conf.set(BATCH, "1000")
     context = spark.sparkContext
     if getattr(context, "_orepan_shipped", False):
         return

@@ -239,7 +239,7 @@ def _compared(rows: DataFrame, radius: int, cell: int) -> DataFrame:
 
     def run(batches):
         held = None
-        for batch in batches:
+        for batch in _larger(batches, 20_000):
             fp = batch.column(1)
             fp = np.frombuffer(b"".join(fp.to_pylist()), dtype="<u8") if pa.types.is_binary(fp.type) else fp.to_numpy().view(np.uint64)
             cols = [batch.column(2).to_numpy(), batch.column(0).to_numpy(), fp.reshape(batch.num_rows, -1)]
@@ -255,6 +255,19 @@ def _compared(rows: DataFrame, radius: int, cell: int) -> DataFrame:
     return map_arrow(dealt, run, "a long, b long").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _larger(batches, least: int):
+    """Batches put together to at least ``least`` rows, as one bit-sliced pass serves many rows."""
+    part, n = [], 0
+    for batch in batches:
+        part.append(batch)
+        n += batch.num_rows
+        if n >= least:
+            yield pa.Table.from_batches(part).combine_chunks().to_batches()[0]
+            part, n = [], 0
+    if n:
+        yield pa.Table.from_batches(part).combine_chunks().to_batches()[0]
+
+
 def _edge_batch(bucket, node, fp, radius):
     a, b = _bucket_edges(bucket, node, fp, radius)
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
