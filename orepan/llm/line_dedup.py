@@ -1,13 +1,16 @@
-"""Line-run deduplication by winnowing, with DataFrame functions only.
+"""Line-run deduplication by windows of lines, with DataFrame functions only.
 
 A text is its non-blank lines, each a 64-bit hash of the trimmed line.  From each line on, a window
-takes the lines that begin within ``words`` words; its smallest hash (the last, if several) selects a
-fingerprint.  Two texts that share a run of at least ``words`` words select the same fingerprints in
-it, so each such run is found.  Fingerprints are joined to the first place (smallest id, then line)
-of the same line, of the same line with its predecessor, and of the same line with its successor.
-From each join the match is extended line by line both ways.  One step reaches over ``words`` words,
-which is the farthest that a run can go on without another fingerprint; extensions on the same
-diagonal are then merged.  A merged run of at least ``words`` words is deleted where it stands later.
+takes the fewest lines that hold ``words`` words together, and so does a window up from each line.  A
+window depends on its lines alone, so two texts that share a run of at least ``words`` words share every
+window in it, and these cover it: a line that opens no window in the run either closes one, or lies in
+the last that opens.  Only two neighbouring lines of ``words`` words each lie in no window together;
+they make a key of their own, for the blank lines between them.
+
+Each window is joined to the first place (smallest id, then line) of the same lines, which shares the
+whole of it, and is deleted where it stands later.  So exactly those lines go that lie in a run of at
+least ``words`` words which stands at an earlier place too, with the blank lines inside the run.  Runs
+are judged by the texts as they come in, not by what is left of them.
 
 Hot lines cost one row each: every place is compared with first places, never with all others.  The
 joins are merge joins at every size: both sides grow with the texts, and hot keys can be split.
@@ -40,59 +43,43 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return counted.dropDuplicates(["doc", "th", "p"])
 
 
-def fingerprints(lines: DataFrame, words: int) -> DataFrame:
-    """Selected lines with the lines around them: ``doc, th, p, at, w, h, before, after``."""
+def windows(lines: DataFrame, words: int) -> DataFrame:
+    """Keys of the windows of every line: ``doc, th, keys`` with ``key, lo_p, hi_p`` (first and last line)."""
     own = W.partitionBy("doc", "th")
-    placed = lines.withColumn("at", F.sum("w").over(own.orderBy("p").rowsBetween(W.unboundedPreceding, 0)) - F.col("w"))
-    by_word = own.orderBy("at")
-    line = F.struct("h", "w", "p")
-    ahead, behind = by_word.rangeBetween(0, words - 1), by_word.rangeBetween(1 - words, -1)
+    placed = lines.withColumn("end", F.sum("w").over(own.orderBy("p").rowsBetween(W.unboundedPreceding, 0))).withColumn("at", F.col("end") - F.col("w"))
+    by_start, by_end = own.orderBy("at"), own.orderBy("end")
+    ahead, behind = by_start.rangeBetween(0, words - 1), by_end.rangeBetween(1 - words, 0)
     seen = placed.select(
         "*",
-        F.min(F.struct("h", (-F.col("p")).alias("p"))).over(ahead)["p"].alias("chosen"),
-        F.collect_list(line).over(ahead).alias("here"),
-        F.reverse(F.collect_list(line).over(behind)).alias("before"),
+        F.xxhash64(F.lit(0), F.collect_list("h").over(ahead)).alias("down"),
+        F.max("p").over(ahead).alias("down_p"),
+        (F.max("end").over(ahead) - F.col("at") >= words).alias("down_ok"),
+        F.lead("p").over(by_start).alias("next_p"),
+        F.xxhash64(F.lit(2), "h", F.lead("h").over(by_start)).alias("both"),
+        ((F.col("w") >= words) & (F.lead("w").over(by_start) >= words)).alias("both_ok"),
+    ).select(
+        "*",
+        F.xxhash64(F.lit(1), F.collect_list("h").over(behind)).alias("up"),
+        F.min("p").over(behind).alias("up_p"),
+        (F.col("end") - F.min("at").over(behind) >= words).alias("up_ok"),
     )
-    picked = seen.select("*", F.collect_set("chosen").over(by_word.rangeBetween(1 - words, 0)).alias("picks"), F.lead("here").over(by_word).alias("after"))
-    none = F.expr("cast(array() as array<struct<h:bigint,w:int,p:int>>)")
-    return picked.where(F.array_contains("picks", -F.col("p"))).select("doc", "th", "p", "at", "w", "h", "before", F.coalesce("after", none).alias("after"))
-
-
-def _common(mine: str, other: str) -> Column:
-    """Length of the common start of two lists of hashes."""
-    same = F.zip_with(F.transform(mine, lambda x: x["h"]), F.col(other), lambda x, y: F.coalesce(x == y, F.lit(False)))
-    first_off = F.array_position(same, F.lit(False))
-    return F.when(first_off == 0, F.size(same)).otherwise(first_off - 1).cast("int")
+    key = lambda ok, k, lo, hi: F.when(F.col(ok), F.struct(F.col(k).alias("key"), F.col(lo).alias("lo_p"), F.col(hi).alias("hi_p")))
+    # a window of one line is the same up and down
+    up = F.when(F.col("up_p") < F.col("p"), key("up_ok", "up", "up_p", "p"))
+    return seen.select("doc", "th", F.array_compact(F.array(key("down_ok", "down", "p", "down_p"), up, key("both_ok", "both", "p", "next_p"))).alias("keys")).where(F.size("keys") > 0)
 
 
 def repeated_runs(docs: DataFrame, *, words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Later places of repeated runs: ``doc, th, runs`` with the first and last line of each run."""
-    marks = fingerprints(lines_of(docs, id_col, text_col), words)
-    keys = F.array(
-        F.xxhash64(F.lit(0), "h"),
-        F.xxhash64(F.lit(1), F.get(F.col("before"), F.lit(0))["h"], F.col("h")),
-        F.xxhash64(F.lit(2), F.col("h"), F.get(F.col("after"), F.lit(0))["h"]),
-    )
-    marks = written(marks, "marks")
-    # a line that stands once has no match, whatever stands around it; only repeated ones go on
-    again = written(marks.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "repeated")
-    marks = written(marks.join(again.hint("merge"), "h", "left_semi").withColumn("key", F.explode(keys)), "repeated-marks")
-    hashes = lambda c: F.transform(c, lambda x: x["h"]).alias(c + "0")
-    first = marks.groupBy("key").agg(F.min(F.struct("doc", "th", "p", hashes("before"), hashes("after"))).alias("f"), F.count("*").alias("c")).where("c > 1")
-    first = written(first.select("key", F.col("f.doc").alias("doc0"), F.col("f.th").alias("th0"), F.col("f.p").alias("p0"), F.col("f.before0").alias("before0"), F.col("f.after0").alias("after0")), "first-marks")
-    met = marks.join(first.hint("merge"), "key").where("doc != doc0 or th != th0 or p != p0")
-    met = met.select("doc", "th", "doc0", "th0", "p", "at", "w", "before", "after", "p0", _common("before", "before0").alias("b"), _common("after", "after0").alias("a"))
-    total = lambda c, n: F.aggregate(F.slice(c, 1, F.col(n)), F.lit(0).cast("long"), lambda s, x: s + x["w"])
-    edge = lambda c, n: F.coalesce(F.get(F.col(c), F.col(n) - 1)["p"], F.col("p"))
-    spans = met.select(
-        "doc", "th", "doc0", "th0", (F.col("p") - F.col("p0")).alias("diagonal"), (F.col("at") - total("before", "b")).alias("lo"), (F.col("at") + F.col("w") + total("after", "a")).alias("hi"), edge("before", "b").alias("lo_p"), edge("after", "a").alias("hi_p")
-    ).distinct()
-    # spans that meet on one diagonal are one run; the diagonal counts blank lines alike on both sides
-    diagonal = W.partitionBy("doc", "th", "doc0", "th0", "diagonal").orderBy("lo", "hi")
-    opened = spans.withColumn("new", (F.col("lo") > F.coalesce(F.max("hi").over(diagonal.rowsBetween(W.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
-    numbered = opened.withColumn("run", F.sum("new").over(diagonal.rowsBetween(W.unboundedPreceding, 0)))
-    runs = numbered.groupBy("doc", "th", "doc0", "th0", "diagonal", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("lo_p").alias("lo_p"), F.max("hi_p").alias("hi_p")).where(F.col("hi") - F.col("lo") >= words)
-    return runs.groupBy("doc", "th").agg(F.sort_array(F.collect_set(F.struct("lo_p", "hi_p"))).alias("runs"))
+    marks = written(windows(lines_of(docs, id_col, text_col), words), "windows").select("doc", "th", F.inline("keys"))
+    first = marks.groupBy("key").agg(F.min(F.struct("doc", "th", "lo_p")).alias("f"), F.count("*").alias("c")).where("c > 1")
+    first = written(first.select("key", F.col("f.doc").alias("doc0"), F.col("f.th").alias("th0"), F.col("f.lo_p").alias("p0")), "first-windows")
+    spans = marks.join(first.hint("merge"), "key").where("doc != doc0 or th != th0 or lo_p != p0").select("doc", "th", "lo_p", "hi_p")
+    # spans that share a line are one run
+    own = W.partitionBy("doc", "th").orderBy("lo_p", "hi_p")
+    opened = spans.withColumn("new", (F.col("lo_p") > F.coalesce(F.max("hi_p").over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
+    runs = opened.withColumn("run", F.sum("new").over(own.rowsBetween(W.unboundedPreceding, 0))).groupBy("doc", "th", "run").agg(F.min("lo_p").alias("lo_p"), F.max("hi_p").alias("hi_p"))
+    return runs.groupBy("doc", "th").agg(F.sort_array(F.collect_list(F.struct("lo_p", "hi_p"))).alias("runs"))
 
 
 def dedup_lines(docs: DataFrame, *, words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

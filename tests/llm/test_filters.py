@@ -148,6 +148,62 @@ def test_repeated_runs_are_deleted_where_they_stand_later(spark):
         assert got[i] == "\n".join(lines)
 
 
+def brute_dedup(rows, least=50):
+    """Every place against every earlier one, line by line."""
+    texts = {i: t.split("\n") for i, t in rows}
+    lines = {i: [(p, x.strip(), len(x.split())) for p, x in enumerate(t) if x.strip()] for i, t in texts.items()}
+    places = collections.defaultdict(list)
+    for i in sorted(lines):
+        for k, (_, x, _) in enumerate(lines[i]):
+            places[x].append((i, k))
+    gone = collections.defaultdict(set)
+    for found in places.values():
+        for n, (j, q) in enumerate(found):
+            for i, k in found[:n]:
+                if k and q and lines[i][k - 1][1] == lines[j][q - 1][1]:
+                    continue  # counted from where the run begins
+                m = 0
+                while k + m < len(lines[i]) and q + m < len(lines[j]) and lines[i][k + m][1] == lines[j][q + m][1]:
+                    m += 1
+                if sum(w for *_, w in lines[j][q : q + m]) >= least:
+                    gone[j].update(range(lines[j][q][0], lines[j][q + m - 1][0] + 1))
+    return {i: ("\n".join(x for p, x in enumerate(t) if p not in gone[i]), len(gone[i])) for i, t in texts.items()}
+
+
+def deduped(spark, rows):
+    return {r.doc_id: (r.text, r.removed_lines) for r in line_dedup.dedup_lines(make_docs(spark, rows)).collect()}
+
+
+def test_partly_shared_earlier_texts_hide_no_run(spark):
+    rng, v = random.Random(11), [f"w{i}" for i in range(3000)]
+    rows = []
+    for g in range(20):  # the first text shares 45 words of the 60 that the other two share
+        p, q, r, s = (words(rng, 15, v) for _ in range(4))
+        rows += [(3 * g, "\n".join([p, q, r, words(rng, 40, v)])), (3 * g + 1, "\n".join([p, q, r, s])), (3 * g + 2, "\n".join(["own", p, q, r, s, "end"]))]
+    got = deduped(spark, rows)
+    assert got == brute_dedup(rows)
+    assert all(got[3 * g + 2] == ("own\nend", 4) and got[3 * g + 1][1] == 0 for g in range(20))
+
+
+def test_runs_agree_with_brute_force(spark):
+    rng, v = random.Random(12), [f"w{i}" for i in range(300)]
+    pool = [words(rng, rng.choice([1, 2, 5, 8, 12, 20, 49, 50, 70]), v) for _ in range(14)]
+    chains = [[rng.choice(pool) for _ in range(12)] for _ in range(6)]
+    rows = []
+    for i in range(150):
+        lines = []
+        for _ in range(rng.randint(1, 5)):
+            c = rng.choice(chains)
+            lo = rng.randrange(len(c))
+            part = c[lo : lo + rng.randint(1, 9)]
+            if rng.random() < 0.4:  # an edited line
+                part[rng.randrange(len(part))] = words(rng, 9, v)
+            for x in part:
+                lines += [x] + [""] * (rng.random() < 0.2)
+        rows.append((i, "\n".join(lines)))
+    assert deduped(spark, rows) == brute_dedup(rows)
+
+
 def test_line_dedup_edge_cases(spark, docs, none):
     run = "\n".join(f"a{i} b{i} c{i} d{i} e{i} f{i}" for i in range(12))
     rows = [(1, run), (2, None), (3, ""), (4, "\n\n"), (5, "x\n\n" + run + "\n\ny"), (5, "x\n\n" + run + "\n\ny"), (None, run), (6, run + "\n" + run)]
