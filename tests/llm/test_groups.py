@@ -6,6 +6,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from orepan.llm import sharding, simhash, topk, warc
 from orepan.llm.common import shared_dir
 
@@ -97,6 +98,63 @@ def test_wide_fingerprints_follow_similarity(spark):
     assert all(got[a] == got[b] for a, b in same) and all(got[a] != got[b] for a, b in apart)
 
 
+def shingles(text, k=5):
+    w = (text or "").lower().split()
+    return frozenset(" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
+
+
+def edited(rng, text, n, fresh):
+    w = text.split()
+    for at in rng.sample(range(len(w)), n):
+        w[at] = f"{fresh}{at}"
+    return " ".join(w)
+
+
+def similar_rows():
+    """Bases with copies on both sides of 0.8, groups that hang together by chains, and texts that repeat shingles."""
+    rng, v, rows = random.Random(21), [f"w{i}" for i in range(5000)], []
+    for g in range(60):
+        base = words(rng, rng.choice([60, 150, 300]), v)
+        n = len(base.split())
+        rows.append(base)
+        rows += [edited(rng, base, max(1, round(n * share)), f"x{g}_{c}_") for c, share in enumerate((0.01, 0.019, 0.021, 0.024, 0.027, 0.03, 0.04))]
+    base = words(rng, 200, v)
+    rows += [edited(rng, base, 2 + c % 3 // 2, f"y{c}_") for c in range(90)]
+    rows += [base + " a b c d e" * 100, base, base.upper(), "one two", "ONE  two"]
+    return list(enumerate(rows))
+
+
+def brute_firsts(rows, least=0.8):
+    sets = [shingles(t) for _, t in rows]
+    places = collections.defaultdict(list)
+    for i, x in enumerate(sets):
+        for y in x:
+            places[y].append(i)
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = 0
+    for j, x in enumerate(sets):
+        for i, c in collections.Counter(i for y in x for i in places[y] if i < j).items():
+            if c >= least * (len(x) + len(sets[i]) - c) - 1e-12:
+                pairs += 1
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {rows[i][0] for i in range(len(rows)) if find(i) == i}, pairs
+
+
+def test_near_copies_agree_with_brute_force(spark):
+    rows = similar_rows()
+    expected, pairs = brute_firsts(rows)
+    assert pairs > 1000
+    got = corpus_pipeline.drop_near_copies(spark, make_docs(spark, rows), "")
+    assert {r.doc_id for r in got.collect()} == expected
+
+
 def test_no_documents_have_no_components(none):
     assert simhash.near_duplicates(none).count() == 0
 
