@@ -155,6 +155,16 @@ def test_near_copies_agree_with_brute_force(spark):
     assert {r.doc_id for r in got.collect()} == expected
 
 
+def test_pairs_at_the_threshold_meet():
+    rng = np.random.default_rng(5)
+    met = 0
+    for _ in range(1500):
+        x = rng.integers(0, 2**63, 110, dtype=np.uint64)  # 80 of 100 hashes in common
+        a, b = x[:90], np.concatenate([x[:80], x[90:100]])
+        met += bool((simhash.band_keys(a) == simhash.band_keys(b)).any()) and int(np.bitwise_count(simhash.bits_of(a, 8) ^ simhash.bits_of(b, 8)).sum()) <= simhash.radius_for(0.8, 8, 4.0)
+    assert met >= 1495
+
+
 def test_no_documents_have_no_components(none):
     assert simhash.near_duplicates(none).count() == 0
 
