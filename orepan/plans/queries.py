@@ -273,6 +273,25 @@ def token_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("left_id", "right_id", F.col("common").cast("long").alias("common"), r6(F.col("similarity")).alias("similarity"))
 
 
+def _shingle_sets(df: DataFrame, id_col: str) -> DataFrame:
+    """``id, tokens``: the five-word shingles of each distinct text, under its smallest id."""
+    one = df.where(F.col("text").isNotNull()).groupBy("text").agg(F.min(id_col).alias("id")).where("id is not null")
+    w = one.select("id", F.filter(F.split("text", "[ \\t\\n\\r]+"), lambda x: x != "").alias("w")).where(F.size("w") >= 5)
+    return w.select("id", F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 5), " ")))).alias("tokens"))
+
+
+def _shingles_sql(name: str, source: str, id_col: str) -> str:
+    return f"{name}t AS (SELECT text, min({id_col}) AS id FROM {source} WHERE text IS NOT NULL GROUP BY 1), {name}w AS (SELECT id, list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda x: x <> '') AS w FROM {name}t WHERE id IS NOT NULL), {name} AS (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS t FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM {name}w WHERE len(w) >= 5)), {name}n AS (SELECT id, count(*) AS n FROM {name} GROUP BY 1)"
+
+
+@query(f"WITH {_shingles_sql('a', 'documents', 'doc_id')}, {_shingles_sql('b', 'benchmark', 'item_id')}, c AS (SELECT a.id AS left_id, b.id AS right_id, count(*) AS common FROM a JOIN b ON a.t = b.t GROUP BY 1, 2) SELECT left_id, right_id, common, round(common / CAST(an.n + bn.n - common AS DOUBLE), 6) AS similarity FROM c JOIN an ON an.id = left_id JOIN bn ON bn.id = right_id WHERE common / CAST(an.n + bn.n - common AS DOUBLE) >= 0.1")
+def similarity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five-word shingle sets of the distinct documents against the benchmark's items."""
+    a, b = _shingle_sets(table(spark, sf_dir, "documents"), "doc_id"), _shingle_sets(table(spark, sf_dir, "benchmark"), "item_id")
+    s = audit.token_similarity(a, b, 0.1)
+    return s.select("left_id", "right_id", F.col("common").cast("long").alias("common"), r6(F.col("similarity")).alias("similarity"))
+
+
 @query("WITH p AS (SELECT DISTINCT p_size % 3 AS k, p_name AS s FROM part) SELECT DISTINCT a.s AS x, b.s AS y, round(1 - levenshtein(a.s, b.s) / CAST(greatest(length(a.s), length(b.s)) AS DOUBLE), 6) AS identity FROM p a JOIN p b ON a.k = 0 AND b.k = 1 WHERE 1 - levenshtein(a.s, b.s) / CAST(greatest(length(a.s), length(b.s)) AS DOUBLE) >= 0.7")
 def edit_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select((F.col("p_size") % 3).alias("k"), F.col("p_name").alias("seq"))

@@ -261,3 +261,26 @@ def test_structure_checks(spark):
     wanted = spark.createDataFrame([("s", "AG"), ("s", "XX")], "structure_id string, sequence string")
     assert {x.sequence: x.status for x in structures.assign_chains(wanted, chains).collect()} == {"AG": "AMBIGUOUS", "XX": "MISSING"}
     assert structures.element_counts(atoms).first().elements == {"C": 5, "ZN": 1}
+
+
+def test_similarity_audit_agrees_with_brute_force(spark, tmp_path):
+    from orepan.plans import registry
+
+    rng, v = random.Random(31), [f"w{i}" for i in range(60)]
+    text = lambda n: " ".join(rng.choice(v) for _ in range(n))
+    items = [(i, text(rng.randint(10, 40))) for i in range(12)] + [(50, "too short"), (51, None)]
+    docs = [(i, "\n".join([text(rng.randint(0, 60)), items[i % 12][1], "a common line of six words"])) for i in range(150)]
+    docs += [(900, docs[3][1]), (901, None), (902, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def sets(rows):
+        first = {}
+        for i, t in sorted(rows):
+            first.setdefault(t, i)
+        w = {i: t.split() for t, i in first.items() if t is not None}
+        return {i: {" ".join(x[k : k + 5]) for k in range(len(x) - 4)} for i, x in w.items() if len(x) >= 5}
+
+    expected = {(i, j, len(x & y)) for i, x in sets(docs).items() for j, y in sets(items).items() if len(x & y) / len(x | y) >= 0.1}
+    got = registry.QUERIES["similarity_audit"](spark, str(tmp_path)).collect()
+    assert len(got) == len(expected) >= 100 and {(r.left_id, r.right_id, r.common) for r in got} == expected
