@@ -284,3 +284,11 @@ def test_similarity_audit_agrees_with_brute_force(spark, tmp_path):
     expected = {(i, j, len(x & y)) for i, x in sets(docs).items() for j, y in sets(items).items() if len(x & y) / len(x | y) >= 0.1}
     got = registry.QUERIES["similarity_audit"](spark, str(tmp_path)).collect()
     assert len(got) == len(expected) >= 100 and {(r.left_id, r.right_id, r.common) for r in got} == expected
+
+
+def test_lineage_does_not_end_early_in_silence(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(4)], "parent long, child long")
+    roots = spark.createDataFrame([(0,)], "node long")
+    assert catalog.lineage(edges, roots, 4).count() == 5
+    with pytest.raises(RuntimeError):
+        catalog.lineage(edges, roots, 3)
