@@ -284,7 +284,7 @@ def _shingles_sql(name: str, source: str, id_col: str) -> str:
     return f"{name}t AS (SELECT text, min({id_col}) AS id FROM {source} WHERE text IS NOT NULL GROUP BY 1), {name}w AS (SELECT id, list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda x: x <> '') AS w FROM {name}t WHERE id IS NOT NULL), {name} AS (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS t FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM {name}w WHERE len(w) >= 5)), {name}n AS (SELECT id, count(*) AS n FROM {name} GROUP BY 1)"
 
 
-@query(f"WITH {_shingles_sql('a', 'documents', 'doc_id')}, {_shingles_sql('b', 'benchmark', 'item_id')}, c AS (SELECT a.id AS left_id, b.id AS right_id, count(*) AS common FROM a JOIN b ON a.t = b.t GROUP BY 1, 2) SELECT left_id, right_id, common, round(common / CAST(an.n + bn.n - common AS DOUBLE), 6) AS similarity FROM c JOIN an ON an.id = left_id JOIN bn ON bn.id = right_id WHERE common / CAST(an.n + bn.n - common AS DOUBLE) >= 0.1")
+@query(f"WITH {_shingles_sql('d', 'documents', 'doc_id')}, {_shingles_sql('b', 'benchmark', 'item_id')}, c AS (SELECT d.id AS left_id, b.id AS right_id, count(*) AS common FROM d JOIN b ON d.t = b.t GROUP BY 1, 2) SELECT left_id, right_id, common, round(common / CAST(dn.n + bn.n - common AS DOUBLE), 6) AS similarity FROM c JOIN dn ON dn.id = left_id JOIN bn ON bn.id = right_id WHERE common / CAST(dn.n + bn.n - common AS DOUBLE) >= 0.1")
 def similarity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five-word shingle sets of the distinct documents against the benchmark's items."""
     a, b = _shingle_sets(table(spark, sf_dir, "documents"), "doc_id"), _shingle_sets(table(spark, sf_dir, "benchmark"), "item_id")
