@@ -1,3 +1,4 @@
+import collections
 import random
 import zlib
 
@@ -55,25 +56,36 @@ def test_no_documents_give_no_tokens(spark, none):
     assert packing.pack(none, WORD, end_id=1).count() == 0
 
 
-def brute_level(count, size, length):
-    best = None
-    for h in [0] + [h for h in range(1, size - length + 1) if count[h] > 0]:
-        c = count.copy()
-        if h:
-            c[h] -= 1
-        if h + length < size:
-            c[h + length] += 1
-        key = (int((c[1:size] ** 2).sum()), -h)
-        best = min(best or (key, h), (key, h))
-    return best[1]
+def squares(p, moved=None, length=0):
+    """Sum of squared counts over the levels below the last, after a window of fill ``moved`` grew by ``length``."""
+    count = collections.Counter(-(-w[0] // p.grain) for stack in p.begun for w in stack)
+    if moved is not None:
+        count[-(-moved // p.grain)] -= bool(moved)
+        if moved + length <= p.size - p.grain:
+            count[-(-(moved + length) // p.grain)] += 1
+    return sum(c * c for h, c in count.items() if h < p.levels)
 
 
-def test_sum_of_squares_takes_the_best_level():
-    rng, p = random.Random(0), packing.SumOfSquares(32)
+@pytest.mark.parametrize("grain", [1, 4])
+def test_sum_of_squares_takes_the_best_level(grain):
+    rng, p = random.Random(0), packing.SumOfSquares(32, grain)
     for i in range(800):
         length = rng.randint(1, 31)
-        assert p.level_for(length) == brute_level(p.count, 32, length)
-        p.place((i, 0, length))
+        while p.begun[-1]:
+            list(p.place(i, 1))
+        options = {0: squares(p, 0, length)} | {h: squares(p, stack[-1][0], length) for h, stack in enumerate(p.begun) if stack and stack[-1][0] + length <= 32}
+        h = p.level_for(length)
+        assert options[h] == min(options.values()) and h == max(k for k, v in options.items() if v == options[h])
+        list(p.place(i, length))
+
+
+def test_few_windows_are_left_to_cutting():
+    rng, p, given = random.Random(4), packing.SumOfSquares(2048), 0
+    for i in range(6000):
+        for pieces in p.place(i, rng.choice([rng.randint(1, 300), rng.randint(1, 5000)])):
+            assert sum(x[2] for x in pieces) == 2048
+            given += 1
+    assert sum(1 for _ in p.close()) < 0.02 * given
 
 
 def test_packing_keeps_every_id_once_and_pads_nothing(docs, corpus):
