@@ -217,13 +217,39 @@ def test_exact_top_k(spark):
 
 def test_index_stops_only_on_proof():
     rng = np.random.default_rng(3)
-    x = np.floor(64 * rng.normal(0, 0.12, (3000, 32))).astype(np.int64)
-    index = topk.ImpactIndex(x)
+    x = np.floor(64 * rng.normal(0, 0.12, (3000, 32)))
+    x[::7] = x[0]
+    index, left = topk.ImpactIndex(x), []
     for i in range(20):
         rows, score = index.search(x[i], 15)
         s = x @ x[i]
         best = np.lexsort((np.arange(len(s)), -s))[:15]
         assert (rows == best).all() and (score == s[best]).all()
+        left.append(index.left)
+    assert sum(n > 0 for n in left) > 10  # the proof came before the last postings, but for the many ties
+
+
+def test_large_finite_values_take_part(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(0, 0.2, 8).tolist()) for i in range(300)]
+    rows[40] = (40, [1e9] * 8)
+    rows[41], rows[42], rows[60] = (41, [-1e9] + [0.5] * 7), (42, [3e38, -3e38] + [0.0] * 6), (60, [2e8] * 8)
+    rows += [(301, []), (302, [0.25])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    x = {i: [int(np.floor(64 * np.float64(c))) for c in v] + [0] * (8 - len(v)) for i, v in rows}
+    most = (1 << 63) - 1
+    expected = set()
+    for q in x:
+        if q % 20 == 0:
+            s = sorted((-max(-most, min(most, sum(a * b for a, b in zip(x[q], x[i])))), i) for i in x if i != q)[:20]
+            expected |= {(q, r + 1, i, -v) for r, (v, i) in enumerate(s)}
+    for block in (65_536, 70):
+        assert {tuple(r) for r in topk.top_k(df, is_query=F.col("vec_id") % 20 == 0, block=block).collect()} == expected
+
+
+def test_empty_vectors_have_the_score_zero(spark):
+    df = spark.createDataFrame([(i, []) for i in range(4)], "vec_id long, embedding array<float>")
+    assert {tuple(r) for r in topk.top_k(df, is_query=F.col("vec_id") == 0).collect()} == {(0, i, i, 0) for i in (1, 2, 3)}
 
 
 # --- WARC -------------------------------------------------------------------------------------
