@@ -6,22 +6,28 @@ ascend by item in blocks with their largest impact; block-max WAND skips items,
 cannot reach the threshold, so exactly the items at or above it are retrieved.  What is retrieved is
 verified: the word pairs of the item's question and of its answer must stand in the passage.
 
-Passages are windows of twice the longest item's words that advance by that item's length, so every
-stretch as long as an item lies in one window.  Windows whose terms' largest impacts cannot sum up to
-the threshold in any range of items are not searched at all: the same bound, over ranges of the index.
+Items are told apart by length: class c holds those of up to 2^c words (32 at least) and is searched by
+passages of 2^(c+1) words that advance by 2^c, so every stretch as long as an item lies in one passage, and
+a long item does not widen the passages of short ones.  Passages whose terms' largest impacts cannot sum up
+to the threshold in any range of items are not searched at all: the same bound, over ranges of the index.
 
-The index is dealt into pieces of at most ``piece_bytes`` of item text, one search each, so that what is
-sent to the tasks has a fixed bound; document frequencies and lengths are taken over all items.
+Distinct items are dealt into pieces of at most about ``piece_bytes`` of text.  A piece is indexed by one task,
+which writes it to the shared folder; document frequencies and lengths are taken over all items.  The texts
+are read and split once: each task loads one piece after the other (a few stay loaded) for a span of texts.
 
 The answer is what follows a line that starts with "A:" or "Answer:", else the last third of the words.
-Items without words, null items and null texts match nothing.  Repeated rows give repeated results;
-a row's null id stays null.  An empty table on either side gives no rows.
+Items without words and null texts match nothing.  An item whose id is null is searched like any other, and
+found with a null id.  Items that repeat an id with another text are items of their own; rows that repeat both
+count once.  Repeated documents give repeated results; a document's null id stays null.  An empty table on
+either side gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
+import uuid
 from bisect import bisect_left
 from functools import partial
 from itertools import repeat
@@ -31,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, written
+from .common import map_arrow, open_fs, shared_dir, written
 
 _MARKS = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 _ANSWER = re.compile(r"^\s*(?:A|Answer)\s*:", re.M | re.I)
@@ -161,27 +167,63 @@ class ItemIndex:
 
 
 OUT = "doc_id long, item_id long, passages int, score double, question_overlap double, answer_overlap double"
+TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
 
 
-def search_text(text: str, index: ItemIndex, stride: int, threshold: float, question_at: float, answer_at: float) -> list[tuple]:
-    """Verified items of one text: (item id, passages, best score, and its two overlaps)."""
-    words = words_of(text)
-    ids = np.fromiter(map(index.heavy.get, words, repeat(-1)), np.int64, len(words))
-    hit = np.flatnonzero(ids >= 0)
+def length_class(n_words: int, least: int = 32) -> int:
+    """The words that a passage advances by for items of ``n_words``."""
+    return max(least, 1 << (n_words - 1).bit_length())
+
+
+class Piece:
+    """Items of all length classes with one vocabulary: an ``ItemIndex`` per class."""
+
+    def __init__(self, items: list[tuple], df: dict[bytes, int], n_items: int, mean_length: float):
+        by_class: dict[int, list] = {}
+        for item_id, text in items:
+            by_class.setdefault(length_class(len(words_of(text))), []).append((item_id, text))
+        self.indexes = {c: ItemIndex(x, df, n_items, mean_length) for c, x in sorted(by_class.items())}
+        self.words: dict[bytes, int] = {}
+        for index in self.indexes.values():
+            for w in index.vocabulary:
+                self.words.setdefault(w, len(self.words))
+        # a word's number in each index, among all terms and among the heavy ones; the last place is for unknown words
+        self.local = {}
+        for c, index in self.indexes.items():
+            both = np.full((2, len(self.words) + 1), -1)
+            for k, terms in enumerate((index.vocabulary, index.heavy)):
+                both[k, [self.words[w] for w in terms]] = list(terms.values())
+            self.local[c] = both
+
+    def search(self, words: list[bytes], numbers: np.ndarray, threshold: float, question_at: float, answer_at: float) -> list[tuple]:
+        """Verified items of one text: (item id, passages, best score, and its two overlaps)."""
+        out = []
+        for stride, index in self.indexes.items():
+            terms, heavy = self.local[stride]
+            out += _search_class(words, terms[numbers], heavy[numbers], index, stride, threshold, question_at, answer_at)
+        return out
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+
+
+def _search_class(words, terms, heavy, index: ItemIndex, stride: int, threshold: float, question_at: float, answer_at: float) -> list[tuple]:
+    hit = np.flatnonzero(heavy >= 0)
     if not len(hit):
         return []
     # each distinct term of each stride once, its largest impact per range of items summed up
     n = len(index.vocabulary)
-    terms = np.unique(hit // stride * n + ids[hit])
-    stretch, terms = terms // n, terms % n
+    once = np.unique(hit // stride * n + heavy[hit])
+    stretch, once = once // n, once % n
     first = np.flatnonzero(np.r_[True, stretch[1:] != stretch[:-1]])
     bins = np.zeros((-(-len(words) // stride) + 1, index.range_max.shape[1]), dtype=np.float32)
-    bins[stretch[first]] = np.add.reduceat(index.range_max[terms], first, axis=0)
+    bins[stretch[first]] = np.add.reduceat(index.range_max[once], first, axis=0)
     reach = (bins[:-1] + bins[1:]).max(axis=1)
     best: dict[int, list] = {}
     for w in np.flatnonzero(reach >= threshold - index.light):
         lo, hi = int(w) * stride, (int(w) + 2) * stride
-        inside = np.array(sorted({index.vocabulary[x] for x in words[lo:hi] if x in index.vocabulary}))
+        inside = np.unique(terms[lo:hi])
+        inside = inside[inside >= 0]
         if index.narrow_max[inside].sum(axis=0).max() < threshold:
             continue
         pairs = None
@@ -197,19 +239,103 @@ def search_text(text: str, index: ItemIndex, stride: int, threshold: float, ques
     return [(index.ids[item], n, *found) for item, (n, found) in sorted(best.items())]
 
 
-def _search(batches, index: ItemIndex, **how):
-    for batch in batches:
-        out = [(doc_id, *r) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in search_text(text, index, **how)]
+#: Pieces loaded in this Python worker, by their file; the oldest goes first.
+_LOADED: dict[str, Piece] = {}
+KEPT = 4
+
+
+def _piece(uri: str) -> Piece:
+    if uri not in _LOADED:
+        while len(_LOADED) >= KEPT:
+            _LOADED.pop(next(iter(_LOADED)))
+        fs, path = open_fs(uri)
+        with fs.open_input_stream(path) as f:
+            _LOADED[uri] = pickle.loads(f.read())
+    return _LOADED[uri]
+
+
+def _search(batches, uris: list[str], span: int = 16 << 20, **how):
+    held, size = [], 0
+
+    def found():
+        out = []
+        for uri in uris:
+            piece = _piece(uri)
+            for doc_id, words in held:
+                out += [(doc_id, *r) for r in piece.search(words, piece.numbers(words), **how)]
+        held.clear()
         if out:
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [x.split()[0] for x in OUT.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), TYPES)], [x.split()[0] for x in OUT.split(", ")])
+
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0), batch.column(1)):
+            text = text.as_py()
+            held.append((doc_id.as_py(), words_of(text)))
+            size += len(text)
+            # with all pieces loaded there is nothing to gain from a long span
+            if size >= (span if len(uris) > KEPT else 1 << 16):
+                yield from found()
+                size = 0
+    yield from found()
 
 
 def _terms(batches):
+    """A row of each item (no term), and of each of its distinct terms."""
     for batch in batches:
-        out = [(item, w.decode("utf-8", "surrogatepass"), len(words)) for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for words in [words_of(text)] for w in set(words)]
+        out = []
+        for piece, item, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            words = words_of(text)
+            if words:
+                out += [(piece, item, text, None, len(words))] + [(piece, None, None, w.decode("utf-8", "surrogatepass"), 1) for w in set(words)]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.int64()))], ["item_id", "term", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64()))], ["piece", "item_id", "text", "term", "n"])
+
+
+def _build(batches, folder: str, n_items: int, mean_length: float):
+    """Rows come sorted by piece, terms before items."""
+    at, df, items = None, {}, []
+
+    def close():
+        fs, root = open_fs(folder)
+        fs.create_dir(root, recursive=True)
+        # a task that runs twice writes under its own name, and then moves the same bytes to the same place
+        name, own = f"piece-{at:06d}", f".{uuid.uuid4().hex}"
+        with fs.open_output_stream(f"{root}/{own}") as f:
+            f.write(pickle.dumps(Piece(items, df, n_items, mean_length)))
+        fs.move(f"{root}/{own}", f"{root}/{name}")
+        return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(items)], pa.int64())], ["uri", "items"])
+
+    for batch in batches:
+        for piece, item, text, term, n in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            if piece != at and at is not None:
+                yield close()
+                df, items = {}, []
+            at = piece
+            if term is None:
+                items.append((item, text))
+            else:
+                df[term.encode("utf-8", "surrogatepass")] = n
+    if at is not None:
+        yield close()
+
+
+def index_items(items: DataFrame, *, item_id_col: str = "item_id", item_text_col: str = "text", piece_bytes: int = 1 << 20) -> list[str]:
+    """Index all distinct items into pieces below the shared folder; their files."""
+    given = items.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null").distinct()
+    size = given.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    pieces = max(1, -(-size // piece_bytes))
+    dealt = given.select(F.pmod(F.xxhash64("item_id", "text"), F.lit(pieces)).cast("int").alias("piece"), "item_id", "text")
+    rows = written(map_arrow(dealt, _terms, "piece int, item_id long, text string, term string, n long"), "item-terms")
+    facts = rows.where("term is null").agg(F.count("*").alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
+    if not facts.n:
+        return []
+    terms = rows.where("term is not null").groupBy("term", "piece").agg(F.sum("n").alias("n"))
+    frequency = terms.groupBy("term").agg(F.sum("n").alias("df"))
+    own = terms.join(frequency, "term").select("piece", F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("string").alias("text"), "term", F.col("df").alias("n"))
+    both = own.unionByName(rows.where("term is null")).repartitionById(pieces, F.col("piece")).sortWithinPartitions("piece", F.col("term").asc_nulls_last(), "item_id", "text")
+    built = map_arrow(both, partial(_build, folder=shared_dir(items.sparkSession, "items"), n_items=facts.n, mean_length=facts.words / facts.n), "uri string, items long")
+    # one name a piece
+    return sorted(r.uri for r in built.collect())
 
 
 def contaminated(
@@ -217,21 +343,5 @@ def contaminated(
 ) -> DataFrame:
     """One row per text and test item that it holds: ``doc_id, item_id, passages, score, question_overlap, answer_overlap``."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    given = items.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null and item_id is not null").withColumn("n", F.octet_length("text"))
-    size = given.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    pieces = max(1, -(-size // piece_bytes))
-    terms = written(map_arrow(given.select("item_id", "text"), _terms, "item_id long, term string, n long"), "item-terms")
-    facts = terms.dropDuplicates(["item_id"]).agg(F.count("*").alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("words"), F.coalesce(F.max("n"), F.lit(0)).alias("longest")).first()
-    if not facts.n:
-        return d.limit(0).select("doc_id", *(F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in OUT.split(", ")[1:]))
-    frequency = terms.groupBy("term").agg(F.count("*").alias("df"))
-    found = None
-    for piece in range(pieces):
-        mine = F.pmod(F.xxhash64("item_id"), F.lit(pieces)) == piece
-        # one piece's items and terms: bounded by piece_bytes, whatever the number of items
-        part = [(r.item_id, r.text) for r in given.where(mine).orderBy("item_id", "text").collect()]
-        df = {r.term.encode("utf-8", "surrogatepass"): r.df for r in terms.where(mine).select("term").distinct().join(frequency, "term").collect()}
-        index = ItemIndex(part, df, facts.n, facts.words / facts.n)
-        hits = map_arrow(d, partial(_search, index=index, stride=max(32, facts.longest), threshold=threshold, question_at=question_at, answer_at=answer_at), OUT)
-        found = hits if found is None else found.unionByName(hits)
-    return found
+    uris = index_items(items, item_id_col=item_id_col, item_text_col=item_text_col, piece_bytes=piece_bytes)
+    return map_arrow(d, partial(_search, uris=uris, threshold=threshold, question_at=question_at, answer_at=answer_at), OUT)

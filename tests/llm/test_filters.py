@@ -240,6 +240,68 @@ def test_wand_retrieves_all_above_the_threshold():
             assert sorted(i for i, _ in index.retrieve(terms, threshold)) == np.flatnonzero(score >= threshold).tolist()
 
 
+def brute_contaminated(rows, items, threshold=0.6, question_at=0.5, answer_at=0.5):
+    """Every passage against every item, term by term."""
+    items = [(i, t, decontam.words_of(t)) for i, t in dict.fromkeys(items) if t is not None and decontam.words_of(t)]
+    df = collections.Counter(w for *_, ws in items for w in set(ws))
+    mean, out = sum(len(ws) for *_, ws in items) / len(items), collections.Counter()
+    for doc_id, text in rows:
+        words = decontam.words_of(text or "")
+        for item_id, item, ws in items:
+            counts = collections.Counter(ws)
+            weight = {w: math.log(1 + (len(items) - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(ws) / mean)) for w, c in counts.items()}
+            stride = 32
+            while stride < len(ws):
+                stride *= 2
+            passages, best = 0, (-1.0, 0.0, 0.0)
+            for lo in range(0, len(words), stride):
+                inside = words[lo : lo + 2 * stride]
+                score = sum(x for w, x in weight.items() if w in inside) / sum(weight.values())
+                pairs = set(zip(inside, inside[1:])) | {(w,) for w in inside}
+                q, a = (decontam.pairs_of(x) for x in decontam.question_and_answer(item))
+                overlaps = [len(x & pairs) / len(x) if x else 1.0 for x in (q, a)]
+                if score >= threshold and overlaps[0] >= question_at and overlaps[1] >= answer_at:
+                    passages, best = passages + 1, max(best, (round(score, 9), *overlaps))
+            if passages:
+                out[(doc_id, item_id, passages, *best)] += 1
+    return out
+
+
+def test_found_items_agree_with_brute_force(spark):
+    rng, v = random.Random(8), [f"w{i}" for i in range(150)]
+    items = [(i, words(rng, rng.choice([3, 12, 31, 33, 60, 70, 130]), v)) for i in range(25)]
+    items += [(3, words(rng, 20, v)), (None, words(rng, 25, v)), items[5], items[5], (77, items[6][1]), (78, "Q: " + words(rng, 9, v) + "\nAnswer: " + words(rng, 4, v)), (79, "?!"), (80, None)]
+    rows = []
+    for i in range(60):
+        w = words(rng, rng.randint(0, 500), v).split()
+        for _ in range(rng.randint(0, 2)):
+            t = rng.choice(items)[1] or "x"
+            part = t.split()
+            part = part[rng.randint(0, len(part) // 3) :]
+            at = rng.randint(0, len(w))
+            w[at:at] = part
+        rows.append((i, " ".join(w)))
+    rows += [rows[0], (None, items[0][1]), (99, None), (98, "")]
+    given = spark.createDataFrame(items, "item_id long, text string")
+    expected = brute_contaminated(rows, items)
+    assert len(expected) > 40
+    for piece in (1 << 20, 1500):
+        got = collections.Counter((r.doc_id, r.item_id, r.passages, round(r.score, 9), r.question_overlap, r.answer_overlap) for r in decontam.contaminated(make_docs(spark, rows), given, piece_bytes=piece).collect())
+        assert got == expected
+
+
+def test_a_long_item_changes_no_other_result(spark):
+    rng, v = random.Random(9), [f"w{i}" for i in range(3000)]
+    item = [f"q{i}" for i in range(20)]
+    scattered = [words(rng, 300, v)]
+    for w in item:
+        scattered += [w, words(rng, 300, v)]
+    long_item = words(rng, 5000, v)
+    rows = [(1, " ".join(scattered)), (2, words(rng, 100, v) + " " + long_item + " " + words(rng, 20_000, v))]
+    given = spark.createDataFrame([(0, " ".join(item)), (1, long_item)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(make_docs(spark, rows), given).collect()} == {(2, 1)}
+
+
 def test_planted_items_are_found_and_clean_texts_left_alone(spark, none):
     rng, v = random.Random(2), [f"w{i}" for i in range(2000)]
     items = [(i, words(rng, rng.randint(15, 50), v)) for i in range(30)] + [(30, None), (31, ""), (None, "a b c"), (32, "Q: which word comes " + words(rng, 12, v) + "\nA: " + words(rng, 6, v))]
