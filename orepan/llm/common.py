@@ -13,19 +13,42 @@ from pyspark.sql import functions as F
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
+#: Folders made below the shared folder, for ``remove_scratch``.
+_MADE: list[str] = []
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder URI under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the setting is absent (single-machine tests) is a local folder taken.
+    Where the setting is absent the context's checkpoint folder counts; a temporary folder is made on a
+    single machine only (tests), since executors elsewhere could not see it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if not root and context._jsc.sc().getCheckpointDir().isDefined():
+        root = context.getCheckpointDir()
     if not root:
-        current = spark.sparkContext.getCheckpointDir() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else None
-        root = current or "file://" + tempfile.mkdtemp(prefix="spark-orepan-")
-        if current is None:
-            spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-orepan-")
+        context.setCheckpointDir(root)
+    folder = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(folder)
+    return folder
+
+
+def remove_scratch(since: int = 0) -> None:
+    """Remove the folders made after the first ``since`` (see ``made``): only once nothing lazy reads them."""
+    while len(_MADE) > since:
+        fs, path = open_fs(_MADE.pop())
+        try:
+            fs.delete_dir(path)
+        except FileNotFoundError:  # nothing was written there
+            pass
+
+
+def made() -> int:
+    return len(_MADE)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -42,10 +65,16 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def ship(spark: SparkSession) -> None:
-    # Whole documents are wide rows: small batches bound what a worker and the JVM's side buffers hold.
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """For a job over whole documents, which are wide rows: bounds what a worker and the JVM's buffers hold.
+
+    A setting of the job's session; the operators themselves change none.
+    """
     if spark.conf.get(BATCH) == "10000":  # Spark's own default; another value is the user's choice
-        spark.conf.set(BATCH, "1000")
+        spark.conf.set(BATCH, str(rows))
+
+
+def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if getattr(context, "_orepan_shipped", False):
         return

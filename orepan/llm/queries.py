@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, line_dedup, lm, packing, sharding, simhash, token_files, topk, toxicity, warc
-from .common import crc_of_id, table
+from .common import crc_of_id, small_batches, table
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_topk, op3_toxicity, op4_sharding, op5_line_dedup, op6_lm, op7_warc, op8_packing, op9_decontamination, op10_simhash)}
+    def job(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            small_batches(spark)
+            return f(spark, sf_dir)
+
+        return run
+
+    return {f.__name__: job(f) for f in (op1_token_files, op2_topk, op3_toxicity, op4_sharding, op5_line_dedup, op6_lm, op7_warc, op8_packing, op9_decontamination, op10_simhash)}
 
 
 ORACLE = {

@@ -213,6 +213,24 @@ def test_line_dedup_edge_cases(spark, docs, none):
     assert line_dedup.dedup_lines(docs).columns == docs.columns + ["removed_lines"]
 
 
+def test_runs_may_repeat_within_themselves(spark):
+    rng, v = random.Random(14), [f"w{i}" for i in range(500)]
+    a, b, c = (words(rng, 20, v) for _ in range(3))
+    rows = [(i, "\n".join(rng.choice([a, b, c]) for _ in range(rng.randint(3, 12)))) for i in range(40)]
+    rows += [(100, "\n".join([c, "own", a, b, a, b, a])), (101, "\n".join([a] * 9))]
+    assert deduped(spark, rows) == brute_dedup(rows)
+
+
+def test_rows_without_an_id_are_places_of_their_own(spark):
+    rng, v = random.Random(13), [f"w{i}" for i in range(500)]
+    run = "\n".join(words(rng, 12, v) for _ in range(5))
+    rows = [(None, run), (None, run), (None, "x\n" + run), (None, words(rng, 60, v)), (None, None), (7, "short")]
+    got = collections.Counter(r.text for r in line_dedup.dedup_lines(make_docs(spark, rows).repartition(3)).collect())
+    assert sum(run in (t or "") for t in got.elements()) == 1 and sum(got.values()) == len(rows)
+    d = spark.createDataFrame([(1, run, 9), (2, run, 8)], "doc_id long, text string, removed_lines int")
+    assert sorted(tuple(r) for r in line_dedup.dedup_lines(d).collect()) == [(1, run, 9), (2, "", 8)]
+
+
 def test_line_dedup_is_native(docs):
     plan = line_dedup.dedup_lines(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
