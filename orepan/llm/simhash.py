@@ -417,10 +417,11 @@ def components(edges: DataFrame, *, most_rounds: int | None = None) -> DataFrame
 
     Alternates two steps until nothing changes: each node's larger neighbours are tied to its least
     neighbour, then each node and its smaller neighbours.  Sums before joins keep hot nodes apart;
-    every round is written to the shared folder.
+    every round is written to the shared folder.  It is an error if they still change after ``most_rounds`` (200).
     """
+    rounds = most_rounds or 200
     now, seen = written(edges.select("a", "b").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links"), None
-    for _ in range(most_rounds or 200):
+    for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a != b").distinct()
@@ -432,6 +433,8 @@ def components(edges: DataFrame, *, most_rounds: int | None = None) -> DataFrame
         if mark == seen or not mark[0]:
             break
         seen = mark
+    else:  # rounds grow with the square of a logarithm at most, so this is a fault and no result
+        raise RuntimeError(f"components still change after {rounds} rounds")
     tied = now.groupBy("b").agg(F.min("a").alias("component")).select(F.col("b").alias("node"), "component")
     return tied.unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct().join(tied.select("node"), "node", "left_anti"))
 
@@ -443,10 +446,15 @@ def near_duplicates(docs: DataFrame, *, k: int = 3, radius: int = 3, words: int
     counts more finely, for links at a given similarity (``radius_for``).
     """
     fps = written(fingerprints(docs, k=k, words=words, id_col=id_col, text_col=text_col), "fingerprints")
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct")
-    tied = components(links(distinct.where("node is not null"), radius=radius))
-    place = written(distinct.join(tied, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "places")
-    return fps.join(place, "fp").select("doc_id", "fp", "component_id")
+    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("c")), "distinct")
+    tied = components(links(distinct.where("node is not null").select("node", "fp"), radius=radius))
+    place = written(distinct.join(tied, "node", "left").select("fp", "c", F.coalesce("component", "node").alias("component_id")), "places")
+    # fingerprints with more than a thousandth of all rows: fewer than a thousand, so they are broadcast and
+    # their rows stay where they are; all others meet by the fingerprint
+    often = place.where(F.col("c") * 1000 > place.agg(F.sum("c")).first()[0]).select("fp", F.col("component_id").alias("hot"), F.lit(True).alias("known"))
+    marked = fps.join(F.broadcast(often), "fp", "left")
+    rare = marked.where("known is null").select("doc_id", "fp").join(place.select("fp", "component_id").hint("merge"), "fp").select("doc_id", "fp", "component_id")
+    return marked.where("known").select("doc_id", "fp", F.col("hot").alias("component_id")).unionByName(rare)
 
 
 def text_key(text_col: str = "text"):

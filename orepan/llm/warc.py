@@ -7,9 +7,10 @@ skippable frames (so that any zstandard reader can unpack the bundle as one WARC
 
 * seek table: per frame its compressed and its unpacked size, the number of frames and a magic, in the
   layout of the published seekable format, found from the end of the file;
-* record map: per record its page id, frame, offset in the unpacked frame, and length.
+* record map: per record its WARC record id and page id, frame, offset in the unpacked frame, and length.
 
-So a record is read by unpacking one frame of about ``frame_bytes``.
+So a record is read by its id, unpacking one frame of about ``frame_bytes``.  A record id stands for the page
+id, the payload, the URL and the kind of record; only rows that repeat all of them share one.
 
 Of rows with equal payloads of at least ``least_bytes`` that with the largest id is a response and the
 others are revisits of it.  Equality is by SHA-1 and length.  Null html is the empty payload.  Rows with
@@ -37,15 +38,17 @@ SKIPPABLE_SEEK = 0x184D2A5E
 SEEK_MAGIC = 0x8F92EAB1
 FOOTER = struct.Struct("<IBI")
 ENTRY = np.dtype([("packed", "<u4"), ("unpacked", "<u4")])
-RECORD = np.dtype([("null", "u1"), ("page_id", "<i8"), ("frame", "<u4"), ("offset", "<u4"), ("size", "<u4")])
+RECORD = np.dtype([("record", "V16"), ("null", "u1"), ("page_id", "<i8"), ("frame", "<u4"), ("offset", "<u4"), ("size", "<u4")])
 
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
-def record_id(page_id) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def record_id(page_id, digest: str, url, refers_to=None) -> uuid.UUID:
+    """Of a response the id does not depend on the URL, as revisits name it by page and payload alone."""
+    role = "response" if refers_to is None and page_id is not None else f"{url}|{refers_to}"
+    return uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}|{digest}|{role}")
 
 
 def record(page_id, url, payload: bytes | None, digest: str, size: int, refers_to) -> bytes:
@@ -54,7 +57,7 @@ def record(page_id, url, payload: bytes | None, digest: str, size: int, refers_t
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if payload is None else 'response'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Record-ID: <urn:uuid:{record_id(page_id, digest, url, refers_to)}>",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {' '.join((url or '').split())}",
         "Content-Type: application/http;msgtype=response",
@@ -65,7 +68,7 @@ def record(page_id, url, payload: bytes | None, digest: str, size: int, refers_t
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
     if payload is None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page: {refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:uuid:{record_id(refers_to, digest, None)}>", f"X-Refers-To-Page: {refers_to}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -77,15 +80,23 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block[len(HTTP) :]
 
 
-def decide(pages: DataFrame, *, least_bytes: int = 1000, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
+def decide(pages: DataFrame, *, least_bytes: int = 1000, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", broadcast_rows: int = 500_000) -> DataFrame:
     """``page_id, url, html, payload_digest, payload_bytes, refers_to`` (null: a response)."""
     html = F.coalesce(F.col(html_col), F.lit(""))
     url = F.col(url_col) if url_col in pages.columns else F.lit(None).cast("string")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("payload_digest"), F.octet_length(html).cast("long").alias("payload_bytes"))
     # only repeated payloads need a look-up; sums before the shuffle keep one huge group small
-    last = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("last"), F.count("*").alias("c")).where("c > 1 and last is not null").drop("c")
+    large = F.col("payload_bytes") >= least_bytes
+    last = rows.where(large).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("last"), F.count("*").alias("c")).where("c > 1 and last is not null").drop("c")
+    last = written(last, "repeated")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("last")), F.col("last"))
-    return rows.join(last, ["payload_digest", "payload_bytes"], "left").select("page_id", "url", F.when(refers.isNull(), F.col("html")).alias("html"), "payload_digest", "payload_bytes", refers.alias("refers_to"))
+    decided = lambda df: df.select("page_id", "url", F.when(refers.isNull(), F.col("html")).alias("html"), "payload_digest", "payload_bytes", refers.alias("refers_to"))
+    on = ["payload_digest", "payload_bytes"]
+    if last.count() <= broadcast_rows:  # about 100 bytes a row; the payloads then stay where they are
+        return decided(rows.join(F.broadcast(last), on, "left"))
+    # small and null payloads match nothing, so they don't meet in one task either
+    small = rows.where(~large).withColumn("last", F.lit(None).cast("long"))
+    return decided(rows.where(large).join(last.hint("merge"), on, "left").unionByName(small))
 
 
 class _Bundle:
@@ -98,10 +109,10 @@ class _Bundle:
         self.out, self.packer, self.most = self.fs.open_output_stream(self.own), zstandard.ZstdCompressor(level=3), frame_bytes
         self.open, self.at, self.frames, self.records, self.size = [], 0, [], [], 0
 
-    def add(self, page_id, raw: bytes) -> None:
+    def add(self, record: uuid.UUID, page_id, raw: bytes) -> None:
         if self.at and self.at + len(raw) > self.most:
             self.cut()
-        self.records.append((page_id is None, page_id or 0, len(self.frames), self.at, len(raw)))
+        self.records.append((record.bytes, page_id is None, page_id or 0, len(self.frames), self.at, len(raw)))
         self.open.append(raw)
         self.at += len(raw)
 
@@ -139,7 +150,7 @@ def write_bundles(decided: DataFrame, path: str, *, frame_bytes: int = 256 << 10
             for page_id, url, html, digest, size, refers in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if out is None:
                     out = _Bundle(path, f"part-{part:06d}-{number:04d}.warc.zst", frame_bytes)
-                out.add(page_id, record(page_id, url, None if html is None else html.encode(), digest, size, refers))
+                out.add(record_id(page_id, digest, url, refers), page_id, record(page_id, url, None if html is None else html.encode(), digest, size, refers))
                 if out.size >= bundle_bytes:
                     yield out.close()
                     out, number = None, number + 1
@@ -172,8 +183,16 @@ class Bundle:
     def frame(self, i: int) -> bytes:
         return self.unpack.decompress(self.f.read_at(int(self.frames["packed"][i]), int(self.starts[i])), max_output_size=int(self.frames["unpacked"][i]))
 
-    def read(self, page_id: int) -> list[bytes]:
-        return [self.frame(int(r["frame"]))[int(r["offset"]) : int(r["offset"]) + int(r["size"])] for r in self.records if not r["null"] and r["page_id"] == page_id]
+    def _at(self, r) -> bytes:
+        return self.frame(int(r["frame"]))[int(r["offset"]) : int(r["offset"]) + int(r["size"])]
+
+    def read(self, page_id: int | None) -> list[bytes]:
+        """The records of a page id, or of the rows without one."""
+        own = self.records["null"] == 1 if page_id is None else (self.records["null"] == 0) & (self.records["page_id"] == page_id)
+        return [self._at(r) for r in self.records[own]]
+
+    def read_record(self, record: uuid.UUID) -> list[bytes]:
+        return [self._at(r) for r in self.records[self.records["record"] == np.void(record.bytes)]]
 
 
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"

@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import random
+import uuid
 
 import numpy as np
 import xxhash
@@ -165,6 +166,14 @@ def test_pairs_at_the_threshold_meet():
     assert met >= 1495
 
 
+def test_one_fingerprint_may_hold_most_rows(spark):
+    rng, v = random.Random(2), [f"w{i}" for i in range(400)]
+    rows = [(i, words(rng, 20, v)) for i in range(1500)] + [(3000 + i, None) for i in range(500)] + [(None, "")]
+    got = simhash.near_duplicates(make_docs(spark, rows)).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got if r.fp == 0} == {3000}
+    assert {r.component_id for r in got if r.doc_id is not None and r.doc_id < 3000} <= set(range(1500))
+
+
 def test_no_documents_have_no_components(none):
     assert simhash.near_duplicates(none).count() == 0
 
@@ -276,6 +285,14 @@ def test_archives_hold_what_was_written(spark):
     read = [raw for m in manifest for raw in warc.Bundle(m.path).read(8)]
     assert len(read) == 2 and all(warc.parse(raw)[1] == other.encode() for raw in read)
     assert sum(m.records for m in manifest) == len(rows)
+    heads = [(warc.parse(raw)[0], raw) for m in manifest for raw in warc.Bundle(m.path).read(None)]
+    assert len(heads) == 1 and heads[0][0]["WARC-Type"] == "revisit"
+    known = [warc.Bundle(m.path) for m in manifest]
+    for name in ("WARC-Record-ID", "WARC-Refers-To"):
+        found = [r for b in known for r in b.read_record(uuid.UUID(heads[0][0][name].strip("<>").removeprefix("urn:uuid:")))]
+        assert len(found) == 1 and (found[0] == heads[0][1] or warc.parse(found[0])[1] == big.encode())
+    joined = collections.Counter((r.page_id, r.payload_digest, r.refers_to) for r in warc.decide(pages, broadcast_rows=0).collect())
+    assert joined == collections.Counter((i, d, to) for i, _, d, _, to in got.elements())
     assert warc.archive_round_trip(spark, pages.limit(0)).count() == 0
 
 
