@@ -198,6 +198,45 @@ def test_shards_are_even_gapless_and_keep_copies_together(spark, docs, corpus):
     assert sharding.shard(d, target_bytes=int(sizes.sum() / 7) + 1).select("shard").distinct().count() == 7
 
 
+def test_only_groups_that_no_shard_can_hold_are_dealt(spark):
+    parts, load = sharding.deal_heavy([(1, 50), (2, 30), (3, 30), (4, 250)], 5, 100.0)
+    assert max(load) <= 101 and sum(load) == 360
+    by_group = {g: [(lo, hi) for x, lo, hi, _ in parts if x == g] for g in (1, 2, 3, 4)}
+    assert all(len(by_group[g]) == 1 for g in (1, 2, 3)) and len(by_group[4]) == 3
+    assert all(x[0][0] == 0 and x[-1][1] == sharding.SALT and all(a[1] == b[0] for a, b in zip(x, x[1:])) for x in by_group.values())
+    rng, v = random.Random(3), [f"w{i}" for i in range(500)]
+    copies = [words(rng, 40, v) for _ in range(6)]
+    rows = [(i, words(rng, rng.randint(10, 60), v)) for i in range(2000)] + [(10_000 + i, copies[i % 6]) for i in range(400)] + [(20_000 + i, None) for i in range(60)]
+    placed = sharding.shard(make_docs(spark, rows), shards=10).toPandas()
+    sizes = placed.groupby("shard")["size"].sum()
+    assert len(sizes) == 10 and sizes.max() < 1.03 * sizes.mean() and sizes.min() > 0.97 * sizes.mean()
+    own = dict(zip(placed.doc_id, placed.shard))
+    for k in range(6):  # each a third of a shard
+        assert len({own[10_000 + i] for i in range(400) if i % 6 == k}) == 1
+    assert len({own[20_000 + i] for i in range(60)}) == 1
+
+
+def test_written_shards_hold_every_row_once(spark, docs, corpus, tmp_path):
+    sharding.write_shards(docs, str(tmp_path / "s"), shards=4)
+    got = spark.read.parquet(str(tmp_path / "s"))
+    assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == collections.Counter(corpus)
+    assert set(docs.columns) < set(got.columns)
+    slots = sharding.shard(docs, shards=4).toPandas().sort_values(["shard", "slot"])
+    for s, part in slots.groupby("shard"):
+        written = [r.doc_id for f in sorted((tmp_path / "s" / f"__shard={s}").glob("*.parquet")) for r in spark.read.parquet(str(f)).collect()]
+        assert [-1 if i is None else i for i in written] == part.doc_id.fillna(-1).astype(int).tolist()
+    plain = docs.select("doc_id", "text")
+    sharding.write_shards(plain, str(tmp_path / "t"), target_bytes=20_000)
+    assert spark.read.parquet(str(tmp_path / "t")).count() == len(corpus)
+
+
+def test_null_metadata_is_placed_like_empty(spark):
+    rows = [(i, "a b c" * (i % 7), None, "") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    sizes = sharding.shard(df, shards=6).groupBy("shard").count().collect()
+    assert sum(r["count"] for r in sizes) == 200
+
+
 def test_no_documents_have_no_shards(none):
     assert sharding.shard(none, shards=24).count() == 0
 
