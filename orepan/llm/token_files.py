@@ -11,13 +11,14 @@ A file holds, in ascending document order::
   the dictionary, and the magic again.  A reader with another dictionary stops at once.
 
 Texts that are null count as empty: such a document has the end id alone.  Rows with a null id take
-the place before all others.  Repeated ids keep all their rows, next to each other.  An empty table
-gives no file.
+the place before all others.  Repeated ids keep all their rows, next to each other; an id that has more rows
+than a file should hold lies in several files, one after the other.  An empty table gives no file.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import struct
 import uuid
@@ -39,11 +40,11 @@ INDEX = np.dtype([("null", "u1"), ("doc_id", "<i8"), ("offset", "<u8"), ("size",
 
 
 def train_dictionary(
-    docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 600, sample_chars: int = 4000, dict_bytes: int = 64_000
+    docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 600, most_chars: int = 20_000, dict_bytes: int = 64_000
 ) -> bytes:
-    """A zstandard dictionary from at most ``sample_docs`` documents of a hash order over all rows.
+    """A zstandard dictionary from at most ``sample_docs`` whole documents of a hash order over all rows.
 
-    The sample is bounded (``sample_docs`` texts of at most ``sample_chars`` characters) since a
+    The sample is bounded (``sample_docs`` texts, none longer than ``most_chars`` characters) since a
     dictionary only lowers the size of the files; every document is then written whole.
     """
     import zstandard
@@ -52,8 +53,8 @@ def train_dictionary(
     one_in = docs.count() // (3 * sample_docs) + 1
     h = F.xxhash64(F.col(id_col).cast("string"), F.lit("dictionary"))
     rows = (
-        docs.where((F.length(text_col) > 0) & (F.pmod(h, F.lit(one_in)) == 0))
-        .select(h.alias("h"), F.substring(text_col, 1, sample_chars).alias("t"))
+        docs.where(F.length(text_col).between(1, most_chars) & (F.pmod(h, F.lit(one_in)) == 0))
+        .select(h.alias("h"), F.col(text_col).alias("t"))
         .orderBy("h", "t")
         .limit(sample_docs)
         .collect()
@@ -73,6 +74,36 @@ def _dictionary(raw: bytes):
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
 
+NO_ID = -(1 << 63)
+
+
+def id_quantiles(d: DataFrame, n: int) -> np.ndarray:
+    """``n`` - 1 borders of equal parts of the ids, in two steps: ranges first, then each range by a task of its own.
+
+    A null id counts as the smallest.  An id with many rows is a border several times.
+    """
+    top = math.isqrt(n - 1) + 1
+    own = -(-n // top)
+    ids = d.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"))
+    share = lambda k: [i / k for i in range(1, k)]
+    coarse = np.array(ids.agg(F.percentile_approx("id", share(top), 50 * top).alias("q")).first().q if top > 1 else [], dtype=np.int64)
+
+    def ranges(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            first, last = (np.searchsorted(coarse, ids, side=s) for s in ("left", "right"))
+            # rows of an id that is a border belong to the ranges on both sides in turn
+            part = first + np.arange(len(ids)) % (last - first + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), batch.column(0)], ["part", "id"])
+
+    parts = map_arrow(ids, ranges, "part int, id long")
+    if own > 1:
+        fine = {r.part: r.q for r in parts.groupBy("part").agg(F.percentile_approx("id", share(own), 50 * own).alias("q")).collect()}
+    else:
+        fine = {}
+    return np.sort(np.concatenate([coarse, *(np.array(q, dtype=np.int64) for q in fine.values())]))
+
+
 def write_token_files(
     docs: DataFrame, path: str, vocabulary: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text", dictionary: bytes | None = None, file_bytes: int = 64 << 20, level: int = 3
 ) -> DataFrame:
@@ -80,7 +111,7 @@ def write_token_files(
 
     Texts are read once and become compressed frames at once; only the frames are shuffled.  File
     borders come from quantiles of the ids alone, so no task holds more than about ``file_bytes`` of
-    text's frames.  A task writes to a name of its own and then moves the file, so tasks that run
+    text's frames: an id that several borders fall on is dealt over their files by its frames.  A task writes to a name of its own and then moves the file, so tasks that run
     twice leave one file.
 
     Returns one row per file: ``file_no, path, docs, tokens, dict_sha256``.
@@ -91,8 +122,7 @@ def write_token_files(
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = d.agg(F.sum(F.length("text")).alias("b"), F.count("*").alias("n")).first()
     n_files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (total.b or 0) // file_bytes + 1)
-    cuts = d.agg(F.percentile_approx("doc_id", [i / n_files for i in range(1, n_files)], 20 * n_files).alias("q")).first().q if n_files > 1 and total.n else []
-    cuts = np.unique(np.asarray(cuts or [], dtype=np.int64))
+    cuts = id_quantiles(d, n_files) if n_files > 1 and total.n else np.empty(0, dtype=np.int64)
 
     def frames(batches):
         import zstandard
@@ -101,17 +131,19 @@ def write_token_files(
         packer = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(dictionary), write_content_size=True)
         for batch in batches:
             ids = batch.column(0)
-            files = np.searchsorted(cuts, ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False), side="right").astype(np.int32)
+            place = ids.fill_null(NO_ID).to_numpy(zero_copy_only=False)
+            first, last = (np.searchsorted(cuts, place, side=s) for s in ("left", "right"))
             n, out = [], []
             for x in enc.encode_many(batch.column(1).to_pylist()):
                 x += tail
                 n.append(len(x) // 4)
                 out.append(packer.compress(x))
-            yield pa.RecordBatch.from_arrays([pa.array(files), ids, pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["file_no", "doc_id", "n", "frame"])
+            files = first + np.array([zlib.crc32(x) for x in out], dtype=np.int64) % (last - first + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(files.astype(np.int32)), ids, pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["file_no", "doc_id", "n", "frame"])
 
     coded = map_arrow(d, frames, "file_no int, doc_id long, n long, frame binary")
     # equal rows are alike, so any order among them gives the same file
-    placed = coded.repartitionById(len(cuts) + 1, F.col("file_no")).sortWithinPartitions("file_no", F.col("doc_id").asc_nulls_first(), F.crc32("frame"), "n")
+    placed = coded.repartitionById(max(1, len(cuts) + 1), F.col("file_no")).sortWithinPartitions("file_no", F.col("doc_id").asc_nulls_first(), F.crc32("frame"), "n")
 
     def write(batches):
         out = None

@@ -6,7 +6,7 @@ classes; embeddings and softmax weights are trained together in numpy.  A misspe
 seen shares most n-grams with words that were, so it shares their vectors.
 
 Training takes a bounded sample of the labelled rows (``sample_docs`` rows in a hash order, whole texts,
-at most ``sample_chars`` characters); scoring takes every whole text.  Since the softmax is linear,
+at most ``sample_chars`` characters, no text above a twentieth of that); scoring takes every whole text.  Since the softmax is linear,
 a word's share of the score is one number, which each Python worker keeps per word.
 
 Null and blank texts have the score of an empty bag: the toxic share of the sample.  Labels that are null, and
@@ -164,12 +164,14 @@ def train(texts: list[str], labels: list[int], *, buckets: int = 1 << 18, dim: i
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, *, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = 6_000, sample_chars: int = 20_000_000) -> tuple[list[str], list[int]]:
-    """At most ``sample_docs`` labelled texts in a hash order, whole, of ``sample_chars`` characters together."""
+    """At most ``sample_docs`` labelled texts in a hash order, whole, of ``sample_chars`` characters together, none above a twentieth."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chosen = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y is not null and doc_id is not null").where(learn)
     chosen = chosen.withColumn("h", F.xxhash64("doc_id", F.lit("toxicity"))).orderBy("h", "doc_id", "y").limit(sample_docs)
     # the sample's size is bounded, so it is sent to the documents instead of the reverse
     found = d.join(F.broadcast(chosen), "doc_id").select("h", "doc_id", "y", "text")
+    # a text that takes a large share of the sample alone is left out, as it would push out all after it
+    found = found.where(F.length("text") * 20 <= sample_chars)
     sized = found.withColumn("sum", F.sum(F.length("text").cast("long")).over(W.orderBy("h", "doc_id", "y", F.length("text")).rowsBetween(W.unboundedPreceding, 0)))
     rows = sized.where(F.col("sum") <= sample_chars).orderBy("h", "doc_id", "y").select("text", "y").collect()
     return [r.text for r in rows], [int(bool(r.y)) for r in rows]

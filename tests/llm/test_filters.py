@@ -120,6 +120,15 @@ def test_training_sample_takes_only_learning_labels(spark, docs):
     assert len(texts) == 9 and sum(y) == 5
     assert toxicity.train([], []).scores(["a"])[0] < 0.01
     assert len(toxicity.training_sample(docs, labels, learn=F.col("doc_id") < 10, sample_docs=4)[0]) == 4
+    assert len(toxicity.training_sample(docs.limit(0), labels, learn=F.col("doc_id") < 10)[0]) == 0
+    assert toxicity.score_texts(docs.limit(0), toxicity.train([], [])).count() == 0
+
+
+def test_one_huge_text_does_not_empty_the_sample(spark):
+    rows = [(i, "x" * 30_000 if i % 5 == 0 else f"text {i}") for i in range(50)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+    texts, _ = toxicity.training_sample(make_docs(spark, rows), labels, learn=F.lit(True), sample_chars=40_000)
+    assert len(texts) == 40 and max(map(len, texts)) < 100
 
 
 # --- line dedup -------------------------------------------------------------------------------

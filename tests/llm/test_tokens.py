@@ -1,4 +1,5 @@
 import collections
+import functools
 import random
 import zlib
 
@@ -10,11 +11,16 @@ from orepan.llm import packing, token_files
 from orepan.llm.common import shared_dir
 from orepan.llm.tokens import ChunkEncoder
 
+from .conftest import words
+
 BYTE, WORD = (token_files.vocabulary_path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 
 
+tokenizer = functools.cache(Tokenizer.from_file)
+
+
 def whole(path, text, end):
-    return np.asarray(Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids + [end], dtype="<u4")
+    return np.asarray(tokenizer(path).encode(text or "", add_special_tokens=False).ids + [end], dtype="<u4")
 
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
@@ -51,6 +57,22 @@ def test_one_document_is_read_by_its_index(spark, docs, corpus):
         token_files.TokenFile(manifest[0].path, dictionary + b"x")
 
 
+def test_an_id_with_many_rows_lies_in_several_files(spark):
+    rng, v = random.Random(6), [f"w{i}" for i in range(300)]
+    rows = [(None, words(rng, 20, v)) for _ in range(600)] + [(7, words(rng, 20, v)) for _ in range(500)] + [(100 + i, words(rng, 20, v)) for i in range(400)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    cuts = token_files.id_quantiles(df, 16)
+    assert len(cuts) == 15 and 4 <= (cuts == token_files.NO_ID).sum() <= 8 and 3 <= (cuts == 7).sum() <= 7
+    manifest = token_files.write_token_files(df, shared_dir(spark, "t"), BYTE, end_id=2, dictionary=b"", file_bytes=9000)
+    files = manifest.orderBy("file_no").collect()
+    assert len(files) > 8 and max(m.docs for m in files) < 400
+    got = token_files.read_token_files(manifest, b"").orderBy("start").collect()
+    assert [-1 if r.doc_id is None else r.doc_id for r in got] == sorted(-1 if i is None else i for i, _ in rows)
+    assert collections.Counter(bytes(r.ids) for r in got) == collections.Counter(whole(BYTE, t, 2).tobytes() for _, t in rows)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+
+
 def test_no_documents_give_no_tokens(spark, none):
     assert token_files.token_round_trip(spark, none, BYTE, 2).count() == 0
     assert packing.pack(none, WORD, end_id=1).count() == 0
