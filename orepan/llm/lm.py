@@ -13,7 +13,9 @@ once so that every later step sees the same parts.  A part sends each of its dis
 with its count, as sorted and delta-coded blocks to the bucket of the n-gram's hash.  A bucket adds
 up and answers each part with what the others have, in the order the part sent its n-grams, so an
 answer holds no keys and is mostly zeros.  So the shuffles carry distinct n-grams of parts, no task
-or driver ever holds the corpus' counts, and all texts count.
+or driver ever holds the corpus' counts, and all texts count.  There is a bucket for every ``bucket_bytes`` of
+text, so a task's memory stays the same however large the input is; a part sends a bucket no block if it has no
+n-gram of it, so blocks never outnumber the parts' distinct n-grams.
 
 Null and blank texts have the end token alone.  Repeated rows count as often as they stand there.
 Rows with a null id learn and score like others (``learn`` decides; a null there means no).  An empty
@@ -340,7 +342,7 @@ def _score(batches, tokens: int, distinct: int, weights: np.ndarray):
     yield from _by_part(batches, work)
 
 
-def score_texts(docs: DataFrame, *, learn: Column, fold: Column, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 16 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, *, learn: Column, fold: Column, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 8 << 20, bucket_bytes: int = 32 << 20) -> DataFrame:
     """Score every text by the model learned from the rows where ``learn`` holds.
 
     ``fold``: which of those rows are deleted from the counts while the weights are learned.
@@ -351,8 +353,8 @@ def score_texts(docs: DataFrame, *, learn: Column, fold: Column, id_col: str = "
     d = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), learns.alias("learn"), (learns & F.coalesce(fold, F.lit(False))).alias("fold"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
     )
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = written(map_arrow(d, partial(_split, part_bytes=part_bytes), PARTS), "lm-parts")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-parts.count() * part_bytes // bucket_bytes))
     asked = map_arrow(parts, partial(_send, buckets=buckets), BLOCKS).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
     replies = written(map_arrow(asked, _answer, REPLIES), "lm-replies")
     stats = replies.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "fold_tokens", "distinct"))).first()

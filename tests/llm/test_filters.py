@@ -28,6 +28,57 @@ def brute_lm(corpus):
     return sorted((i is not None, i or 0, len(w), sum(counts[x] > 0 for x in w), n, round(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), 6)) for i, _, w in docs)
 
 
+def brute_scores(corpus):
+    """The whole model token by token: counts, deleted counts, mixture weights, scores."""
+    docs = []
+    for i, t in corpus:
+        r = zlib.crc32(str(i).encode()) % 7 if i is not None else 2
+        docs.append((r != 2, r == 3, [b"\n", *(t or "").encode().lower().split(), b"\n"]))
+    uni, bi, fold_uni, fold_bi = (collections.Counter() for _ in range(4))
+    for learn, fold, w in docs:
+        if learn:
+            uni.update(w[1:])
+            bi.update(zip(w, w[1:]))
+        if fold:
+            fold_uni.update(w[1:])
+            fold_bi.update(zip(w, w[1:]))
+    n, kept_n, p0 = sum(uni.values()), sum(uni.values()) - sum(fold_uni.values()), 1 / (len(uni) + 1)
+    bucket = lambda c: min(c.bit_length(), lm.BUCKETS - 1)
+    step = lambda p: 0.0 if p <= 0 else 2.0 ** (round(lm.STEP * math.log2(p / p0)) / lm.STEP)
+    seen = collections.defaultdict(collections.Counter)
+    for _, fold, w in docs:
+        for a, b in zip(w, w[1:]) if fold else ():
+            before = uni[a] - fold_uni[a]
+            seen[bucket(before)][step((bi[a, b] - fold_bi[a, b]) / before if before else 0), step((uni[b] - fold_uni[b]) / kept_n)] += 1
+    weights = {}
+    for k in range(lm.BUCKETS):
+        m = [1 / 3] * 3 if k else [0, 0.5, 0.5]
+        for _ in range(60):
+            total = [1.0, 1.0, 1.0]
+            for (r2, r1), c in seen[k].items():
+                share = [m[0] * r2, m[1] * r1, m[2]]
+                total = [x + c * y / sum(share) for x, y in zip(total, share)]
+            if not k:
+                total[0] = 0
+            m = [x / sum(total) for x in total]
+        weights[k] = m
+    out = []
+    for _, _, w in docs:
+        s = 0.0
+        for a, b in zip(w, w[1:]):
+            m = weights[bucket(uni[a])]
+            s += math.log10(m[0] * (bi[a, b] / uni[a] if uni[a] else 0) + m[1] * uni[b] / n + m[2] * p0)
+        out.append(s)
+    return out
+
+
+def test_language_model_scores_agree_with_brute_force(docs, corpus):
+    expected = sorted((i is not None, i or 0, s) for (i, _), s in zip(corpus, brute_scores(corpus)))
+    for kw in ({}, {"part_bytes": 3000, "bucket_bytes": 2000}):
+        got = sorted((r.doc_id == r.doc_id, int(r.doc_id) if r.doc_id == r.doc_id else 0, r.score) for r in scored(docs, **kw).itertuples())
+        assert [x[:2] for x in got] == [x[:2] for x in expected] and np.allclose([x[2] for x in got], [x[2] for x in expected], rtol=1e-6)
+
+
 def scored(docs, **kw):
     fold = F.pmod(crc_of_id("doc_id"), F.lit(7))
     return lm.score_texts(docs, learn=fold != 2, fold=fold == 3, **kw).toPandas()
