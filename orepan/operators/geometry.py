@@ -22,6 +22,10 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(sum(((F.get(a, F.lit(i)) - F.get(b, F.lit(i))) * (F.get(a, F.lit(i)) - F.get(b, F.lit(i))) for i in (1, 2)), (F.get(a, F.lit(0)) - F.get(b, F.lit(0))) * (F.get(a, F.lit(0)) - F.get(b, F.lit(0)))))
 
 
+#: The three pairs of a triangle's points.
+PAIRS = ((0, 1), (0, 2), (1, 2))
+
+
 def _shifted(steps: Column, name: str) -> Column:
     return F.transform(steps, lambda d: F.col(name) + d)
 
@@ -36,27 +40,20 @@ def _area(p: Column, q: Column, r: Column) -> Column:
 def triangles(objects: DataFrame, *, features: str = "features", keep: tuple[str, ...] = ("object_id", "conformer_id")) -> DataFrame:
     """All point triples of each object (degenerate ones out), built row by row without a shuffle.
 
-    Gives ``i, j, k, type_key, kinds`` (distinct types)``, edges`` (sorted)``, area, perimeter, points``.
+    Gives ``i, j, k, type_key, kinds`` (distinct types)``, edges`` (sorted)``, area, perimeter``, and of the points
+    in order the types ``t0, t1, t2`` and the distances ``d01, d02, d12``, all as plain columns.
     """
-    f = F.col(features)
-    n = F.size(f)
-
-    def upto(lo: Column, hi: Column) -> Column:  # sequence() would count down where lo > hi
-        return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
-
-    def triple(i, j, k):
-        points = F.array(*(F.get(f, x) for x in (i, j, k)))
-        return F.struct(i.alias("i"), j.alias("j"), k.alias("k"), points.alias("points"))
-
-    one = F.lit(1)
-    all_triples = F.flatten(
-        F.flatten(F.transform(upto(F.lit(0), n - 3), lambda i: F.transform(upto(i + one, n - 2), lambda j: F.transform(upto(j + one, n - one), lambda k: triple(i, j, k)))))
-    )
-    rows = objects.where(n >= 3).select(*keep, F.inline(all_triples))
-    p = [F.get("points", F.lit(x)) for x in range(3)]
-    edges = F.array_sort(F.array(distance(p[0]["position"], p[1]["position"]), distance(p[0]["position"], p[2]["position"]), distance(p[1]["position"], p[2]["position"])))
-    types = F.transform("points", lambda x: x["type"])
-    out = rows.withColumns({"edges": edges, "type_key": F.array_join(F.array_sort(types), "|"), "kinds": F.size(F.array_distinct(types)), "area": _area(*(x["position"] for x in p))})
+    n = F.size(features)
+    point = lambda at, name: F.get(F.col(features), F.col(at)).alias(name)
+    rows = objects.where(n >= 3).select(*keep, features, F.explode(F.sequence(F.lit(0), n - 3)).alias("i"))
+    rows = rows.select("*", F.explode(F.sequence(F.col("i") + 1, n - 2)).alias("j"))
+    rows = rows.select("*", F.explode(F.sequence(F.col("j") + 1, n - 1)).alias("k")).select(*keep, "i", "j", "k", point("i", "p0"), point("j", "p1"), point("k", "p2"))
+    at = [F.col(f"p{x}.position") for x in range(3)]
+    rows = rows.select(*keep, "i", "j", "k", *(F.col(f"p{x}.type").alias(f"t{x}") for x in range(3)), *(distance(at[x], at[y]).alias(f"d{x}{y}") for x, y in PAIRS), _area(*at).alias("area"))
+    a, b, c = (F.col(f"d{x}{y}") for x, y in PAIRS)
+    middle = F.greatest(F.least(a, b), F.least(F.greatest(a, b), c))
+    types = F.array("t0", "t1", "t2")
+    out = rows.withColumns({"edges": F.array(F.least(a, b, c), middle, F.greatest(a, b, c)), "type_key": F.array_join(F.sort_array(types), "|"), "kinds": F.size(F.array_distinct(types))})
     return out.withColumn("perimeter", F.get("edges", F.lit(0)) + F.get("edges", F.lit(1)) + F.get("edges", F.lit(2))).where(F.get("edges", F.lit(0)) > SHORTEST_EDGE)
 
 
@@ -76,32 +73,30 @@ def match_triangles(index: DataFrame, query: DataFrame, *, tolerance: float = TO
 
     The query side (at most ``MOST_TRIANGLES`` rows of one query) is spread over the bins that the
     tolerance can reach, so the look-up is a hash join on (type_key, bins); its rows have a fixed bound
-    and are broadcast.  The six permutations are tried in one expression.  ``candidates`` restricts
-    the objects.
+    and are broadcast.  Sorted edges that differ by more than the tolerance are then out by plain comparisons,
+    and only for what is left the six permutations are tried.  ``candidates`` restricts the objects.
     """
     reach = int(-(-tolerance // width)) + 1
     around = F.sequence(F.lit(-reach), F.lit(reach))
-    q = query.select(
-        F.struct("i", "j", "k").alias("q"), F.col("points").alias("q_points"), "type_key", "b0", "b1", "b2"
-    )
+    q = query.select(F.struct("i", "j", "k").alias("q"), *(F.col(x).alias(f"q{x}") for x in ("t0", "t1", "t2", "d01", "d02", "d12", "edges")), "type_key", "b0", "b1", "b2")
     for x in range(3):
         q = q.withColumn(f"b{x}", F.explode(_shifted(around, f"b{x}")))
     if candidates is not None:
         index = index.join(candidates, "object_id", "left_semi")
-    met = index.join(F.broadcast(q), ["type_key", "b0", "b1", "b2"])
-    qp = [F.get("q_points", F.lit(x)) for x in range(3)]
-    cp = [F.get("points", F.lit(x)) for x in range(3)]
-    own = (F.col("i"), F.col("j"), F.col("k"))
-    pairs = ((0, 1), (0, 2), (1, 2))
-    tries = []
+    near = F.lit(True)
+    for x in range(3):
+        near = near & (F.abs(F.get("edges", F.lit(x)) - F.get("qedges", F.lit(x))) <= tolerance * (1 + 1e-9))
+    met = index.join(F.broadcast(q), ["type_key", "b0", "b1", "b2"]).where(near)
+    own, tries = (F.col("i"), F.col("j"), F.col("k")), []
     for perm in permutations(range(3)):
-        errors = [F.abs(distance(qp[a]["position"], qp[b]["position"]) - distance(cp[perm[a]]["position"], cp[perm[b]]["position"])) / tolerance for a, b in pairs]
-        same = (qp[0]["type"] == cp[perm[0]]["type"]) & (qp[1]["type"] == cp[perm[1]]["type"]) & (qp[2]["type"] == cp[perm[2]]["type"])
+        errors = [F.abs(F.col(f"qd{a}{b}") - F.col("d{}{}".format(*sorted((perm[a], perm[b]))))) / tolerance for a, b in PAIRS]
+        same = (F.col("qt0") == F.col(f"t{perm[0]}")) & (F.col("qt1") == F.col(f"t{perm[1]}")) & (F.col("qt2") == F.col(f"t{perm[2]}"))
         fits = same & (F.greatest(*errors) <= 1.0 + 1e-12)
-        sorted_errors = F.array_sort(F.array(*errors))
-        best = F.struct(F.get(sorted_errors, F.lit(1)).alias("error"), ((errors[0] + errors[1] + errors[2]) / 3).alias("mean"), F.array(*(F.lit(x) for x in perm)).alias("perm"), F.array(*(own[x] for x in perm)).alias("c"))
+        middle = F.greatest(F.least(errors[0], errors[1]), F.least(F.greatest(errors[0], errors[1]), errors[2]))
+        best = F.struct(middle.alias("error"), ((errors[0] + errors[1] + errors[2]) / 3).alias("mean"), F.array(*(F.lit(x) for x in perm)).alias("perm"), F.array(*(own[x] for x in perm)).alias("c"))
         tries.append(F.when(fits, best))
-    return met.withColumn("best", F.array_min(F.array_compact(F.array(*tries)))).where("best is not null").select("object_id", "conformer_id", "q", F.col("best.error").alias("error"), F.col("best.c").alias("c"))
+    # array_min passes over the nulls of what does not fit
+    return met.withColumn("best", F.array_min(F.array(*tries))).where("best is not null").select("object_id", "conformer_id", "q", F.col("best.error").alias("error"), F.col("best.c").alias("c"))
 
 
 def best_matches(matches: DataFrame) -> DataFrame:

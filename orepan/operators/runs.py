@@ -8,19 +8,15 @@ from pyspark.sql import Window as W
 
 
 def required_subsequence(events: DataFrame, required: list[str], *, by: str = "session_id", order: str = "seq") -> DataFrame:
-    """Per session whether the required tools succeed in order (others may stand between), and how far it got.
+    """Per session whether the required tools succeed in order, and how far it got.
 
-    A failure of the tool that is due ends the match.
+    Other tools, and failures of the tool that is due, may stand between.
     """
     want = F.array(*(F.lit(t) for t in required))
-    log = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("tool").alias("t"), F.col("ok").alias("ok"))))
-
-    def step(cursor, e):
-        due = F.get(want, F.greatest(cursor, F.lit(0))) == e["t"]
-        return F.when((cursor < 0) | ~F.coalesce(due, F.lit(False)), cursor).when(F.coalesce(e["ok"], F.lit(False)), cursor + 1).otherwise(-cursor - 1)
-
-    got = events.groupBy(by).agg(F.aggregate(log, F.lit(0), step).alias("c"), F.count("*").alias("events"))
-    return got.select(by, "events", F.when(F.col("c") < 0, -F.col("c") - 1).otherwise(F.col("c")).alias("matched"), (F.col("c") == len(required)).alias("passed"))
+    # only successes of required tools can move the cursor
+    useful = F.when(F.col("ok") & F.array_contains(want, F.col("tool")), F.struct(F.col(order).alias("o"), F.col("tool").alias("t")))
+    cursor = F.aggregate(F.sort_array(F.collect_list(useful)), F.lit(0), lambda c, e: c + F.when(F.get(want, c) == e["t"], 1).otherwise(0))
+    return events.groupBy(by).agg(F.count("*").alias("events"), cursor.alias("matched")).withColumn("passed", F.col("matched") == len(required))
 
 
 def stage_rows(runs: DataFrame, stages: DataFrame, records: DataFrame) -> DataFrame:

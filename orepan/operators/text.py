@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .geometry import ranked
 
-#: What is masked, in this order.
+#: Names of secrets, and what is masked, in this order.
+SECRET_NAME = "(?:[A-Z0-9_.-]*(?:API[_-]?KEY|TOKEN|PASSWORD|SECRET|CREDENTIAL)[A-Z0-9_.-]*)"
 REDACTIONS = (
-    (r"""(?i)\b(api[_-]?key|token|secret|password)(\s*[:=]\s*)(["'])[^"']*\3""", "$1$2$3[REDACTED]$3"),
-    (r"""(?i)\b(api[_-]?key|token|secret|password)(\s*[:=]\s*)[^\s"',;\[]+""", "$1$2[REDACTED]"),
-    (r"(?i)\bbearer\s+[a-z0-9._~+/-]+=*", "Bearer [REDACTED]"),
-    (r"(?<![\w/.:])/(?:home|root|Users|mnt|tmp|var|data|etc|opt)(?:/[\w.@-]+)+", "[PATH]"),
-    (r"(?i)\b[a-z]:\\(?:[\w.@ -]+\\?)+", "[PATH]"),
+    (rf"""(?idU)(["']?{SECRET_NAME}["']?\s*[:=]\s*)(["'])(.*?)\2""", "$1$2[REDACTED]$2"),
+    (rf"(?iU)({SECRET_NAME}\s*[:=]\s*)[^\s,;}}]+", "$1[REDACTED]"),
+    (r"(?iU)\bBearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]"),
+    (r"(?U)(?<![\w.])/(?:[^\s/:]+/)+[^\s,;:]+", "[INTERNAL_PATH]"),
+    (r"(?iU)\b[A-Z]:[\\/](?:[^\s\\/:]+[\\/])+[^\s,;:]+", "[INTERNAL_PATH]"),
 )
 
 
@@ -41,39 +44,56 @@ def chunk_fixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return rows.where(F.col("text") != "").withColumn("chunk_id", F.substring(F.sha2(F.concat_ws("\0", F.col("doc_id").cast("string"), F.col("offset").cast("string"), "text"), 256), 1, 20))
 
 
+#: Fixed value: a heading has one to six marks, white space and a name.
+HEADING = re.compile(r"#{1,6}\s+(.+?)\s*$")
+
+
+def section_pieces(text: str, size: int = 1800):
+    """(section, piece) of one text: a heading, or lines of ``size`` characters together, end what was gathered.
+
+    What was gathered is cut at its last line end past the half of ``size``, else at ``size``.
+    """
+    section, gathered, held = None, [], 0
+
+    def cut():
+        rest = "\n".join(gathered).strip()
+        while rest:
+            at = len(rest)
+            if at > size:
+                line_end = rest.rfind("\n", 0, size)
+                at = line_end if line_end > size // 2 else size
+            yield section, rest[:at].strip()
+            rest = rest[at:].lstrip()
+
+    for line in text.splitlines():
+        heading = HEADING.match(line)
+        if not heading:
+            gathered.append(line)
+            held += len(line) + 1
+        if heading or held >= size:
+            yield from cut()
+            gathered, held = [], 0
+        if heading:
+            section = heading.group(1)
+    yield from cut()
+
+
 def chunk_sections(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 1800) -> DataFrame:
-    """Markdown chunks: headings set the section; a full buffer is cut at its last line end past the half.
+    """Markdown chunks by ``section_pieces``: ``doc_id, chunk_no, section, text, chunk_id`` (of section, number and text).
 
-    Packing depends on what was cut before, so each document is one sequential step; documents are
+    Where a piece is cut depends on what was cut before, so each document is one sequential step; documents are
     independent and are read partition by partition.
     """
     import pandas as pd
 
-    def pieces(text: str):
-        section, buffer = None, ""
-        for line in text.split("\n"):
-            if line.startswith("#") and line.lstrip("#")[:1] in (" ", ""):
-                if buffer.strip():
-                    yield section, buffer.strip()
-                section, buffer = line.lstrip("#").strip() or None, ""
-                continue
-            buffer += line + "\n"
-            while len(buffer) >= size:
-                cut = buffer.rfind("\n", size // 2, size)
-                cut = cut if cut > 0 else size
-                if buffer[:cut].strip():
-                    yield section, buffer[:cut].strip()
-                buffer = buffer[cut:].lstrip("\n")
-        if buffer.strip():
-            yield section, buffer.strip()
-
     def run(batches):
         for pdf in batches:
-            rows = [(d, n, s, p) for d, t in zip(pdf[id_col], pdf[text_col]) for n, (s, p) in enumerate(pieces(t or ""))]
+            rows = [(d, n, s, p) for d, t in zip(pdf[id_col], pdf[text_col]) for n, (s, p) in enumerate(section_pieces(t or "", size))]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "section", "text"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInPandas(run, f"doc_id {kind}, chunk_no int, section string, text string")
+    found = docs.select(id_col, text_col).mapInPandas(run, f"doc_id {kind}, chunk_no int, section string, text string")
+    return found.withColumn("chunk_id", F.substring(F.sha2(F.concat_ws("\0", F.coalesce("section", F.lit("")), F.col("chunk_no").cast("string"), "text"), 256), 1, 20))
 
 
 def best_page_text(pages: DataFrame, keys: list[str]) -> DataFrame:
@@ -147,12 +167,14 @@ def route_keywords(messages: DataFrame, packs: DataFrame, dependencies: DataFram
 
 
 def safe_source(source: Column) -> Column:
-    """Reasons against naming a source: absolute path, file URL, credentials or query in a URL."""
-    path = F.startswith(source, F.lit("/")) | F.rlike(source, F.lit(r"^[A-Za-z]:[\\/]"))
-    file = F.startswith(F.lower(source), F.lit("file:"))
-    login = F.rlike(source, F.lit(r"^[a-z][a-z0-9+.-]*://[^/@]*@"))
-    query = F.rlike(source, F.lit(r"^[a-z][a-z0-9+.-]*://[^?#]*[?#]"))
-    return F.array_compact(F.array(F.when(path, F.lit("absolute_path")), F.when(file, F.lit("file_url")), F.when(login, F.lit("credentials")), F.when(query, F.lit("query_or_fragment"))))
+    """Reasons against naming a source: absolute or home path, file URL, credentials or query in a web address."""
+    rules = {
+        "absolute_path": r"^(?:[/~]|[A-Za-z]:[\\/]|\\\\[^\\]+\\[^\\]+)",
+        "file_url": r"^(?i:file):",
+        "credentials": r"^(?i:https?)://[^/?#]+@",
+        "query_or_fragment": r"^(?i:https?)://[^?#]*(?:\?[^#]+|\??#.)",
+    }
+    return F.array_compact(F.array(*(F.when(F.rlike(source, F.lit(pattern)), F.lit(name)) for name, pattern in rules.items())))
 
 
 def allowed_host(urls: DataFrame, hosts: DataFrame, url: str = "url") -> DataFrame:

@@ -43,22 +43,20 @@ def latest_states(events: DataFrame, *, delay: str = "1 hour") -> DataFrame:
 
 
 def tool_cursor(events: DataFrame, required: list[str]) -> DataFrame:
-    """How far each session has got in the required tools, per micro batch (``session_id, matched, failed, passed``).
+    """How far each session has got in the required tools, per micro batch (``session_id, matched, passed``).
 
-    State per session: the place in the list and whether the due tool failed.  Rows of a micro batch are
-    taken in ``seq`` order.
+    State per session: the place in the list.  Rows of a micro batch are taken in ``seq`` order; failures and
+    other tools may stand between.
     """
     import pandas as pd
 
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        at, failed = state.get if state.exists else (0, False)
+        (at,) = state.get if state.exists else (0,)
         rows = pd.concat(list(batches)).sort_values("seq")
         for tool, ok in zip(rows["tool"], rows["ok"]):
-            if failed or at >= len(required) or tool != required[at]:
-                continue
-            at, failed = (at + 1, False) if ok else (at, True)
-        state.update((at, failed))
-        yield pd.DataFrame({"session_id": [key[0]], "matched": [at], "failed": [failed], "passed": [at == len(required)]})
+            at += bool(at < len(required) and ok and tool == required[at])
+        state.update((at,))
+        yield pd.DataFrame({"session_id": [key[0]], "matched": [at], "passed": [at == len(required)]})
 
     kind = dict(events.dtypes)["session_id"]
-    return events.groupBy("session_id").applyInPandasWithState(step, f"session_id {kind}, matched int, failed boolean, passed boolean", "at int, failed boolean", "update", "NoTimeout")
+    return events.groupBy("session_id").applyInPandasWithState(step, f"session_id {kind}, matched int, passed boolean", "at int", "update", "NoTimeout")

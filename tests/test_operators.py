@@ -163,6 +163,22 @@ def test_redaction_and_citations(spark):
     df = spark.createDataFrame([('api_key="abc def" token=xyz Bearer aa.bb /home/me/x.txt C:\\a\\b',)], "t string")
     got = df.select(text.redact(F.col("t")).alias("t")).first().t
     assert not any(s in got for s in ("abc def", "xyz", "aa.bb", "/home/me", "C:\\a"))
+    cases = {
+        "MY_SECRET=abc next": "MY_SECRET=[REDACTED] next",
+        '{"password": "hunter2", "n": 1}': '{"password": "[REDACTED]", "n": 1}',
+        "AWS_SECRET_KEY: 'a b'; x": "AWS_SECRET_KEY: [REDACTED]; x",
+        "CREDENTIAL=abc,d": "CREDENTIAL=[REDACTED],d",
+        "see /srv/a/b.txt: ok": "see [INTERNAL_PATH]: ok",
+        "Authorization: bearer abc.def": "Authorization: Bearer [REDACTED]",
+        "c:/users/me/f.txt and a/b/c": "c:[INTERNAL_PATH] and a/b/c",
+        "D:\\x\\y z": "[INTERNAL_PATH] z",
+        "plain": "plain",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.r for r in df.select("t", text.redact(F.col("t")).alias("r")).collect()} == cases
+    sources = {"/a": ["absolute_path"], "~/a": ["absolute_path"], "C:\\a": ["absolute_path"], "FILE:///x": ["file_url"], "https://u:p@h/x": ["credentials"], "https://h/x?a=1": ["query_or_fragment"], "https://h/x#f": ["query_or_fragment"], "https://h/x?": [], "ftp://u@h/?q": [], "data set": []}
+    df = spark.createDataFrame([(k,) for k in sources], "s string")
+    assert {r.s: r.why for r in df.select("s", text.safe_source(F.col("s")).alias("why")).collect()} == sources
     a = spark.createDataFrame([("see [doc:1] and [doc:9]", ["doc:1", "doc:2"]), ("see [doc:9]", ["doc:2"]), ("x", [])], "text string, known array<string>")
     assert [r.checked for r in text.check_citations(a).collect()] == ["see [doc:1] and", "see [doc:2]", "x"]
 
@@ -171,14 +187,19 @@ def test_chunks(spark):
     d = spark.createDataFrame([(1, "a" * 2500), (2, None), (3, "   "), (4, "# One\n" + "x" * 900 + "\n" + "y" * 1200 + "\n# Two\nz")], "doc_id long, text string")
     assert [(r.doc_id, r.offset, len(r.text)) for r in text.chunk_fixed(d.where("doc_id < 4")).orderBy("offset").collect()] == [(1, 0, 1800), (1, 1800, 700)]
     s = [(r.section, r.chunk_no, len(r.text)) for r in text.chunk_sections(d.where("doc_id = 4")).orderBy("chunk_no").collect()]
-    assert s == [("One", 0, 900), ("One", 1, 1200), ("Two", 2, 1)]
+    assert s == [("One", 0, 1800), ("One", 1, 301), ("Two", 2, 1)]
+    assert list(text.section_pieces("#  A \n####### b\n#\nc\n## D\n\n")) == [("A", "####### b\n#\nc")]
+    # what is gathered goes as a whole: the rest of a cut is not carried on to the next lines
+    lines = ["x" * 1000, "y" * 900, "z" * 100]
+    assert [len(p) for _, p in text.section_pieces("\n".join(lines))] == [1000, 900, 100]
+    assert [len(p) for _, p in text.section_pieces("a" * 4000 + "\nb")] == [1800, 1800, 400, 1]
 
 
 def test_required_tools_in_order(spark):
     e = [("a", ["status", "search", "x", "write"], [1, 1, 0, 1]), ("b", ["search", "status", "write"], [1, 1, 1]), ("c", ["status", "search", "search", "write"], [1, 0, 1, 1])]
     df = spark.createDataFrame([(s, i, t, bool(o)) for s, ts, os in e for i, (t, o) in enumerate(zip(ts, os))], "session_id string, seq int, tool string, ok boolean")
     got = {r.session_id: (r.matched, r.passed) for r in runs.required_subsequence(df, ["status", "search", "write"]).collect()}
-    assert got == {"a": (3, True), "b": (1, False), "c": (1, False)}
+    assert got == {"a": (3, True), "b": (1, False), "c": (3, True)}
 
 
 def test_receipts_show_tampering(spark):
@@ -235,9 +256,9 @@ def test_overlay_and_coherent_mapping(spark):
 def test_sequence_verification(spark):
     from orepan.operators import overlay
 
-    assert overlay.align("ACGT", "ACGT") == (8, 4, 4) and overlay.align("", "AC")[0] == -4
-    pairs = spark.createDataFrame([("a", "MKTV", "MKTV"), ("b", "KT", "MKTV"), ("c", "MKTVAAAAAAAAAAAAAAAA", "MKTVAAAAAAAAAAAAAAAC"), ("d", "WWWW", "MKTV"), ("d", "WWWW", "WWWWQ")], "k string, observed string, reference string")
-    assert {r.k: r.status for r in overlay.verify_identity(pairs, "k").collect()} == {"a": "EXACT", "b": "PARTIAL", "c": "VARIANT", "d": "PARTIAL"}
+    assert overlay.align("ACGT", "ACGT") == (8, 4, 4) and overlay.align("", "AC") == (-4, 0, 2) and overlay.align("ACGTACGTAC", "ACGTAACGTAC")[1:] == (10, 11)
+    pairs = spark.createDataFrame([("a", "MKTV", "MKTV"), ("b", "KT", "MKTV"), ("c", "MKTV" * 30, "MKTV" * 29 + "MKTC"), ("e", "MKTV" * 5, "MKTV" * 4 + "MKTC"), ("f", "A" * 2001, "A"), ("d", "WWWW", "MKTV"), ("d", "WWWW", "WWWWQ")], "k string, observed string, reference string")
+    assert {r.k: r.status for r in overlay.verify_identity(pairs, "k").collect()} == {"a": "EXACT", "b": "PARTIAL", "c": "VARIANT", "e": "CONFLICT", "f": "TOO_LONG", "d": "PARTIAL"}
 
 
 def test_structure_checks(spark):
