@@ -55,8 +55,8 @@ def agent_rollup(runs: DataFrame) -> DataFrame:
     return out.withColumn("eligible", F.coalesce(F.least("pass_rate", "citation_rate", "tool_rate") == 1, F.lit(False)))
 
 
-def contiguous(modes: DataFrame, by: str = "case_id", mode: str = "mode", score: str = "score") -> DataFrame:
-    """Groups whose modes are not 1..n in steps of one, or whose scores fall."""
+def contiguous(modes: DataFrame, by: str = "case_id", mode: str = "mode", score: str = "score", number: str | None = None) -> DataFrame:
+    """Groups whose modes (``number``, in the order of ``mode``) are not 1..n in steps of one, or whose scores fall."""
     own = W.partitionBy(by).orderBy(mode)
-    marked = modes.select(by, (F.col(mode) != F.row_number().over(own)).alias("gap"), (F.col(score) < F.lag(score).over(own)).alias("falls"))
+    marked = modes.select(by, (F.col(number or mode) != F.row_number().over(own)).alias("gap"), (F.col(score) < F.lag(score).over(own)).alias("falls"))
     return marked.groupBy(by).agg(F.coalesce(F.bool_or("gap"), F.lit(False)).alias("gap"), F.coalesce(F.bool_or("falls"), F.lit(False)).alias("falls")).where("gap or falls")

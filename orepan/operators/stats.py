@@ -85,6 +85,49 @@ def paired(a: DataFrame, b: DataFrame, outcome: str = "top1") -> DataFrame:
     return out.withColumns({"difference": rate(F.col("only_a") - F.col("only_b"), F.col("cases")), "p": mcnemar(F.col("only_a"), F.col("only_b"))})
 
 
+def paired_mismatches(a: DataFrame, b: DataFrame, key: str = "case_id") -> DataFrame:
+    """Cases of one arm only, or repeated within an arm: with any such row the arms cannot be compared."""
+    x, y = (d.groupBy(key).agg(F.count("*").alias(n)) for d, n in ((a, "x"), (b, "y")))
+    why = F.when(F.col("y").isNull(), "only_in_a").when(F.col("x").isNull(), "only_in_b").when((F.col("x") > 1) | (F.col("y") > 1), "repeated")
+    return x.join(y, key, "full_outer").select(key, why.alias("why")).where("why is not null")
+
+
+def calibration(recovery: DataFrame, *, threshold: float = 2.0, required: str = "top1") -> DataFrame:
+    """PASS or FAIL of each case by the required rank (``top1`` or ``top5``); INVALID where modes have gaps.
+
+    ``recovery``: ``case_recovery`` with the same threshold.
+    """
+    if required not in ("top1", "top5"):
+        raise ValueError(f"required rank must be top1 or top5, not {required}")
+    top5 = F.coalesce(F.col("best_valid_rmsd") <= threshold, F.lit(False))
+    met = F.col("top1") if required == "top1" else top5
+    verdict = F.when(~F.col("contiguous"), "INVALID").when(met, "PASS").otherwise("FAIL")
+    return recovery.select("case_id", F.col("top1").alias("top1_pass"), top5.alias("top5_pass"), verdict.alias("verdict"))
+
+
+def bundle_violations(*, tolerance: float = 1e-12) -> Column:
+    """Broken consistency rules of an evidence row, in order.
+
+    Columns: ``common, left_size, right_size, union_size`` (counts), ``jaccard, recovery, precision`` (ratios),
+    ``stable`` (boolean) and ``parameterised`` (boolean).  A ratio must be the quotient of its counts, and null where
+    the denominator is 0; the union must be what the sizes leave; stability needs parameters.
+    """
+    def ratio(name: str, of: str) -> Column:
+        want = F.try_divide(F.col("common").cast("double"), F.col(of))
+        bad = (want.isNull() != F.col(name).isNull()) | F.coalesce(F.abs(F.col(name) - want) > tolerance, F.lit(False))
+        return F.when(bad, F.lit(name))
+
+    return F.array_compact(
+        F.array(
+            F.when(F.least("common", "left_size", "right_size") < 0, F.lit("negative")),
+            F.when(F.col("common") > F.least("left_size", "right_size"), F.lit("common")),
+            F.when(F.col("union_size") != F.col("left_size") + F.col("right_size") - F.col("common"), F.lit("union")),
+            ratio("jaccard", "union_size"), ratio("recovery", "right_size"), ratio("precision", "left_size"),
+            F.when(F.coalesce("stable", F.lit(False)) & ~F.coalesce("parameterised", F.lit(False)), F.lit("stable")),
+        )
+    )
+
+
 def claims(rules: DataFrame, endpoints: DataFrame) -> DataFrame:
     """SUPPORTED, CONTRADICTED, INCONCLUSIVE or NOT_EVALUATED per rule.
 
@@ -165,7 +208,7 @@ def null_aware_sum(*parts: str) -> Column:
     return F.when(F.coalesce(*parts).isNotNull(), sum((F.coalesce(F.col(p), F.lit(0)) for p in parts[1:]), F.coalesce(F.col(parts[0]), F.lit(0))))
 
 
-def recorded_differences(recorded: DataFrame, computed: DataFrame, keys: list[str], values: list[str], tolerance: float = 1e-6) -> DataFrame:
+def recorded_differences(recorded: DataFrame, computed: DataFrame, keys: list[str], values: list[str], tolerance: float = 1e-12) -> DataFrame:
     """Rows on which a recorded and a recomputed summary differ, with the reasons."""
     a = recorded.select(*keys, *(F.col(v).alias(f"a_{v}") for v in values), F.lit(True).alias("in_a"))
     b = computed.select(*keys, *(F.col(v).alias(f"b_{v}") for v in values), F.lit(True).alias("in_b"))

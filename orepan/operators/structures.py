@@ -46,13 +46,31 @@ def missing_atoms(atoms: DataFrame, expected: DataFrame, centers: DataFrame, rad
     return residues.join(want, "resname").select(*keys, lack.alias("missing"), (F.col("nearest") <= radius).alias("inside")).where(F.size("missing") > 0)
 
 
-def classify_residues(atoms: DataFrame, classes: DataFrame, by: str = "structure_id") -> DataFrame:
-    """Class of each residue: of its name (``classes``: resname, class), else ligand for het and protein for others."""
-    residues = atoms.groupBy(by, "chain", "resnum", "icode", "resname").agg(F.bool_and("het").alias("het"), F.count("*").alias("atoms"))
+def classify_residues(atoms: DataFrame, classes: DataFrame, by: str = "structure_id", site: tuple[float, float, float] | None = None) -> DataFrame:
+    """Class of each residue: of its name (``classes``: resname, class), else ligand for het and protein for others.
+
+    With a ``site`` also ``distance``: that of the residue's nearest atom.
+    """
+    near = [] if site is None else [F.min(F.sqrt(sum(((F.col(c) - m) * (F.col(c) - m) for c, m in zip("xyz", site)), F.lit(0.0)))).alias("distance")]
+    residues = atoms.groupBy(by, "chain", "resnum", "icode", "resname").agg(F.bool_and("het").alias("het"), F.count("*").alias("atoms"), *near)
     own = F.coalesce("class", F.when(F.col("het"), "ligand").otherwise("protein"))
     return residues.join(F.broadcast(classes), "resname", "left").withColumn("class", own)
 
 
+def removed_components(residues: DataFrame, kept: tuple[str, ...] = ("protein", "ligand")) -> DataFrame:
+    """The log of what is taken out: residues of other classes, with the distance to the site if it was asked for."""
+    return residues.where(~F.col("class").isin(*kept))
+
+
+def check_complex(atoms: DataFrame, asked: DataFrame, by: str = "structure_id") -> DataFrame:
+    """What of a structure is not as asked (``asked``: by, chains, elements): ``by, differing``."""
+    chains = atoms.groupBy(by).agg(F.count_distinct("chain").alias("__chains"))
+    both = asked.join(chains, by, "left").join(element_counts(atoms, by).withColumnRenamed("elements", "__elements"), by, "left")
+    entries = lambda c: F.sort_array(F.map_entries(c))
+    off = F.array_compact(F.array(F.when(~F.col("chains").eqNullSafe(F.col("__chains")), F.lit("chains")), F.when(~entries(F.col("elements")).eqNullSafe(entries(F.col("__elements"))), F.lit("elements"))))
+    return both.select(by, off.alias("differing"))
+
+
 def first_reject(residues: DataFrame, *, most_residues: int = 700, most_ligand_atoms: int = 100, by: str = "structure_id") -> DataFrame:
     """The first rule that a structure breaks, in order; null if it may be used."""
     counts = residues.groupBy(by).agg(

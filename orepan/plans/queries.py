@@ -27,13 +27,13 @@ def triangle_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("object_id", "i", "j", "k", "type_key", "kinds", r6(F.col("area")).alias("area"), r6(F.col("perimeter")).alias("perimeter"), "b0", "b1", "b2")
 
 
-def _search(spark: SparkSession, sf_dir: str):
+def _search(spark: SparkSession, sf_dir: str, candidates: DataFrame | None = None):
     """Matches of the object with the smallest id of 4 to 9 points."""
     index = geometry.binned(geometry.triangles(objects(spark, sf_dir)))
     first = lines(spark, sf_dir).groupBy("l_orderkey").agg(F.count("*").alias("n")).where(F.col("n").between(4, 9)).agg(F.min("l_orderkey").alias("o"), F.min(F.struct("l_orderkey", "n"))["n"].alias("n")).first()
     own = objects(spark, sf_dir).where(F.col("object_id") == first.o)
     q = geometry.select_query_triangles(geometry.binned(geometry.triangles(own)))
-    return geometry.best_matches(geometry.match_triangles(index, q)), first.n
+    return geometry.best_matches(geometry.match_triangles(index, q, candidates=candidates)), first.n
 
 
 MATCH_SQL = f"""WITH {POINTS_SQL},
@@ -392,17 +392,23 @@ def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.chunk_fixed(table(spark, sf_dir, "documents")).select("doc_id", "offset", F.sha2("text", 256).alias("h"))
 
 
-@query("SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', '[EMAIL]', 'g'), '[0-9]{4,}', '[NUMBER]', 'g')) AS h FROM documents")
-def mask_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses and long numbers masked in order."""
-    masked = F.regexp_replace(F.regexp_replace("text", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", "[EMAIL]"), "[0-9]{4,}", "[NUMBER]")
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(masked, 256).alias("h"))
+#: The same rules in SQL: both kinds of quotes spelled out, and the letter before a path taken along.
+REDACTED_SQL = "text"
+for _pattern, _to in (
+    (rf"""((?i)["']?{text.SECRET_NAME}["']?\s*[:=]\s*)(?:(")[^"\n]*"|(')[^'\n]*')""", r"\1\2\3[REDACTED]\2\3"),
+    (rf"((?i){text.SECRET_NAME}\s*[:=]\s*)[^\s,;}}]+", r"\1[REDACTED]"),
+    (r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]"),
+    (r"(^|[^\pL\pN_.])/(?:[^\s/:]+/)+[^\s,;:]+", r"\1[INTERNAL_PATH]"),
+    (r"(?i)\b[A-Z]:[\\/](?:[^\s\\/:]+[\\/])+[^\s,;:]+", "[INTERNAL_PATH]"),
+):
+    REDACTED_SQL = "regexp_replace({}, '{}', '{}', 'g')".format(REDACTED_SQL, _pattern.replace("'", "''"), _to)
 
 
-@query(None)
+@query(f"SELECT doc_id, sha256({REDACTED_SQL}) AS h, length({REDACTED_SQL}) - length(text) AS longer FROM documents")
 def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets, tokens and paths masked in every document; RE2 lacks the back reference, so there is no SQL."""
-    return table(spark, sf_dir, "documents").select("doc_id", text.redact(F.col("text")).alias("text"))
+    """Secrets, tokens and paths masked in every document."""
+    masked = text.redact(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(masked, 256).alias("h"), (F.length(masked) - F.length("text")).cast("long").alias("longer"))
 
 
 @query("WITH q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_.-]+')) AS q FROM benchmark), d AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_.-]+')) AS t FROM documents), qx AS (SELECT query_id, len(q) AS n, unnest(q) AS w FROM q), dx AS (SELECT id, unnest(t) AS w FROM d), s AS (SELECT query_id, id, count(*) / CAST(any_value(n) AS DOUBLE) AS score FROM qx JOIN dx USING (w) GROUP BY ALL) SELECT query_id, id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10")
@@ -432,10 +438,12 @@ def quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(f, ",").alias("failures"))
 
 
-@query("SELECT page_id, regexp_extract(lower(url), '^https://(?:[^/@]*@)?([^/:?#]+)', 1) AS host, contains(url, '?') OR contains(url, '#') AS has_query FROM pages")
+@query(r"""SELECT page_id, regexp_extract(lower(url), '^https://(?:[^/@]*@)?([^/:?#]+)', 1) AS host, starts_with(url, 'https://') AND regexp_extract(lower(url), '^https://(?:[^/@]*@)?([^/:?#]+)', 1) IN ('blog.tionsh.example.net', 'thther.example.org', 'blog.ththan.example.net') AS allowed,
+  array_to_string(list_filter([CASE WHEN regexp_matches(url, '^(?:[/~]|[A-Za-z]:[\\/])') THEN 'absolute_path' END, CASE WHEN regexp_matches(url, '^(?i:file):') THEN 'file_url' END, CASE WHEN regexp_matches(url, '^(?i:https?)://[^/?#]+@') THEN 'credentials' END, CASE WHEN regexp_matches(url, '^(?i:https?)://[^?#]*(?:\?[^#]+|\??#.)') THEN 'query_or_fragment' END], lambda x: x IS NOT NULL), ',') AS unsafe FROM pages""")
 def page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
-    return p.select("page_id", F.regexp_extract(F.lower("url"), r"^https://(?:[^/@]*@)?([^/:?#]+)", 1).alias("host"), F.array_contains(text.safe_source(F.col("url")), "query_or_fragment").alias("has_query"))
+    listed = spark.createDataFrame([("blog.tionsh.example.net",), ("thther.example.org",), ("blog.ththan.example.net",)], "host string")
+    return text.allowed_host(p, listed).select("page_id", F.coalesce("host", F.lit("")).alias("host"), "allowed", F.array_join(text.safe_source(F.col("url")), ",").alias("unsafe"))
 
 
 # --- catalogs and runs ------------------------------------------------------------------------
@@ -496,9 +504,13 @@ def run_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.stage_rows(records, stages, records.where(F.col("stage").isin(*STAGES))).select("run_id", "stage", "state", "attempts")
 
 
-@query(None)
+@query("""WITH e AS (SELECT user_id, ts, event_id, event_type AS t FROM events WHERE value >= 1), n AS (SELECT user_id, count(*) AS events FROM events GROUP BY 1),
+a AS (SELECT user_id, min({ts: ts, id: event_id}) AS k FROM e WHERE t = 'view' GROUP BY 1),
+b AS (SELECT e.user_id, min({ts: ts, id: event_id}) AS k FROM e JOIN a ON a.user_id = e.user_id WHERE t = 'click' AND {ts: ts, id: event_id} > a.k GROUP BY 1),
+c AS (SELECT e.user_id, min({ts: ts, id: event_id}) AS k FROM e JOIN b ON b.user_id = e.user_id WHERE t = 'purchase' AND {ts: ts, id: event_id} > b.k GROUP BY 1)
+SELECT n.user_id AS session_id, events, CAST((a.k IS NOT NULL)::INT + (b.k IS NOT NULL)::INT + (c.k IS NOT NULL)::INT AS INTEGER) AS matched, c.k IS NOT NULL AS passed FROM n LEFT JOIN a USING (user_id) LEFT JOIN b USING (user_id) LEFT JOIN c USING (user_id)""")
 def required_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users whose events hold view, click and purchase in order without a failure of the one that is due."""
+    """How far each user's successful events hold view, click and purchase in order."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.struct("ts", "event_id").alias("seq"), F.col("event_type").alias("tool"), (F.col("value") >= 1).alias("ok"))
     return runs.required_subsequence(e, list(STAGES))
 
@@ -538,10 +550,9 @@ def multiset_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {LINES_SQL}, m AS (SELECT l_orderkey AS case_id, l_linenumber AS mode, l_extendedprice AS score, row_number() OVER w AS rn, lag(l_extendedprice) OVER w AS before FROM lines WINDOW w AS (PARTITION BY l_orderkey ORDER BY lines.mode)) SELECT case_id, bool_or(mode <> rn) AS gap, coalesce(bool_or(score < before), false) AS falls FROM m GROUP BY 1 HAVING gap OR falls")
 def contiguous_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases whose modes are not 1..n or whose scores fall."""
-    m = lines(spark, sf_dir).select(F.col("l_orderkey").alias("case_id"), F.col("mode").alias("place"), F.col("l_linenumber").alias("number"), F.col("l_extendedprice").alias("score"))
-    own = W.partitionBy("case_id").orderBy("place")
-    marked = m.select("case_id", (F.col("number") != F.row_number().over(own)).alias("gap"), (F.col("score") < F.lag("score").over(own)).alias("falls"))
-    return marked.groupBy("case_id").agg(F.bool_or("gap").alias("gap"), F.coalesce(F.bool_or("falls"), F.lit(False)).alias("falls")).where("gap or falls")
+    # equal line numbers are told apart by what follows in the total order of lines
+    m = lines(spark, sf_dir).select(F.col("l_orderkey").alias("case_id"), (F.col("l_linenumber") + F.col("mode") / 1000).alias("mode"), F.col("l_linenumber").alias("number"), F.col("l_extendedprice").alias("score"))
+    return runs.contiguous(m, number="number")
 
 
 @query("WITH c AS (SELECT c_custkey AS id, map {'positive': c_acctbal > 0, 'segment': c_mktsegment <> 'HOUSEHOLD', 'rmsd': false, 'nation': CASE WHEN c_nationkey < 20 THEN c_nationkey > 2 END} AS m FROM customer) SELECT id, array_to_string(list_sort([k for k in map_keys(m) if k <> 'rmsd' and not coalesce(m[k], false)]), ',') AS failed FROM c")
