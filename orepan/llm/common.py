@@ -62,7 +62,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """``mapInArrow`` with this package sent to the executors, wherever the driver has it from."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def task(batches):
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(task, schema)
+
+
+def give_back() -> None:
+    """Return what a task has freed to the machine: its Python worker lives on beside other work."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -252,7 +252,7 @@ def _compared(rows: DataFrame, radius: int, cell: int) -> DataFrame:
 def _by_bucket(batches, edges):
     """``edges`` of the columns (``bucket, node, fp`` and further ones) of whole buckets."""
     held = None
-    for batch in _larger(batches, 20_000):
+    for batch in _larger(batches, 5_000):
         fp = batch.column(1)
         fp = np.frombuffer(b"".join(fp.to_pylist()), dtype="<u8") if pa.types.is_binary(fp.type) else fp.to_numpy().view(np.uint64)
         cols = [batch.column(2).to_numpy(), batch.column(0).to_numpy(), fp.reshape(batch.num_rows, -1), *(c.to_numpy(zero_copy_only=False) for c in batch.columns[3:])]

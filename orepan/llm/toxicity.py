@@ -70,11 +70,11 @@ def subwords(words: list[str], buckets: int, shortest: int = 3, longest: int = 6
 class Model:
     """What scoring needs: each bucket's share of the difference of both logits, and the bias."""
 
-    def __init__(self, share: np.ndarray, bias: float):
-        self.share, self.bias, self.known = share, bias, None
+    def __init__(self, share: np.ndarray, bias: float, cached_words: int = CACHED_WORDS):
+        self.share, self.bias, self.known, self.cached_words = share, bias, None, cached_words
 
     def __getstate__(self):
-        return {"share": self.share, "bias": self.bias, "known": None}
+        return {**self.__dict__, "known": None}
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.known is None:
@@ -83,7 +83,7 @@ class Model:
         for words in split:
             seen.update(words)
         new = [w for w in seen if w not in known]
-        if len(known) + len(new) > CACHED_WORDS:
+        if len(known) + len(new) > self.cached_words:
             known.clear()
             new = list(seen)
         for lo in range(0, len(new), 20_000):
