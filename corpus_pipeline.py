@@ -31,6 +31,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     learn = F.pmod(crc_of_id("doc_id"), F.lit(3)) != 1
     model = toxicity.train(*toxicity.training_sample(docs, table(spark, sf_dir, "labels"), learn=learn))
+    model.cached_words = 60_000  # the stages share their workers' memory
     return toxicity.keep_below(docs, model, TOXIC_AT).select(*COLUMNS)
 
 
