@@ -1,3 +1,4 @@
+import pytest
 """Readers, sinks and streaming feeds on small files."""
 
 import json
@@ -95,6 +96,10 @@ def test_latest_states_on_a_stream(spark, tmp_path):
 def test_objects_are_stored_once(spark, tmp_path):
     rows = spark.createDataFrame([(b"a",), (b"a",), (b"b",)], "content binary").withColumn("sha256", F.sha2("content", 256))
     assert sinks.store_objects(rows, str(tmp_path / "o")).count() == 2
-    assert sinks.store_objects(rows.limit(2), str(tmp_path / "o")).count() == 2
+    # a second delivery adds nothing, and what is not the content's digest is an error
+    assert sinks.store_objects(rows.limit(2), str(tmp_path / "o")).count() == 0
+    assert spark.read.parquet(str(tmp_path / "o")).count() == 2
+    with pytest.raises(Exception, match="not the digest"):
+        sinks.store_objects(rows.withColumn("sha256", F.lit("0")), str(tmp_path / "o"))
     lines = [r.line for r in sinks.markdown_table(rows.select("sha256", F.lit("x|y").alias("v")).distinct(), ["v"], ["sha256"]).orderBy("place").collect()]
     assert lines == ["| v |", "| --- |", "| x\\|y |", "| x\\|y |"]
