@@ -83,7 +83,7 @@ def pocket_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structures.complementary_features(atoms(spark, sf_dir), exact, general).groupBy("structure_id", "feature").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {ATOMS_SQL}, o AS (SELECT CASE WHEN s % 7 = 0 THEN -s ELSE s END AS s, serial, CASE WHEN serial % 3 = 0 THEN 2 ELSE 0 END AS delta FROM a) SELECT s AS structure_id, serial, CASE WHEN s < 0 THEN 'unknown_atom' ELSE 'moved' END AS why, CASE WHEN s > 0 THEN CAST(delta AS DOUBLE) END AS delta FROM o WHERE s < 0 OR delta > 0.001")
+@query(f"WITH {ATOMS_SQL}, o AS (SELECT CASE WHEN s % 7 = 0 THEN -s ELSE s END AS s, serial, CASE WHEN serial % 3 = 0 THEN 2 ELSE 0 END AS delta FROM a) SELECT s AS structure_id, serial, CASE WHEN s < 0 THEN 'unknown_atom' ELSE 'moved' END AS why, CASE WHEN s >= 0 THEN CAST(delta AS DOUBLE) END AS delta FROM o WHERE s < 0 OR delta > 0.001")
 def moved_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A crop that renames some structures and moves some atoms, against its source."""
     a = atoms(spark, sf_dir)
