@@ -29,8 +29,9 @@ def _as_text(df: DataFrame, line, name: str, *, by: str | None = None) -> str:
     return path
 
 
-#: The folder of a row's file is its key.
-KEY = F.regexp_extract("file", r"/k=([^/]+)/", 1)
+def _key(kind: str = "int"):
+    """The folder of a row's file is its key."""
+    return F.regexp_extract("file", r"/k=([^/]+)/", 1).cast(kind)
 
 
 @query(f"WITH {POINTS_SQL} SELECT o AS object_id, count(*) AS points, round(sum(x), 6) AS x FROM pts GROUP BY 1")
@@ -70,7 +71,7 @@ def site_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "sites")
     s.repartition("k").write.partitionBy("k").option("header", True).csv(path)
     sites = readers.read_sites(spark, path)
-    return sites.where("error is null").select(KEY.cast("int").alias("k"), "rank", r6(F.col("score")).alias("score"), F.size("residue_ids").alias("residues"))
+    return sites.where("error is null").select(_key().alias("k"), "rank", r6(F.col("score")).alias("score"), F.size("residue_ids").alias("residues"))
 
 
 @query("SELECT n_nationkey AS k, '>' || n_name AS header, CASE WHEN n_nationkey % 5 = 4 THEN '' ELSE upper(regexp_replace(n_name, '[^A-Za-z]', '', 'g')) END AS sequence, CASE WHEN n_nationkey % 5 = 4 THEN 'empty' END AS error FROM nation")
@@ -79,7 +80,7 @@ def fasta_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     letters = F.regexp_replace("n_name", "[^A-Za-z]", "")
     body = F.when(F.col("n_nationkey") % 5 == 4, "").otherwise(F.concat(F.lower(F.left(letters, F.lit(3))), F.lit("\n"), F.substring(letters, 4, 100), F.lit("*")))
     path = _as_text(table(spark, sf_dir, "nation"), F.concat(F.lit(">"), F.col("n_name"), F.lit("\n"), body), "fasta", by="n_nationkey")
-    return readers.read_fasta(spark, path).select(KEY.cast("int").alias("k"), "header", "sequence", "error")
+    return readers.read_fasta(spark, path).select(_key().alias("k"), "header", "sequence", "error")
 
 
 @query(f"WITH {LINES_SQL} SELECT l_linenumber AS model_records, CAST(l_suppkey % 7 AS INTEGER) AS resnum, l_returnflag AS chain, count(*) AS atoms, round(sum(round(l_quantity, 3)), 3) AS x, round(sum(round(l_extendedprice % 1000, 3)), 3) AS z, count(*) FILTER (l_linestatus = 'O') AS het FROM lines GROUP BY 1, 2, 3")
@@ -88,7 +89,7 @@ def pdb_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = lines(spark, sf_dir)
     line = F.format_string("%-6s%5d %-4s%1s%3s %1s%4d%1s   %8.3f%8.3f%8.3f%6.2f%6.2f          %2s", F.when(F.col("l_linestatus") == "O", "HETATM").otherwise("ATOM"), (F.col("l_orderkey") % 99999).cast("int"), F.lit(" CA"), F.lit(""), F.lit("ALA"), F.col("l_returnflag"), (F.col("l_suppkey") % 7).cast("int"), F.lit(""), F.round("l_quantity", 3), F.lit(0.0), F.round(F.col("l_extendedprice") % 1000, 3), F.lit(1.0), F.lit(0.0), F.lit("C"))
     a = readers.read_atoms(spark, _as_text(m, line, "pdb", by="l_linenumber")).withColumnRenamed("structure_id", "file")
-    rows = a.groupBy(KEY.cast("int").alias("model_records"), "resnum", "chain")
+    rows = a.groupBy(_key().alias("model_records"), "resnum", "chain")
     return rows.agg(F.count("*").alias("atoms"), F.round(F.sum("x"), 3).alias("x"), F.round(F.sum("z"), 3).alias("z"), F.count_if("het").alias("het"))
 
 
@@ -98,14 +99,14 @@ def docking_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     block = F.format_string("MODEL %d\nREMARK RESULT: %.3f 0 0\nENDMDL\n", "s_suppkey", "s_acctbal")
     whole = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", block.alias("b")))), lambda x: x["b"]), "").alias("b"))
     d = readers.read_docking(spark, _as_text(whole, F.col("b"), "docking", by="s_nationkey"))
-    return d.select(KEY.cast("int").alias("k"), "mode", "score", "error")
+    return d.select(_key().alias("k"), "mode", "score", "error")
 
 
 @query("SELECT n_nationkey AS k, CAST(length(n_name) + 1 AS BIGINT) AS size, CASE WHEN length(n_name) + 1 > 12 THEN 'too_large' END AS skip_reason, CASE WHEN length(n_name) + 1 <= 12 THEN sha256(n_name || chr(10)) END AS sha256 FROM nation")
 def file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of a folder with their size and digest, or why they are skipped."""
     s = readers.scan_files(spark, _as_text(table(spark, sf_dir, "nation"), F.col("n_name"), "files", by="n_nationkey"), [".txt"], max_bytes=12)
-    return s.withColumnRenamed("path", "file").select(KEY.cast("int").alias("k"), "size", "skip_reason", "sha256")
+    return s.withColumnRenamed("path", "file").select(_key().alias("k"), "size", "skip_reason", "sha256")
 
 
 @query("SELECT 'c' || conv_id AS id, count(*) AS n FROM conversations GROUP BY 1 HAVING count(*) > 1")
