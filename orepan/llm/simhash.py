@@ -228,9 +228,13 @@ def links(distinct: DataFrame, *, radius: int = 3, blocks: int | None = None, ce
     return _compared(distinct.select("node", "fp", F.inline(keys)), radius, cell)
 
 
-def _dealt(rows: DataFrame, cell: int, part_by: str = "fp", more: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (``node, fp, band, value`` and ``more``) by bucket; buckets over ``cell`` rows are dealt over cells."""
-    hot = rows.groupBy("band", "value").agg(F.count("*").alias("c")).where(F.col("c") > cell).select("band", "value", F.ceil(F.col("c") / cell).cast("int").alias("parts"))
+def _dealt(rows: DataFrame, cell: int, part_by: str = "fp", more: tuple[str, ...] = (), shingles=None) -> DataFrame:
+    """Rows (``node, fp, band, value`` and ``more``) by bucket; buckets over ``cell`` rows are dealt over cells,
+    and so are those over ``CELL_SHINGLES`` where rows hold ``shingles``."""
+    parts = F.ceil(F.count("*") / cell)
+    if shingles is not None:
+        parts = F.greatest(parts, F.least(F.ceil(F.sum(shingles) / CELL_SHINGLES), F.count("*")))
+    hot = rows.groupBy("band", "value").agg(parts.cast("int").alias("parts")).where("parts > 1")
     spread = rows.join(hot, ["band", "value"], "left")
     own = F.pmod(F.xxhash64(part_by), F.col("parts"))
     # a row of part p goes to the cells (p, q) of every q, as the smaller and the larger of both
@@ -249,10 +253,10 @@ def _compared(rows: DataFrame, radius: int, cell: int) -> DataFrame:
     return map_arrow(dealt, run, "a long, b long").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _by_bucket(batches, edges):
-    """``edges`` of the columns (``bucket, node, fp`` and further ones) of whole buckets."""
+def _by_bucket(batches, edges, least: int = 5_000):
+    """``edges`` of the columns (``bucket, node, fp`` and further ones) of whole buckets, of ``least`` rows and more."""
     held = None
-    for batch in _larger(batches, 5_000):
+    for batch in _larger(batches, least):
         fp = batch.column(1)
         fp = np.frombuffer(b"".join(fp.to_pylist()), dtype="<u8") if pa.types.is_binary(fp.type) else fp.to_numpy().view(np.uint64)
         cols = [batch.column(2).to_numpy(), batch.column(0).to_numpy(), fp.reshape(batch.num_rows, -1), *(c.to_numpy(zero_copy_only=False) for c in batch.columns[3:])]
@@ -375,22 +379,81 @@ def shingle_sets(docs: DataFrame, *, k: int) -> DataFrame:
     return map_arrow(docs.select("node", F.col("text").cast("binary").alias("text")), run, "node long, shingles array<long>")
 
 
-def similar_links(nodes: DataFrame, texts: DataFrame, *, k: int, similarity: float, radius: int, cell: int = 1024, most_rounds: int = 1000) -> DataFrame:
+def _alike_edges(bucket, node, fp, group, sets, radius: int, similarity: float, dense: int = 64):
+    """Spanning forest edges of sorted buckets: rows of two groups within ``radius`` whose ``sets`` are alike, exactly."""
+    n = len(node)
+    cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+    sizes, at = np.diff(cut), np.arange(n)
+    end = np.repeat(cut[1:], sizes)
+    left, right = [at[:0]], [at[:0]]
+    rows, shift = at[np.repeat(sizes <= dense, sizes)], 1
+    while len(rows := rows[rows + shift < end[rows]]):
+        ok = rows[near_lanes(fp[rows] ^ fp[rows + shift], radius)]
+        left.append(ok)
+        right.append(ok + shift)
+        shift += 1
+    for lo, hi in zip(cut[:-1][sizes > dense], cut[1:][sizes > dense]):
+        i, j = near_pairs(fp[lo:hi], fp[lo:hi], radius)
+        left.append(lo + i[i < j])
+        right.append(lo + j[i < j])
+    i, j = np.concatenate(left), np.concatenate(right)
+    differ = group[i] != group[j]
+    order = np.argsort(i[differ], kind="stable")
+    i, j = i[differ][order], j[differ][order]
+    if not len(i):
+        return node[:0], node[:0]
+    many = np.fromiter(map(len, sets), np.int64, n)
+    start = np.r_[0, np.cumsum(many)]
+    ids, flat = np.unique(np.concatenate(list(sets)), return_inverse=True)
+    mark, alike = np.zeros(len(ids), dtype=np.int32), np.zeros(len(i), dtype=bool)
+    steps = np.flatnonzero(np.r_[True, i[1:] != i[:-1], True])
+    for lo, hi in zip(steps[:-1], steps[1:]):  # one row against all rows left to it, in one pass over their sets
+        row, others = i[lo], j[lo:hi]
+        own, first = flat[start[row] : start[row + 1]], others[0]
+        mark[own] = 1
+        common = np.add.reduceat(mark[flat[start[first] : start[others[-1] + 1]]], start[first : others[-1] + 1] - start[first], dtype=np.int64)[others - first]
+        alike[lo:hi] = common / (many[row] + many[others] - common) >= similarity - 1e-12
+        mark[own] = 0
+    label = forest(n, i[alike], j[alike])
+    moved = np.flatnonzero(label != at)
+    return node[label[moved]], node[moved]
+
+
+#: Shingle hashes in one part of a cell, unless one text has more.
+CELL_SHINGLES = 1_000_000
+
+
+def _links_left(nodes: DataFrame, sets: DataFrame, *, radius: int, similarity: float, cell: int) -> DataFrame:
+    """The links ``a, b`` between groups that are left among ``nodes`` (``node, fp, keys, grp``), decided in their
+    cells from the shingle sets sent there; a cell gives a forest.  Parts are cut by rows and by shingles."""
+    rows = nodes.join(sets.hint("merge"), "node").select("node", "fp", "grp", "shingles", F.posexplode("keys").alias("band", "value"))
+    shared = rows.groupBy("band", "value").agg(F.count("*").alias("c")).where("c > 1").select("band", "value")
+    dealt = _dealt(rows.join(shared, ["band", "value"], "left_semi"), cell, "node", ("grp", "shingles"), F.size("shingles"))
+
+    def edges(cols):
+        a, b = _alike_edges(*cols, radius, similarity)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+
+    return map_arrow(dealt, lambda batches: _by_bucket(batches, edges, 500), "a long, b long").distinct()
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, *, k: int, similarity: float, radius: int, cell: int = 1024, pair_rounds: int = 2) -> DataFrame:
     """Links ``a, b`` that connect all ``nodes`` (``node, fp, keys``) which share a key, lie within ``radius`` and
     whose shingle sets (of ``texts``: ``node, text``) have a Jaccard similarity of ``similarity`` or more.
 
-    The fingerprints give candidates only.  Each round takes for every node the candidates next to it in
-    its buckets, compares their sets, and joins the groups of those that are alike; pairs within a group, and
-    pairs once found apart, need no further look.  Rounds end when no candidate is left, so every candidate
-    is either found apart or within one group, and the rows of a round grow with the nodes, not the pairs.
+    The fingerprints give candidates only.  A round takes for every node the candidates next to it in its
+    buckets, compares their sets, and joins the groups of those that are alike; pairs within a group, and
+    pairs once found apart, need no further look.  This settles all but the nodes of large groups that lie close
+    to ``similarity``; after ``pair_rounds`` their sets are sent to their cells, which decide all pairs left at once,
+    so the jobs do not grow with the size of a group.
     """
     none = F.expr("cast(array() as array<bigint>)")
     open_nodes = nodes.select("node", "fp", "keys", F.col("node").alias("grp"), none.alias("apart"))
     sets, linked, apart = None, None, None
-    for _ in range(most_rounds):
+    for _ in range(pair_rounds):
         todo = written(_candidates(open_nodes, radius, cell), "candidates")
         if todo.isEmpty():
-            break
+            return todo if linked is None else linked
         ends = todo.select(F.col("a").alias("node")).unionByName(todo.select(F.col("b").alias("node"))).distinct()
         if sets is None:  # later rounds look at nodes of the first only
             chosen = texts.join(ends.hint("merge"), "node", "left_semi")
@@ -407,9 +470,8 @@ def similar_links(nodes: DataFrame, texts: DataFrame, *, k: int, similarity: flo
         lists = apart.unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("apart"))
         again = nodes.join(ends.hint("merge"), "node", "left_semi").join(groups.hint("merge"), "node", "left").join(lists.hint("merge"), "node", "left")
         open_nodes = written(again.select("node", "fp", "keys", F.coalesce("component", "node").alias("grp"), F.coalesce("apart", none).alias("apart")), "open-nodes")
-    else:
-        raise RuntimeError(f"candidates are left after {most_rounds} rounds")
-    return todo if linked is None else linked
+    left = _links_left(open_nodes.drop("apart"), sets, radius=radius, similarity=similarity, cell=cell)
+    return linked.unionByName(written(left, "links-left"))
 
 
 def components(edges: DataFrame, *, most_rounds: int | None = None) -> DataFrame:

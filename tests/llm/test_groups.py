@@ -156,6 +156,23 @@ def test_near_copies_agree_with_brute_force(spark):
     assert {r.doc_id for r in got.collect()} == expected
 
 
+def test_large_group_close_to_the_threshold(spark, monkeypatch):
+    """What two rounds of pairs leave is decided in the cells, here of several parts."""
+    rng = random.Random(8)
+    base = words(rng, 200, [f"w{i}" for i in range(5000)])
+    rows = list(enumerate(edited(rng, base, 2 + c % 3, f"z{c}_") for c in range(400)))
+    expected, pairs = brute_firsts(rows)
+    assert 1 < len(expected) < 390 and pairs > 1000
+    calls = []
+    left = simhash._links_left
+    monkeypatch.setattr(simhash, "_links_left", lambda *a, **k: calls.append(1) or left(*a, **k))
+    for most in (1_000_000, 10_000):
+        monkeypatch.setattr(simhash, "CELL_SHINGLES", most)
+        got = corpus_pipeline.drop_near_copies(spark, make_docs(spark, rows), "")
+        assert {r.doc_id for r in got.collect()} == expected
+    assert len(calls) == 2
+
+
 def test_pairs_at_the_threshold_meet():
     rng = np.random.default_rng(5)
     met = 0
