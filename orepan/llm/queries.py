@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, lm, packing, sharding, simhash, token_files, topk, toxicity, warc
+from . import bpe, decontam, line_dedup, lm, packing, sharding, simhash, token_files, topk, toxicity, vector_codes, warc
 from .common import crc_of_id, small_batches, table
 
 
@@ -61,6 +61,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex64("fp").alias("fingerprint"), "component_id")
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), token_files.vocabulary_path("byte_bpe_50k.json"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256.0)
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(books.sha256() if books else "").alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def job(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,10 +78,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return run
 
-    return {f.__name__: job(f) for f in (op1_token_files, op2_topk, op3_toxicity, op4_sharding, op5_line_dedup, op6_lm, op7_warc, op8_packing, op9_decontamination, op10_simhash)}
+    return {f.__name__: job(f) for f in (op1_token_files, op2_topk, op3_toxicity, op4_sharding, op5_line_dedup, op6_lm, op7_warc, op8_packing, op9_decontamination, op10_simhash, op12_bpe, op13_vector_codes)}
+
+
+def _vector_codes_sql(rounds: int) -> str:
+    """Each round: the nearest entry of every part, then the means of the entries, rounded down."""
+    far = "list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(p.y, b.y)])"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS (SELECT p.vec_id, p.j, min({{'d': CAST({far} AS BIGINT), 'e': b.e}}) AS m FROM p JOIN b{r} b USING (j) GROUP BY ALL)")
+        if r < rounds:
+            steps.append(f"""
+        s{r} AS (SELECT j, m.e AS e, i, CAST(sum(y[i]) AS BIGINT) AS s, count(*) AS n FROM a{r} JOIN p USING (vec_id, j), (SELECT unnest(range(1, w + 1)) AS i FROM w) GROUP BY ALL),
+        b{r + 1} AS (SELECT b.j, b.e, coalesce(t.y, b.y) AS y FROM b{r} b LEFT JOIN (SELECT j, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS y FROM s{r} GROUP BY ALL) t USING (j, e))""")
+    return f"""
+        WITH v AS (
+            SELECT vec_id, label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ),
+        w AS (SELECT max(len(x)) // 16 AS w FROM v),
+        p AS (SELECT vec_id, label, j, x[j * w + 1 : (j + 1) * w] AS y FROM v, w, (SELECT unnest(range(16)) AS j)),
+        b0 AS (SELECT j, row_number() OVER (PARTITION BY j ORDER BY vec_id) - 1 AS e, y FROM p SEMI JOIN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 64) USING (vec_id)),
+        {",".join(steps)},
+        c AS (SELECT vec_id, string_agg(printf('%02x', m.e), '' ORDER BY j) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+        h AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY j, e)) AS codebooks_sha256 FROM b{rounds})
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c JOIN v USING (vec_id), h"""
 
 
 ORACLE = {
+    "op13_vector_codes": _vector_codes_sql(2),
     "op2_topk": """
         WITH v AS (
             SELECT vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
