@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, line_dedup, lm, packing, sharding, simhash, token_files, topk, toxicity, vector_codes, warc
+from . import bpe, decontam, line_dedup, lm, packing, sharding, simhash, token_files, topk, toxicity, turn_trie, vector_codes, warc
 from .common import crc_of_id, small_batches, table
 
 
@@ -61,6 +61,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex64("fp").alias("fingerprint"), "component_id")
 
 
+def op11_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), token_files.vocabulary_path("byte_bpe_50k.json"))
 
@@ -78,7 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return run
 
-    return {f.__name__: job(f) for f in (op1_token_files, op2_topk, op3_toxicity, op4_sharding, op5_line_dedup, op6_lm, op7_warc, op8_packing, op9_decontamination, op10_simhash, op12_bpe, op13_vector_codes)}
+    return {f.__name__: job(f) for f in (op1_token_files, op2_topk, op3_toxicity, op4_sharding, op5_line_dedup, op6_lm, op7_warc, op8_packing, op9_decontamination, op10_simhash, op11_turn_trie, op12_bpe, op13_vector_codes)}
 
 
 def _vector_codes_sql(rounds: int) -> str:
@@ -106,6 +110,27 @@ def _vector_codes_sql(rounds: int) -> str:
 
 
 ORACLE = {
+    # crc32 by its table; a subtree is every node that has the node's turns at its beginning
+    "op11_turn_trie": r"""
+        WITH bits AS (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i)),
+        crc AS (SELECT list(c ORDER BY i) AS t FROM bits),
+        turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        own AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS t FROM turns GROUP BY conv_id),
+        h AS (SELECT conv_id, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+                                  lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1]))) % 4 AS h FROM own, crc),
+        seq AS (SELECT o.conv_id, list_concat(coalesce(f.t[1:h.h], []), o.t[h.h + 1 :]) AS t FROM own o JOIN h USING (conv_id) LEFT JOIN own f ON f.conv_id = o.conv_id - o.conv_id % 20),
+        places AS (SELECT conv_id, d, t[1:d] AS path, d = len(t) AS ended FROM (SELECT conv_id, t, unnest(range(len(t) + 1)) AS d FROM seq)),
+        nodes AS (
+            SELECT path, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256,
+                   (count(*) - 1) * len(regexp_extract_all(coalesce(path[-1].text, ''), '[^\x20\x09-\x0D]+')) AS own_saved
+            FROM places GROUP BY path
+        ),
+        kids AS (SELECT path[1:depth - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+        marked AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM nodes n LEFT JOIN kids k USING (path)),
+        above AS (SELECT path[1:d] AS path, own_saved, n_children FROM (SELECT *, unnest(range(depth + 1)) AS d FROM marked)),
+        sums AS (SELECT path, count(*) FILTER (n_children = 0) AS n_leaves, sum(own_saved) AS saved FROM above GROUP BY path)
+        SELECT m.conv_id, CAST(m.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, m.ends_sha256
+        FROM marked m JOIN sums s USING (path) LEFT JOIN nodes p ON m.depth > 0 AND p.path = m.path[1:m.depth - 1]""",
     "op13_vector_codes": _vector_codes_sql(2),
     "op2_topk": """
         WITH v AS (
