@@ -10,14 +10,25 @@ from pyspark.sql import Window as W
 
 from .geometry import ranked
 
-#: Names of secrets, and what is masked, in this order.
-SECRET_NAME = "(?:[A-Z0-9_.-]*(?:API[_-]?KEY|TOKEN|PASSWORD|SECRET|CREDENTIAL)[A-Z0-9_.-]*)"
+#: Words in names of secrets, the characters of such names, and what is masked, in this order.
+SECRET_WORD = "(?:API[_-]?KEY|TOKEN|PASSWORD|SECRET|CREDENTIAL)"
+NAME_LETTER = "[A-Z0-9_.-]"
+#: A whole run of name letters that holds such a word and goes before an assignment.  It is looked at once only,
+#: from its beginning, so a long run without an assignment takes one pass.
+SECRET_NAME = rf"(?<!{NAME_LETTER})(?={NAME_LETTER}++%s\s*+[:=]){NAME_LETTER}*?{SECRET_WORD}{NAME_LETTER}*+"
+
+
+def _folders(mark: str, part: str) -> str:
+    """One or more folders, each ended by ``mark``, with something behind them; a path may go on after , and ;."""
+    return rf"(?:{part}++{mark}(?:[,;]{part}*+{mark})*+(?=[^\s,;:]))++[^\s,;:]++"
+
+
 REDACTIONS = (
-    (rf"""(?idU)(["']?{SECRET_NAME}["']?\s*[:=]\s*)(["'])(.*?)\2""", "$1$2[REDACTED]$2"),
-    (rf"(?iU)({SECRET_NAME}\s*[:=]\s*)[^\s,;}}]+", "$1[REDACTED]"),
+    (rf"""(?idU)(["']?{SECRET_NAME % '["\']?'}["']?\s*[:=]\s*)(["'])(.*?)\2""", "$1$2[REDACTED]$2"),
+    (rf"(?iU)({SECRET_NAME % ''}\s*[:=]\s*)[^\s,;}}]+", "$1[REDACTED]"),
     (r"(?iU)\bBearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]"),
-    (r"(?U)(?<![\w.])/(?:[^\s/:]+/)+[^\s,;:]+", "[INTERNAL_PATH]"),
-    (r"(?iU)\b[A-Z]:[\\/](?:[^\s\\/:]+[\\/])+[^\s,;:]+", "[INTERNAL_PATH]"),
+    (r"(?U)(?<![\w.])/" + _folders("/", r"[^\s/:]"), "[INTERNAL_PATH]"),
+    (r"(?iU)\b[A-Z]:[\\/]" + _folders(r"[\\/]", r"[^\s\\/:]"), "[INTERNAL_PATH]"),
 )
 
 
@@ -48,38 +59,40 @@ def chunk_fixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 HEADING = re.compile(r"#{1,6}\s+(.+?)\s*$")
 
 
+def passages(text: str, size: int = 1800):
+    """(section, lines joined): a heading ends a passage and opens a section, as do ``size`` characters of lines."""
+    section, lines, held = None, [], 0
+    for line in [*text.splitlines(), None]:
+        heading = HEADING.match(line) if line is not None else None
+        if line is not None and not heading:
+            lines.append(line)
+            held += len(line) + 1
+        if line is None or heading or held >= size:
+            yield section, "\n".join(lines)
+            lines, held = [], 0
+        section = heading.group(1) if heading else section
+
+
 def section_pieces(text: str, size: int = 1800):
-    """(section, piece) of one text: a heading, or lines of ``size`` characters together, end what was gathered.
+    """(section, piece as cut) of one text; white space at a piece's end is part of the cut.
 
-    What was gathered is cut at its last line end past the half of ``size``, else at ``size``.
+    A passage, trimmed, is cut at its last line end past the half of ``size``, else at ``size``.
     """
-    section, gathered, held = None, [], 0
-
-    def cut():
-        rest = "\n".join(gathered).strip()
-        while rest:
-            at = len(rest)
-            if at > size:
-                line_end = rest.rfind("\n", 0, size)
-                at = line_end if line_end > size // 2 else size
-            yield section, rest[:at].strip()
+    for section, passage in passages(text, size):
+        rest = passage.strip()
+        while len(rest) > size:
+            line_end = rest.rfind("\n", size // 2 + 1, size)
+            at = size if line_end < 0 else line_end
+            yield section, rest[:at]
             rest = rest[at:].lstrip()
-
-    for line in text.splitlines():
-        heading = HEADING.match(line)
-        if not heading:
-            gathered.append(line)
-            held += len(line) + 1
-        if heading or held >= size:
-            yield from cut()
-            gathered, held = [], 0
-        if heading:
-            section = heading.group(1)
-    yield from cut()
+        if rest:
+            yield section, rest
 
 
 def chunk_sections(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 1800) -> DataFrame:
-    """Markdown chunks by ``section_pieces``: ``doc_id, chunk_no, section, text, chunk_id`` (of section, number and text).
+    """Markdown chunks by ``section_pieces``: ``doc_id, chunk_no, section, text, chunk_id``.
+
+    The id is of section, number and the piece as it was cut; the text is the trimmed piece.
 
     Where a piece is cut depends on what was cut before, so each document is one sequential step; documents are
     independent and are read partition by partition.
@@ -89,11 +102,13 @@ def chunk_sections(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def run(batches):
         for pdf in batches:
             rows = [(d, n, s, p) for d, t in zip(pdf[id_col], pdf[text_col]) for n, (s, p) in enumerate(section_pieces(t or "", size))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "section", "text"])
+            yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "section", "cut"])
 
     kind = dict(docs.dtypes)[id_col]
-    found = docs.select(id_col, text_col).mapInPandas(run, f"doc_id {kind}, chunk_no int, section string, text string")
-    return found.withColumn("chunk_id", F.substring(F.sha2(F.concat_ws("\0", F.coalesce("section", F.lit("")), F.col("chunk_no").cast("string"), "text"), 256), 1, 20))
+    found = docs.select(id_col, text_col).mapInPandas(run, f"doc_id {kind}, chunk_no int, section string, cut string")
+    chunk_id = F.substring(F.sha2(F.concat_ws("\0", F.coalesce("section", F.lit("")), F.col("chunk_no").cast("string"), "cut"), 256), 1, 20)
+    trimmed = F.regexp_replace("cut", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return found.select("doc_id", "chunk_no", "section", trimmed.alias("text"), chunk_id.alias("chunk_id"))
 
 
 def best_page_text(pages: DataFrame, keys: list[str]) -> DataFrame:
@@ -177,8 +192,20 @@ def safe_source(source: Column) -> Column:
     return F.array_compact(F.array(*(F.when(F.rlike(source, F.lit(pattern)), F.lit(name)) for name, pattern in rules.items())))
 
 
+def url_host(url: Column) -> Column:
+    """Host of an https address in lower case; null for other addresses and where there is none.
+
+    The authority ends at the first ``/``, ``?`` or ``#``; user info ends at its last ``@``; line ends and tabs count for nothing,
+    as do control characters and spaces in front, and dots at the end of the host.
+    """
+    plain = F.regexp_replace(F.regexp_replace(url, "[\t\r\n]", ""), r"^[\x00-\x20]+", "")
+    authority = F.regexp_extract(plain, r"^(?i:https)://([^/?#]*)", 1)
+    address = F.regexp_replace(authority, r"^.*@", "")
+    host = F.when(F.startswith(address, F.lit("[")), F.regexp_extract(address, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_extract(address, r"^([^:]*)", 1))
+    return F.nullif(F.lower(F.regexp_replace(host, r"\.+$", "")), F.lit(""))
+
+
 def allowed_host(urls: DataFrame, hosts: DataFrame, url: str = "url") -> DataFrame:
-    """Adds ``allowed``: https and an exact host of the list."""
-    host = F.when(F.startswith(F.col(url), F.lit("https://")), F.lower(F.regexp_extract(F.col(url), r"^https://(?:[^/@]*@)?([^/:?#]+)", 1)))
-    listed = hosts.select(F.lower("host").alias("host"), F.lit(True).alias("ok")).distinct()
-    return urls.withColumn("host", host).join(listed, "host", "left").withColumn("allowed", F.coalesce("ok", F.lit(False))).drop("ok")
+    """Adds ``host`` and ``allowed``: https and exactly a host of the list (in any case, dots at the end aside)."""
+    listed = hosts.select(F.lower(F.regexp_replace("host", r"\.+$", "")).alias("host"), F.lit(True).alias("ok")).distinct()
+    return urls.withColumn("host", url_host(F.col(url))).join(listed, "host", "left").withColumn("allowed", F.coalesce("ok", F.lit(False))).drop("ok")

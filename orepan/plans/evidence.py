@@ -280,12 +280,29 @@ def broken_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.broken_receipts(changed, ["o_orderkey", "o_custkey", "o_orderstatus"]).select("o_orderkey")
 
 
-@query("SELECT c_custkey AS id, CASE c_nationkey % 5 WHEN 0 THEN 'pdb' WHEN 1 THEN 'uniprot' WHEN 2 THEN 'ccd' WHEN 3 THEN 'pubchem' ELSE 'other' END AS source, CASE WHEN c_nationkey % 5 = 4 THEN 'source' WHEN c_nationkey % 5 = 1 THEN 'form' WHEN c_nationkey % 5 = 0 AND NOT regexp_matches(upper(trim(' ' || c_custkey || 'ab ')), '^[0-9][A-Z0-9]{3}$') THEN 'form' WHEN c_nationkey % 5 = 2 AND length(c_custkey || 'ab') > 5 THEN 'form' WHEN c_nationkey % 5 = 3 THEN 'form' END AS error, CASE WHEN c_nationkey % 5 = 0 AND regexp_matches(upper(trim(' ' || c_custkey || 'ab ')), '^[0-9][A-Z0-9]{3}$') THEN 'https://files.rcsb.org/download/' || c_custkey || 'AB.cif' WHEN c_nationkey % 5 = 2 AND length(c_custkey || 'ab') <= 5 THEN 'https://files.rcsb.org/ligands/download/' || c_custkey || 'AB_ideal.sdf' END AS url FROM customer")
+@query(r"""WITH s(n, source, form, url, file) AS (VALUES (0, 'rcsb-mmcif', '[0-9][A-Z0-9]{3}|PDB_[A-Z0-9]{8}', 'https://files.rcsb.org/download/<>.cif', 'rcsb-<l>.cif'), (1, 'alphafold-mmcif', '[A-Z0-9][A-Z0-9-]{5,15}', NULL, 'afdb-<>.cif'),
+  (2, 'uniprot-fasta', '[A-Z0-9][A-Z0-9-]{5,15}', 'https://rest.uniprot.org/uniprotkb/<>.fasta', 'uniprot-<>.fasta'), (3, 'rcsb-ccd-sdf', '[A-Z0-9]{1,5}', 'https://files.rcsb.org/ligands/download/<>_ideal.sdf', 'rcsb-ccd-<>-ideal.sdf'),
+  (4, 'pubchem-cid-sdf-3d', '[1-9][0-9]{0,11}', 'https://pubchem.ncbi.nlm.nih.gov/rest/pug/compound/cid/<>/SDF?record_type=3d', 'pubchem-cid-<>-3d.sdf'), (5, 'other', NULL, NULL, NULL)),
+c AS (SELECT *, CASE WHEN c_nationkey % 6 = 4 THEN CAST(c_custkey AS VARCHAR) WHEN c_custkey % 10 = 3 THEN '' WHEN c_custkey % 2 = 0 THEN c_custkey || 'AB' ELSE 'PDB_' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') END AS v FROM customer JOIN s ON n = c_nationkey % 6),
+e AS (SELECT *, CASE WHEN form IS NULL THEN 'source' WHEN v = '' THEN 'blank' WHEN NOT regexp_full_match(v, form) THEN 'form' END AS error FROM c)
+SELECT c_custkey AS id, source, error, CASE WHEN error IS NULL THEN replace(url, '<>', v) END AS url, CASE WHEN error IS NULL THEN replace(replace(file, '<>', v), '<l>', lower(v)) END AS filename FROM e""")
 def public_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Identifiers brought to their form, with addresses or the reason against them."""
-    names = F.array(*(F.lit(s) for s in ("pdb", "uniprot", "ccd", "pubchem", "other")))
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.element_at(names, (F.col("c_nationkey") % 5 + 1).cast("int")).alias("source"), F.concat(F.lit(" "), F.col("c_custkey").cast("string"), F.lit("ab ")).alias("identifier"))
-    return catalog.public_identifiers(rows).select("id", "source", "error", "url")
+    """Identifiers brought to their form, with addresses and file names or the reason against them."""
+    names = F.array(*(F.lit(s) for s, *_ in catalog.SOURCES), F.lit("other"))
+    key = F.col("c_custkey")
+    given = F.when(F.col("c_nationkey") % 6 == 4, key.cast("string")).when(key % 10 == 3, "  ").when(key % 2 == 0, F.concat(F.lit(" "), key.cast("string"), F.lit("ab\t"))).otherwise(F.concat(F.lit("pdb_"), F.lpad(key.cast("string"), 8, "0")))
+    rows = table(spark, sf_dir, "customer").select(key.alias("id"), F.element_at(names, (F.col("c_nationkey") % 6 + 1).cast("int")).alias("source"), given.alias("identifier"))
+    return catalog.public_identifiers(rows).select("id", "source", "error", "url", "filename")
+
+
+@query("""SELECT o_orderkey AS id, 'order-' || o_orderkey || '.sdf' AS source_name, '{"atoms":' || o_custkey || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE ',"nested":{"sequences":["MK"]}' END || CASE WHEN o_orderkey % 2 = 0 THEN ',"sequence_values_disclosed":false' ELSE '' END || '}' AS qc,
+  o_orderkey % 2 = 0 AS withheld FROM orders""")
+def public_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalog entries as they may be shown: private QC keys dropped and flagged, source names without their folder."""
+    key = F.col("o_orderkey")
+    qc = F.concat(F.lit('{"atoms": '), F.col("o_custkey").cast("string"), F.when(key % 3 == 0, "").otherwise(', "nested": {"sequences": ["MK"]}'), F.when(key % 2 == 0, ', "sequences": ["MKV", "GG"]').otherwise(""), F.lit("}"))
+    rows = table(spark, sf_dir, "orders").select(key.alias("id"), F.concat(F.lit("/data/lib/order-"), key.cast("string"), F.lit(".sdf")).alias("source_name"), qc.alias("qc"))
+    return catalog.public_entries(rows).select("id", "source_name", "qc", "withheld")
 
 
 @query("SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS number, '\"' || o_orderpriority || '\"' AS words, CASE WHEN o_totalprice > 100000 THEN 'true' ELSE 'false' END AS flag FROM orders")

@@ -393,10 +393,11 @@ def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same rules in SQL: both kinds of quotes spelled out, and the letter before a path taken along.
+_NAME_SQL = f"(?:{text.NAME_LETTER}*{text.SECRET_WORD}{text.NAME_LETTER}*)"
 REDACTED_SQL = "text"
 for _pattern, _to in (
-    (rf"""((?i)["']?{text.SECRET_NAME}["']?\s*[:=]\s*)(?:(")[^"\n]*"|(')[^'\n]*')""", r"\1\2\3[REDACTED]\2\3"),
-    (rf"((?i){text.SECRET_NAME}\s*[:=]\s*)[^\s,;}}]+", r"\1[REDACTED]"),
+    (rf"""((?i)["']?{_NAME_SQL}["']?\s*[:=]\s*)(?:(")[^"\n]*"|(')[^'\n]*')""", r"\1\2\3[REDACTED]\2\3"),
+    (rf"((?i){_NAME_SQL}\s*[:=]\s*)[^\s,;}}]+", r"\1[REDACTED]"),
     (r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]"),
     (r"(^|[^\pL\pN_.])/(?:[^\s/:]+/)+[^\s,;:]+", r"\1[INTERNAL_PATH]"),
     (r"(?i)\b[A-Z]:[\\/](?:[^\s\\/:]+[\\/])+[^\s,;:]+", "[INTERNAL_PATH]"),
@@ -438,10 +439,15 @@ def quality_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(f, ",").alias("failures"))
 
 
-@query(r"""SELECT page_id, regexp_extract(lower(url), '^https://(?:[^/@]*@)?([^/:?#]+)', 1) AS host, starts_with(url, 'https://') AND regexp_extract(lower(url), '^https://(?:[^/@]*@)?([^/:?#]+)', 1) IN ('blog.tionsh.example.net', 'thther.example.org', 'blog.ththan.example.net') AS allowed,
-  array_to_string(list_filter([CASE WHEN regexp_matches(url, '^(?:[/~]|[A-Za-z]:[\\/])') THEN 'absolute_path' END, CASE WHEN regexp_matches(url, '^(?i:file):') THEN 'file_url' END, CASE WHEN regexp_matches(url, '^(?i:https?)://[^/?#]+@') THEN 'credentials' END, CASE WHEN regexp_matches(url, '^(?i:https?)://[^?#]*(?:\?[^#]+|\??#.)') THEN 'query_or_fragment' END], lambda x: x IS NOT NULL), ',') AS unsafe FROM pages""")
+@query(r"""WITH h AS (SELECT page_id, url, CASE WHEN starts_with(lower(url), 'https://') THEN rtrim(string_split(string_split(string_split_regex(substr(lower(url), 9), '[/?#]')[1], '@')[-1], ':')[1], '.') ELSE '' END AS host
+  FROM (SELECT page_id, CASE page_id % 10 WHEN 0 THEN 'https://evil.com?@' || substr(url, 9) WHEN 1 THEN 'https://evil.com#@' || substr(url, 9) WHEN 2 THEN 'https://user:pw@' || upper(substr(url, 9)) WHEN 3 THEN replace(url, '.net', '.net.') ELSE url END AS url FROM pages))
+SELECT page_id, host, host IN ('blog.tionsh.example.net', 'thther.example.org', 'blog.ththan.example.net') AS allowed,
+  array_to_string(list_filter([CASE WHEN regexp_matches(url, '^(?:[/~]|[A-Za-z]:[\\/])') THEN 'absolute_path' END, CASE WHEN regexp_matches(url, '^(?i:file):') THEN 'file_url' END, CASE WHEN regexp_matches(url, '^(?i:https?)://[^/?#]+@') THEN 'credentials' END, CASE WHEN regexp_matches(url, '^(?i:https?)://[^?#]*(?:\?[^#]+|\??#.)') THEN 'query_or_fragment' END], lambda x: x IS NOT NULL), ',') AS unsafe FROM h""")
 def page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
+    """Hosts of addresses and of such as try to pass for another host."""
+    n, rest = F.col("page_id") % 10, F.substr("url", F.lit(9))
+    disguised = F.when(n == 0, F.concat(F.lit("https://evil.com?@"), rest)).when(n == 1, F.concat(F.lit("https://evil.com#@"), rest)).when(n == 2, F.concat(F.lit("https://user:pw@"), F.upper(rest))).when(n == 3, F.replace("url", F.lit(".net"), F.lit(".net."))).otherwise(F.col("url"))
+    p = table(spark, sf_dir, "pages").withColumn("url", disguised)
     listed = spark.createDataFrame([("blog.tionsh.example.net",), ("thther.example.org",), ("blog.ththan.example.net",)], "host string")
     return text.allowed_host(p, listed).select("page_id", F.coalesce("host", F.lit("")).alias("host"), "allowed", F.array_join(text.safe_source(F.col("url")), ",").alias("unsafe"))
 

@@ -2,6 +2,8 @@
 
 import math
 import random
+import re
+import time
 from itertools import permutations
 
 import pytest
@@ -183,6 +185,59 @@ def test_redaction_and_citations(spark):
     assert [r.checked for r in text.check_citations(a).collect()] == ["see [doc:1] and", "see [doc:2]", "x"]
 
 
+#: The rules as published, for comparison: what is masked, in this order (fixed values).
+PUBLISHED_NAME = r"(?:[A-Z0-9_.-]*(?:API[_-]?KEY|TOKEN|PASSWORD|SECRET|CREDENTIAL)[A-Z0-9_.-]*)"
+PUBLISHED = (
+    (rf"(?i)([\"']?{PUBLISHED_NAME}[\"']?\s*[:=]\s*)([\"'])(.*?)\2", r"\1\2[REDACTED]\2"),
+    (rf"(?i)({PUBLISHED_NAME}\s*[:=]\s*)[^\s,;}}]+", r"\1[REDACTED]"),
+    (r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]"),
+    (r"(?<![\w.])/(?:[^\s/:]+/)+[^\s,;:]+", "[INTERNAL_PATH]"),
+    (r"(?i)\b[A-Z]:[\\/](?:[^\s\\/:]+[\\/])+[^\s,;:]+", "[INTERNAL_PATH]"),
+)
+
+
+def test_redaction_equals_the_published_rules(spark):
+    rng = random.Random(2)
+    parts = ["token", "API_KEY", "a", "Secret", "=", ":", " ", '"', "'", "x-", "/", ",", ";", "\\", "C:", "\n", "bearer ", "é", ".", "}", "/a/", "pass", "word"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 18))) for _ in range(12_000)]
+    expected = []
+    for t in texts:
+        for pattern, to in PUBLISHED:
+            t = re.sub(pattern, to, t)
+        expected.append(t)
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r.r for r in df.select("i", text.redact(F.col("t")).alias("r")).orderBy("i").collect()]
+    assert [(t, e, g) for t, e, g in zip(texts, expected, got) if e != g] == []
+
+
+def test_redaction_takes_linear_time(spark):
+    n = 1_000_000
+    for t in ("A" * n, "token" * (n // 5), "/a" * (n // 2) + "/x", "C:\\" + "a\\" * (n // 2), "x=" * (n // 2), "token " * (n // 6), '"' * n, "a." * (n // 2)):
+        df = spark.createDataFrame([(t,)], "t string")
+        start = time.time()
+        df.select(F.length(text.redact(F.col("t")))).collect()
+        assert time.time() - start < 3
+
+
+def test_hosts_cannot_be_disguised(spark):
+    cases = {
+        "https://good.com/x": True, "HTTPS://GOOD.com": True, "https://good.com.": True, "https://good.com./x": True, "https://u:p@good.com:443/x": True, "https://good.com?q": True, "https://a@b@good.com/": True, " https://good.com": True,
+        "https://evil.com?@good.com/x": False, "https://evil.com#@good.com": False, "https://evil.com/@good.com": False, "https://good.com@evil.com": False, "http://good.com": False, "https://good.com.evil.com": False, "https://xgood.com": False,
+        "https:///good.com": False, "https://": False, "": False, "good.com": False, "https://[::1]/": True, "https://good.com\\@evil.com": False, "https://good.com:x@evil.com:1": False, None: False,
+    }
+    df = spark.createDataFrame([(u,) for u in cases], "url string")
+    hosts = spark.createDataFrame([("Good.com.",), ("::1",)], "host string")
+    assert {r.url: r.allowed for r in text.allowed_host(df, hosts).collect()} == cases
+
+
+def test_public_identifiers_and_entries(spark):
+    rows = [("rcsb-mmcif", " 1abc\n"), ("rcsb-mmcif", "pdb_00001abc"), ("rcsb-mmcif", "1abcd"), ("alphafold-mmcif", "p12345-2"), ("uniprot-fasta", "p12345"), ("rcsb-ccd-sdf", "atp"), ("pubchem-cid-sdf-3d", "0"), ("x", "1"), ("rcsb-ccd-sdf", " "), ("rcsb-ccd-sdf", None)]
+    got = {(r.source, r.identifier): (r.filename, r.error) for r in catalog.public_identifiers(spark.createDataFrame(rows, "source string, identifier string")).collect()}
+    assert [got[r] for r in rows] == [("rcsb-1abc.cif", None), ("rcsb-pdb_00001abc.cif", None), (None, "form"), ("afdb-P12345-2.cif", None), ("uniprot-P12345.fasta", None), ("rcsb-ccd-ATP-ideal.sdf", None), (None, "form"), (None, "source"), (None, "blank"), (None, "blank")]
+    e = spark.createDataFrame([('{"a": 1.5, "sequences": ["M"], "b": {"sequences": 1}}', "/x/y.pdb"), ('{"a": null}', "C:\\d\\z.cif"), ("no json", "plain"), (None, None)], "qc string, source_name string")
+    assert [(r.qc, r.source_name, r.withheld) for r in catalog.public_entries(e).collect()] == [('{"a":1.5,"b":{"sequences":1},"sequence_values_disclosed":false}', "y.pdb", True), ('{"a":null}', "z.cif", False), ("{}", "plain", False), ("{}", None, False)]
+
+
 def test_chunks(spark):
     d = spark.createDataFrame([(1, "a" * 2500), (2, None), (3, "   "), (4, "# One\n" + "x" * 900 + "\n" + "y" * 1200 + "\n# Two\nz")], "doc_id long, text string")
     assert [(r.doc_id, r.offset, len(r.text)) for r in text.chunk_fixed(d.where("doc_id < 4")).orderBy("offset").collect()] == [(1, 0, 1800), (1, 1800, 700)]
