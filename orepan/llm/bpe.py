@@ -27,6 +27,7 @@ import hashlib
 import heapq
 import json
 import re
+from array import array
 from itertools import compress, islice
 from operator import not_
 
@@ -39,8 +40,10 @@ from .common import map_arrow
 
 #: Characters read at once, characters after which a run is streamed, chunks kept and the longest kept one.
 SPAN, LONG = 1 << 18, 4096
-CACHED_CHUNKS, LONGEST_CHUNK = 400_000, 48
+CACHED_CHUNKS, LONGEST_CHUNK = 1_000_000, 48
 
+#: Below this character (Latin letters) Python's letters are those of any edition of Unicode.
+PLAIN = "\u0250"
 #: Pieces over a text's classes: letters L (those of contractions stand for themselves), numbers N, other
 #: signs O and the apostrophe, spaces, other white space S.
 _LETTER = "Lstrevmld"
@@ -52,7 +55,7 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 class Merges:
-    """The merge list of a vocabulary file: ``pair -> (rank, id)``, and what follows from it."""
+    """The merge list of a vocabulary file: ranks of pairs, what each rank makes, and what follows from them."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -74,7 +77,8 @@ class Merges:
             self.bytes[i] = name.encode()
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.rules = [(vocabulary[a], vocabulary[b], vocabulary[a + b]) for a, b in pairs]
-        self.of = {(a, b): (rank, c) for rank, (a, b, c) in reversed(list(enumerate(self.rules)))}
+        self.rank = {(a, b): rank for rank, (a, b, _) in reversed(list(enumerate(self.rules)))}
+        self.made = [c for _, _, c in self.rules]
         self.lookahead = lookahead(self.rules, [len(b) for b in self.bytes])
 
 
@@ -135,40 +139,36 @@ class Merger:
         return self._few(ids) if len(ids) <= 48 else self._many(ids)
 
     def _few(self, ids: list[int]) -> list[int]:
-        of = self.m.of
-        while len(ids) > 1:
-            found = [r for p in zip(ids, ids[1:]) if (r := of.get(p))]
-            if not found:
-                break
-            best, at, new = min(found), 0, []
-            while at < len(ids):
-                if at + 1 < len(ids) and of.get((ids[at], ids[at + 1])) == best:
-                    new.append(best[1])
-                    at += 2
-                else:
-                    new.append(ids[at])
-                    at += 1
-            ids = new
+        rank, made, none = self.m.rank.get, self.m.made, len(self.m.made)
+        ranks = [rank(p, none) for p in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)  # the leftmost place
+            ids[i : i + 2] = [made[best]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((ids[i - 1], ids[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank((ids[i], ids[i + 1]), none)
         return ids
 
     def _many(self, ids: list[int]) -> list[int]:
         """The same with a heap of (rank, place) and links between the places that are left."""
-        of, n = self.m.of, len(ids)
+        rank, made, n = self.m.rank.get, self.m.made, len(ids)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r[0], i, ids[i], ids[i + 1], r[1]) for i in range(n - 1) if (r := of.get((ids[i], ids[i + 1])))]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, new = heapq.heappop(heap)
+            best, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j >= n or ids[j] != b:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = made[best], -1
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (r := of.get((ids[x], ids[y]))):
-                    heapq.heappush(heap, (r[0], x, ids[x], ids[y], r[1]))
+                if x >= 0 and y < n and (r := rank((ids[x], ids[y]))) is not None:
+                    heapq.heappush(heap, (r, x, ids[x], ids[y]))
         return [i for i in ids if i >= 0]
 
 
@@ -251,8 +251,10 @@ class Encoder:
         self.classes = _Classes(Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str)
         names = sorted(self.merges.special, key=lambda s: (-len(s), s))
         self.special = re.compile("|".join(map(re.escape, names))) if names else None
+        self.merger = Merger(self.merges)
+        self.marks = {c: self._short(c) for c in ".,;:!?"}
         self.first = _Chunks(self._short, keep // 8)
-        self.rest = _Chunks(lambda chunk: self._short(" " + chunk), keep)
+        self.rest = _Chunks(self._word, keep)
 
     def stream(self, parts):
         """The transducer itself: ids of the concatenated ``parts`` (no special tokens in them)."""
@@ -270,12 +272,20 @@ class Encoder:
                     if ends:
                         ids += merger.close()
             if ids:
-                yield np.array(ids, dtype="<u4").tobytes()
+                yield array("I", ids).tobytes()
             part = following
 
     def _short(self, text: str) -> bytes:
         return b"".join(self.stream([text]))
 
+    def _word(self, chunk: str) -> bytes:
+        """Ids of a chunk and the space before it; plain letters, with a mark at most, need no look at their classes."""
+        if chunk.isalpha() and max(chunk) < PLAIN and len(chunk) <= LONGEST_CHUNK:
+            return array("I", self.merger.merged(b" " + chunk.encode())).tobytes()
+        if chunk[-1:] in self.marks and chunk[:-1].isalpha() and max(chunk) < PLAIN:
+            return self.rest[chunk[:-1]] + self.marks[chunk[-1]]
+        return self._short(" " + chunk)
+
     def encode(self, text: str):
         at = 0
         if self.special and any(s in text for s in self.merges.special):
