@@ -34,6 +34,42 @@ def stage_rows(runs: DataFrame, stages: DataFrame, records: DataFrame) -> DataFr
     return joined.select("run_id", "stage", "place", state.alias("state"), F.col("r.seconds").alias("seconds"), F.coalesce("attempts", F.lit(0)).alias("attempts"))
 
 
+def dossier_rows(runs: DataFrame, stages: list[str], records: DataFrame, receipts: DataFrame, failures: DataFrame, *, as_of=None) -> DataFrame:
+    """Every stage of every run, with what its record, its last POSTFLIGHT receipt and the run's last failure say of it.
+
+    ``runs``: run_id, last_stage (null: none yet); ``records``: run_id, stage, seq, seconds; ``receipts``: run_id, stage, seq,
+    phase, decision, artifact_id; ``failures``: run_id, stage, seq, recoverable.  Rows after ``as_of`` (a seq) do not count.
+
+    A stage with a record is COMPLETED_ACCEPTED if its last receipt accepts it, else COMPLETED_UNRECEIPTED.  Without one it is
+    BLOCKED_RETRYABLE or FAILED if the run's last failure is its own, NEXT if it follows the last stage, else PENDING.
+    The streams are put together in one shuffle by (run, stage); a run then has a row a stage at most.
+    """
+    kinds = {"record": "struct<seq:bigint,seconds:double>", "receipt": "struct<seq:bigint,decision:string,artifact_id:string>", "failure": "struct<seq:bigint,stage:string,recoverable:boolean>"}
+
+    def tagged(df, kind, where=F.lit(True)):
+        fields = [f.split(":") for f in kinds[kind][7:-1].split(",")]
+        own = F.struct(*(F.col(c).cast(t).alias(c) for c, t in fields))
+        in_time = F.lit(True) if as_of is None else F.col("seq") <= F.lit(as_of)
+        return df.where(where & in_time).select("run_id", "stage", *(own.alias(k) if k == kind else F.lit(None).cast(t).alias(k) for k, t in kinds.items()))
+
+    rows = tagged(records, "record").unionByName(tagged(receipts, "receipt", F.col("phase") == "POSTFLIGHT")).unionByName(tagged(failures, "failure"))
+    # receipts of one place in the order go by their content, so that the last one is always the same
+    each = rows.groupBy("run_id", "stage").agg(F.max("record").alias("record"), F.max("receipt").alias("receipt"), F.max("failure").alias("failure"))
+    per_run = each.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("stage").isin(stages), F.struct("stage", F.struct("record", "receipt"))))).alias("of"), F.max("failure").alias("failure"))
+    order = F.array(*(F.lit(s) for s in stages))
+    spine = runs.groupBy("run_id").agg(F.max(F.array_position(order, F.coalesce("last_stage", F.lit("")))).alias("done")).join(per_run, "run_id", "left")
+    out = spine.select("run_id", "done", "of", "failure", F.posexplode(order).alias("at", "stage")).withColumns({"position": F.col("at") + 1, "r": F.try_element_at("of", F.col("stage"))})
+    accepted = F.coalesce(F.col("r.receipt.decision") == "ACCEPTED", F.lit(False))
+    status = (
+        F.when(F.col("r.record").isNotNull() & accepted, "COMPLETED_ACCEPTED")
+        .when(F.col("r.record").isNotNull(), "COMPLETED_UNRECEIPTED")
+        .when(F.col("failure.stage") == F.col("stage"), F.when(F.coalesce("failure.recoverable", F.lit(False)), "BLOCKED_RETRYABLE").otherwise("FAILED"))
+        .when(F.col("position") == F.col("done") + 1, "NEXT")
+        .otherwise("PENDING")
+    )
+    return out.select("run_id", "position", "stage", status.alias("status"), F.col("r.record").isNotNull().alias("completed"), accepted.alias("accepted"), F.col("r.record.seconds").alias("seconds"), F.col("r.receipt.artifact_id").alias("acceptance_receipt"))
+
+
 def completion(rows: DataFrame) -> DataFrame:
     """Done stages, their share of all stages, and the seconds of each run."""
     return rows.groupBy("run_id").agg(F.count("*").alias("stages"), F.count_if(F.col("state") == "DONE").alias("done"), F.try_divide(F.count_if(F.col("state") == "DONE").cast("double"), F.count("*")).alias("share"), F.sum("seconds").alias("seconds"))

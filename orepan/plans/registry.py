@@ -21,3 +21,4 @@ def query(sql: str | None):
 from . import queries as _queries  # noqa: E402, F401
 from . import evidence as _evidence  # noqa: E402, F401
 from . import files as _files  # noqa: E402, F401
+from . import records as _records  # noqa: E402, F401
