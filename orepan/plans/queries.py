@@ -299,6 +299,15 @@ def edit_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("x", "y", r6(F.col("identity")).alias("identity"))
 
 
+@query("""WITH d AS (SELECT DISTINCT doc_id % 3 AS k, regexp_replace(text, '[^\\x00-\\x7F]', '~', 'g') AS s FROM documents WHERE length(text) BETWEEN 200 AND 2000)
+SELECT sha256(a.s) AS x, sha256(b.s) AS y, round(1 - levenshtein(a.s, b.s) / CAST(greatest(length(a.s), length(b.s)) AS DOUBLE), 6) AS identity FROM d a JOIN d b ON a.k = 0 AND b.k = 1 AND length(b.s) >= 0.9 * length(a.s) - 1e-9 AND length(a.s) >= 0.9 * length(b.s) - 1e-9 WHERE 1 - levenshtein(a.s, b.s) / CAST(greatest(length(a.s), length(b.s)) AS DOUBLE) >= 0.9 - 1e-12""")
+def edit_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of 200 to 2,000 letters of one split that nearly stand in another."""
+    d = table(spark, sf_dir, "documents").where(F.length("text").between(200, 2000)).select((F.col("doc_id") % 3).alias("k"), F.regexp_replace("text", r"[^\x00-\x7F]", "~").alias("seq"))
+    e = audit.edit_similarity(d.where("k = 0"), d.where("k = 1"), 0.9)
+    return e.select(F.sha2("x", 256).alias("x"), F.sha2("y", 256).alias("y"), r6(F.col("identity")).alias("identity"))
+
+
 @query("SELECT o_orderpriority AS split, count(*) AS records, count(o_orderdate) AS dated, CAST(min(o_orderdate) AS DATE) AS first, CAST(max(o_orderdate) AS DATE) AS last, count(*) FILTER (CASE WHEN o_orderpriority < '3' THEN CAST(o_orderdate AS DATE) > DATE '1996-06-30' ELSE CAST(o_orderdate AS DATE) <= DATE '1996-06-30' END) AS violations FROM orders GROUP BY 1")
 def temporal_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("split"), F.col("o_orderdate").cast("date").alias("date"))

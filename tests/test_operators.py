@@ -132,11 +132,31 @@ def test_similarity_joins_equal_brute_force(spark):
         return row[-1]
 
     w = spark.createDataFrame([(x,) for x in words], "seq string")
-    for t in (0.6, 0.8):
-        got = {(r.x, r.y) for r in audit.edit_similarity(w, w, t).collect()}
+    for t in (0.4, 0.6, 0.8, 1.0):
+        got = {(r.x, r.y) for r in audit.edit_similarity(w, w, t, grain=2).collect()}
         assert got == {(a, b) for a in words for b in words if (1 - lev(a, b) / max(len(a), len(b)) if a or b else 1) >= t - 1e-12}
 
 
+def test_edit_join_of_long_sequences(spark):
+    rng = random.Random(4)
+    base = ["".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(n)) for n in (200, 210, 480, 900, 1500)]
+
+    def edited(s, k):
+        s = list(s)
+        for _ in range(k):
+            at = rng.randrange(len(s))
+            s[at : at + 1] = rng.choice([[], ["A"], ["W", s[at]]])
+        return "".join(s)
+
+    x = base + [edited(s, len(s) // 20) for s in base]
+    y = [edited(s, int(len(s) * f)) for s in base for f in (0.02, 0.05, 0.09, 0.13, 0.3)] + ["WWW" + base[0], base[1][20:]]
+    a, b = (spark.createDataFrame([(s,) for s in v], "seq string") for v in (x, y))
+    for t in (0.85, 0.9):
+        every = a.select(F.col("seq").alias("x")).crossJoin(b.select(F.col("seq").alias("y"))).withColumn("i", 1 - F.levenshtein("x", "y") / F.greatest(F.length("x"), F.length("y"))).where(F.col("i") >= t - 1e-12)
+        got = {(r.x, r.y, round(r.identity, 9)) for r in audit.edit_similarity(a, b, t).collect()}
+        assert got == {(r.x, r.y, round(r.i, 9)) for r in every.collect()} and len(got) > 20
+
+
 def test_gates_rank_fail_before_incomplete(spark):
     g = spark.createDataFrame([("a", "PASS"), ("b", "INCOMPLETE"), ("c", "FAIL")], "rule string, status string")
     r = audit.overall(g).first()
