@@ -58,8 +58,18 @@ def triangles(objects: DataFrame, *, features: str = "features", keep: tuple[str
 
 
 def binned(tri: DataFrame, width: float = BIN_WIDTH) -> DataFrame:
-    """Adds ``b0, b1, b2``: the bins of the sorted edges."""
-    return tri.withColumns({f"b{x}": F.floor(F.get("edges", F.lit(x)) / width).cast("int") for x in range(3)})
+    """Adds ``b0, b1, b2``, the bins of the sorted edges, and ``cell``, the types with the first bin: the look-up key."""
+    out = tri.withColumns({f"b{x}": F.floor(F.get("edges", F.lit(x)) / width).cast("int") for x in range(3)})
+    return out.withColumn("cell", _cell(F.col("type_key"), F.col("b0")))
+
+
+def _cell(type_key: Column, b0: Column) -> Column:
+    return F.concat_ws("#", type_key, b0.cast("string"))
+
+
+def _reach(tolerance: float, width: float) -> int:
+    """Bins on either side that an edge within the tolerance can lie in."""
+    return int(-(-tolerance // width)) + 1
 
 
 def select_query_triangles(tri: DataFrame, most: int = MOST_TRIANGLES, keep: tuple[str, ...] = ("object_id", "conformer_id")) -> DataFrame:
@@ -71,22 +81,20 @@ def select_query_triangles(tri: DataFrame, most: int = MOST_TRIANGLES, keep: tup
 def match_triangles(index: DataFrame, query: DataFrame, *, tolerance: float = TOLERANCE, width: float = BIN_WIDTH, candidates: DataFrame | None = None) -> DataFrame:
     """Best correspondence of each query triangle with each indexed triangle.
 
-    The query side (at most ``MOST_TRIANGLES`` rows of one query) is spread over the bins that the
-    tolerance can reach, so the look-up is a hash join on (type_key, bins); its rows have a fixed bound
-    and are broadcast.  Sorted edges that differ by more than the tolerance are then out by plain comparisons,
-    and only for what is left the six permutations are tried.  ``candidates`` restricts the objects.
+    The query side (at most ``MOST_TRIANGLES`` rows of one query) is spread over the first bins that the tolerance can
+    reach, so the look-up is a hash join on the cell; its rows have a fixed bound and are broadcast.  Sorted edges
+    that differ by more than the tolerance are then out by plain comparisons, and only for what is left the six
+    permutations are tried.  ``candidates`` restricts the objects.
     """
-    reach = int(-(-tolerance // width)) + 1
-    around = F.sequence(F.lit(-reach), F.lit(reach))
-    q = query.select(F.struct("i", "j", "k").alias("q"), *(F.col(x).alias(f"q{x}") for x in ("t0", "t1", "t2", "d01", "d02", "d12", "edges")), "type_key", "b0", "b1", "b2")
-    for x in range(3):
-        q = q.withColumn(f"b{x}", F.explode(_shifted(around, f"b{x}")))
+    around = F.sequence(F.lit(-_reach(tolerance, width)), F.lit(_reach(tolerance, width)))
+    q = query.select(F.struct("i", "j", "k").alias("q"), *(F.col(x).alias(f"q{x}") for x in ("t0", "t1", "t2", "d01", "d02", "d12", "edges")), "type_key", F.explode(_shifted(around, "b0")).alias("b0"))
+    q = q.withColumn("cell", _cell(F.col("type_key"), F.col("b0"))).drop("type_key", "b0")
     if candidates is not None:
         index = index.join(candidates, "object_id", "left_semi")
     near = F.lit(True)
     for x in range(3):
         near = near & (F.abs(F.get("edges", F.lit(x)) - F.get("qedges", F.lit(x))) <= tolerance * (1 + 1e-9))
-    met = index.join(F.broadcast(q), ["type_key", "b0", "b1", "b2"]).where(near)
+    met = index.join(F.broadcast(q), "cell").where(near)
     own, tries = (F.col("i"), F.col("j"), F.col("k")), []
     for perm in permutations(range(3)):
         errors = [F.abs(F.col(f"qd{a}{b}") - F.col("d{}{}".format(*sorted((perm[a], perm[b]))))) / tolerance for a, b in PAIRS]
@@ -99,6 +107,22 @@ def match_triangles(index: DataFrame, query: DataFrame, *, tolerance: float = TO
     return met.withColumn("best", F.array_min(F.array(*tries))).where("best is not null").select("object_id", "conformer_id", "q", F.col("best.error").alias("error"), F.col("best.c").alias("c"))
 
 
+def match_published(index: DataFrame, query: DataFrame, *, tolerance: float = TOLERANCE, width: float = BIN_WIDTH, candidates: DataFrame | None = None) -> DataFrame:
+    """``match_triangles`` over a published index, of which only the buckets of the query's cells are read.
+
+    The query's triangles (at most ``MOST_TRIANGLES`` of one query) come to the driver, as a filter needs their cells as
+    literals.  The index is neither sorted nor shuffled.
+    """
+    columns = ["i", "j", "k", "t0", "t1", "t2", "d01", "d02", "d12", "edges", "type_key", "b0"]
+    rows = query.select(*columns).collect()
+    if len(rows) > MOST_TRIANGLES:
+        raise ValueError(f"one query has at most {MOST_TRIANGLES} triangles: select them first")
+    reach = _reach(tolerance, width)
+    cells = sorted({f"{r.type_key}#{r.b0 + d}" for r in rows for d in range(-reach, reach + 1)})
+    small = index.sparkSession.createDataFrame(rows, query.select(*columns).schema)
+    return match_triangles(index.where(F.col("cell").isin(cells)), small, tolerance=tolerance, width=width, candidates=candidates)
+
+
 def best_matches(matches: DataFrame) -> DataFrame:
     """Per conformer and query triangle the match of smallest (error, candidate indices)."""
     best = matches.groupBy("object_id", "conformer_id", "q").agg(F.min(F.struct("error", "c")).alias("m"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators import audit, catalog, fusion, geometry, runs, selection, stats, text
+from ..sources import sinks
 from .bindings import LINES_SQL, POINTS_SQL, lines, objects, table
 from .registry import query
 
@@ -27,13 +28,28 @@ def triangle_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("object_id", "i", "j", "k", "type_key", "kinds", r6(F.col("area")).alias("area"), r6(F.col("perimeter")).alias("perimeter"), "b0", "b1", "b2")
 
 
+def _published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The triangle index of the orders' objects, published once a session and table version and then only read."""
+    source = table(spark, sf_dir, "lineitem")
+    version = catalog.receipt_hash({"dir": sf_dir, "files": sorted(source.inputFiles()), "app": spark.sparkContext.applicationId})
+    name = f"triangles_{version[:24]}"
+    if not spark.catalog.tableExists(name):
+        sinks.publish_index(objects(spark, sf_dir), name, buckets=32)
+    return spark.table(name)
+
+
+def _query_triangles(index: DataFrame):
+    """The triangles of the object with the smallest id of 4 to 9 points, and its number of points."""
+    first = index.where(F.col("points").between(4, 9)).agg(F.min(F.struct("object_id", "points")).alias("f")).select("f.*").first()
+    own = index.where((F.col("object_id") == first.object_id) & F.col("points").between(4, 9))
+    return geometry.select_query_triangles(own), first.points
+
+
 def _search(spark: SparkSession, sf_dir: str, candidates: DataFrame | None = None):
-    """Matches of the object with the smallest id of 4 to 9 points."""
-    index = geometry.binned(geometry.triangles(objects(spark, sf_dir)))
-    first = lines(spark, sf_dir).groupBy("l_orderkey").agg(F.count("*").alias("n")).where(F.col("n").between(4, 9)).agg(F.min("l_orderkey").alias("o"), F.min(F.struct("l_orderkey", "n"))["n"].alias("n")).first()
-    own = objects(spark, sf_dir).where(F.col("object_id") == first.o)
-    q = geometry.select_query_triangles(geometry.binned(geometry.triangles(own)))
-    return geometry.best_matches(geometry.match_triangles(index, q, candidates=candidates)), first.n
+    """Matches of the query object over the published index."""
+    index = _published(spark, sf_dir)
+    q, n = _query_triangles(index)
+    return geometry.best_matches(geometry.match_published(index, q, candidates=candidates)), n
 
 
 MATCH_SQL = f"""WITH {POINTS_SQL},
@@ -68,8 +84,7 @@ def geometric_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def match_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per object a bit for each query triangle it matches, and the least error."""
     best, _ = _search(spark, sf_dir)
-    first = lines(spark, sf_dir).groupBy("l_orderkey").agg(F.count("*").alias("n")).where(F.col("n").between(4, 9)).agg(F.min("l_orderkey").alias("o")).first()
-    own = geometry.select_query_triangles(geometry.triangles(objects(spark, sf_dir).where(F.col("object_id") == first.o)))
+    own, _ = _query_triangles(_published(spark, sf_dir))
     numbers = own.select(F.struct("i", "j", "k").alias("q"), (F.row_number().over(W.orderBy("i", "j", "k")) - 1).alias("number"))
     return geometry.match_masks(best, numbers).select("object_id", "mask", r6(F.col("min_error")).alias("min_error"))
 

@@ -60,6 +60,27 @@ def test_search_loses_nothing_to_bins(spark):
     assert {r.object_id: r["count"] for r in got} == {o: n for o, n in expected.items() if n}
 
 
+def test_published_index_is_searched_by_its_buckets(spark):
+    from orepan.sources import sinks
+
+    rng = random.Random(3)
+    rows = [(f"o{i}", 0, points(*((rng.choice(["Donor", "Acceptor", "Aromatic"]), *(rng.uniform(0, 6) for _ in range(3))) for _ in range(5)))) for i in range(60)]
+    sinks.publish_index(library(spark, rows), "published_test", buckets=32).collect()
+    index = spark.table("published_test")
+    q = geometry.select_query_triangles(index.where("object_id = 'o7'"), most=3)
+    found = geometry.match_published(index, q)
+    plain = geometry.match_triangles(geometry.binned(geometry.triangles(library(spark, rows))), q)
+    key = lambda df: sorted((r.object_id, tuple(r.q), round(r.error, 9), tuple(r.c)) for r in df.collect())
+    assert key(found) == key(plain) and len(key(found)) > 3
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    leaves = found._jdf.queryExecution().sparkPlan().collectLeaves()
+    scans = [x for x in (leaves.apply(i) for i in range(leaves.size())) if x.getClass().getSimpleName() == "FileSourceScanExec"]
+    assert scans and all(x.optionalBucketSet().get().cardinality() < 32 for x in scans) and "Exchange hashpartitioning" not in plan
+    with pytest.raises(ValueError):
+        geometry.match_published(index, index)
+    spark.sql("DROP TABLE published_test")
+
+
 def test_fusion_breaks_ties_by_id(spark):
     a = spark.createDataFrame([("x", 1, 0.9), ("y", 2, 0.8)], "id string, rank int, score double")
     b = spark.createDataFrame([("y", 1, 0.7), ("x", 2, 0.6)], "id string, rank int, score double")
