@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from . import quantiles
+
 
 def required_subsequence(events: DataFrame, required: list[str], *, by: str = "session_id", order: str = "seq") -> DataFrame:
     """Per session whether the required tools succeed in order, and how far it got.
@@ -87,7 +89,11 @@ def agent_rollup(runs: DataFrame) -> DataFrame:
     ``runs``: passed, cited, tools_ok (booleans; null counts as false), seconds.
     """
     share = lambda c: F.avg(F.coalesce(F.col(c), F.lit(False)).cast("int"))
-    out = runs.agg(F.count("*").alias("runs"), share("passed").alias("pass_rate"), share("cited").alias("citation_rate"), share("tools_ok").alias("tool_rate"), F.percentile("seconds", 0.5).alias("p50"), F.percentile("seconds", 0.95).alias("p95"))
+    out = runs.agg(F.count("*").alias("runs"), share("passed").alias("pass_rate"), share("cited").alias("citation_rate"), share("tools_ok").alias("tool_rate"))
+    ends = {f"{side}{p}": f(p) for p in (0.5, 0.95) for side, f in (("a", quantiles.lower), ("b", quantiles.upper))}
+    found = quantiles.at_places(runs, [], "seconds", {k.replace(".", "_"): f for k, f in ends.items()})
+    times = found.agg(*(F.max(quantiles.between(F.col(f"a{p}".replace(".", "_")), F.col(f"b{p}".replace(".", "_")), F.col("n"), p)).alias(name) for name, p in (("p50", 0.5), ("p95", 0.95))))
+    out = out.join(times)  # one row each
     return out.withColumn("eligible", F.coalesce(F.least("pass_rate", "citation_rate", "tool_rate") == 1, F.lit(False)))
 
 

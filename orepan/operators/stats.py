@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from . import quantiles
+
 
 def rate(hits: Column, total: Column) -> Column:
     """hits / total, null for an empty total."""
@@ -149,26 +151,35 @@ def claims(rules: DataFrame, endpoints: DataFrame) -> DataFrame:
 def metric_summary(df: DataFrame, metrics: list[str]) -> DataFrame:
     """Count, mean, median, least and largest of each metric; null values are not counted."""
     long = df.select(F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics)))).where("value is not null")
-    return long.groupBy("metric").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"), F.min("value").alias("low"), F.max("value").alias("high"))
+    plain = long.groupBy(F.col("metric").alias("m")).agg(F.avg("value").alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"))
+    mid = quantiles.at_places(long, ["metric"], "value", {"a": quantiles.lower(0.5), "b": quantiles.upper(0.5)})
+    median = quantiles.between(F.col("a"), F.col("b"), F.col("n"), 0.5)
+    return mid.join(plain, F.col("metric") == F.col("m")).select("metric", "n", "mean", median.alias("median"), "low", "high")
 
 
 def sample_summary(df: DataFrame, by: str, value: str) -> DataFrame:
-    """Median, nearest-rank p95 and coefficient of variation per group and over all (``total`` = 1)."""
+    """Median, nearest-rank p95 and coefficient of variation per group and over all (``total`` = 1).
+
+    A group without values has no median; over no rows at all there is the total row.
+    """
     v = F.col(value)
     cv = F.when(F.count(v) > 1, F.try_divide(F.stddev_samp(v), F.avg(v))).otherwise(F.lit(0.0))
-    return df.groupingSets([[by], []], by).agg(F.grouping(by).cast("int").alias("total"), F.count(v).alias("n"), F.median(v).alias("median"), F.expr(f"percentile_disc(0.95) within group (order by {value})").alias("p95"), cv.alias("cv"))
+    plain = df.groupingSets([[by], []], by).agg(F.grouping(by).cast("int").alias("total"), F.count(v).alias("n"), cv.alias("cv"))
+    places = {"a": quantiles.lower(0.5), "b": quantiles.upper(0.5), "p95": quantiles.nearest_rank(0.95)}
+    each = quantiles.at_places(df, [by], value, places).withColumn("t", F.lit(0)).unionByName(quantiles.at_places(df, [], value, places).withColumns({by: F.lit(None).cast(df.schema[by].dataType), "t": F.lit(1)}))
+    each = each.select(F.col(by).alias("of"), "t", quantiles.between(F.col("a"), F.col("b"), F.col("n"), 0.5).alias("median"), "p95")
+    return plain.join(each, (F.col("total") == F.col("t")) & F.col(by).eqNullSafe(F.col("of")), "left").select(by, "total", "n", "median", "p95", "cv")
 
 
-def linear_percentile(value: str, p: float) -> Column:
-    """Percentile by linear interpolation between closest ranks."""
-    return F.percentile(value, p)
+def linear_percentile(df: DataFrame, by: str, value: str, p: float, name: str) -> DataFrame:
+    """Percentile of each group by linear interpolation between closest ranks."""
+    found = quantiles.at_places(df, [by], value, {"a": quantiles.lower(p), "b": quantiles.upper(p)})
+    return found.select(by, quantiles.between(F.col("a"), F.col("b"), F.col("n"), p).alias(name))
 
 
 def rounded_percentile(df: DataFrame, by: str, value: str, p: float, name: str) -> DataFrame:
     """The value at index round((n - 1) * p), halves to even, of each group in order."""
-    own = W.partitionBy(by)
-    rows = df.where(F.col(value).isNotNull()).select(by, value, F.row_number().over(own.orderBy(value)).alias("rn"), F.count("*").over(own).alias("n"))
-    return rows.where(F.col("rn") == F.bround((F.col("n") - 1) * F.lit(p)) + 1).select(by, F.col(value).alias(name))
+    return quantiles.at_places(df, [by], value, {name: quantiles.rounded(p)}).select(by, name)
 
 
 def failed_checks(checks: str, ignored: str = "rmsd") -> tuple[Column, Column]:
@@ -200,7 +211,10 @@ def compare_runs(a: DataFrame, b: DataFrame, keys: list[str], *, output: str = "
     """Share of equal outputs over common keys, ratio of median seconds, and keys of one run only."""
     joined = a.select(*keys, F.col(output).alias("oa"), F.col(seconds).alias("sa"), F.lit(1).alias("ha")).join(b.select(*keys, F.col(output).alias("ob"), F.col(seconds).alias("sb"), F.lit(1).alias("hb")), keys, "full_outer")
     both = F.col("ha").isNotNull() & F.col("hb").isNotNull()
-    return joined.agg(F.count_if(both).alias("common"), F.count_if(~both).alias("unmatched"), F.avg(F.when(both, F.col("oa").eqNullSafe(F.col("ob")).cast("int"))).alias("equal_share"), F.try_divide(F.median(F.when(both, F.col("sb"))), F.median(F.when(both, F.col("sa")))).alias("ratio"))
+    plain = joined.agg(F.count_if(both).alias("common"), F.count_if(~both).alias("unmatched"), F.avg(F.when(both, F.col("oa").eqNullSafe(F.col("ob")).cast("int"))).alias("equal_share"))
+    sides = joined.where(both).select(F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("sa").alias("s")), F.struct(F.lit("b").alias("side"), F.col("sb").alias("s")))).alias("x")).select("x.*")
+    middle = linear_percentile(sides, "side", "s", 0.5, "m").agg(F.max(F.when(F.col("side") == "a", F.col("m"))).alias("ma"), F.max(F.when(F.col("side") == "b", F.col("m"))).alias("mb"))
+    return plain.join(middle).select("common", "unmatched", "equal_share", F.try_divide("mb", "ma").alias("ratio"))  # one row each
 
 
 def null_aware_sum(*parts: str) -> Column:

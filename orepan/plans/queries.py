@@ -231,7 +231,7 @@ def sample_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY 1")
 def linear_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(r6(stats.linear_percentile("value", 0.9)).alias("p90"))
+    return stats.linear_percentile(table(spark, sf_dir, "events"), "event_type", "value", 0.9, "p90").withColumn("p90", r6(F.col("p90")))
 
 
 @query("WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, round(value, 6) AS p75 FROM r WHERE rn = round_even((n - 1) * 0.75, 0) + 1")

@@ -9,7 +9,7 @@ from itertools import permutations
 import pytest
 from pyspark.sql import functions as F
 
-from orepan.operators import audit, catalog, fusion, geometry, runs, selection, stats, text
+from orepan.operators import audit, catalog, fusion, geometry, quantiles, runs, selection, stats, text
 
 POINT = "array<struct<type string, position array<double>>>"
 
@@ -122,11 +122,37 @@ def test_empty_sets_have_null_ratios(spark):
 
 def test_three_percentile_rules_differ(spark):
     df = spark.createDataFrame([("a", float(x)) for x in (1, 2, 3, 4)], "k string, v double")
-    assert df.agg(stats.linear_percentile("v", 0.5).alias("p")).first().p == 2.5
+    assert stats.linear_percentile(df, "k", "v", 0.5, "p").first().p == 2.5
     assert stats.rounded_percentile(df, "k", "v", 0.5, "p").first().p == 3.0  # round(1.5) is 2
     assert stats.sample_summary(df, "k", "v").where("total = 1").first().p95 == 4.0
 
 
+def test_order_statistics_without_a_group_in_one_task(spark):
+    rng = random.Random(5)
+    rows = [("hot", float(rng.randint(0, 40))) for _ in range(4000)] + [("hot", 7.0)] * 3000 + [(None, rng.random()) for _ in range(50)] + [("one", 3.0), ("same", 2.0), ("same", 2.0), ("none", None), ("nan", float("nan")), ("nan", 1.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    groups = {}
+    for k, v in rows:
+        if v is not None:
+            groups.setdefault(k, []).append(v)
+    groups = {k: sorted(v, key=lambda x: (x != x, x)) for k, v in groups.items()}
+    places = {"med": quantiles.lower(0.5), "up": quantiles.upper(0.5), "p95": quantiles.nearest_rank(0.95), "top": lambda n: n - 1, "r": quantiles.rounded(0.75), "beyond": lambda n: n}
+    got = {r.k: r for r in quantiles.at_places(df, ["k"], "v", places).collect()}
+    assert set(got) == set(groups)
+    same = lambda a, b: a == b or (a != a and b != b)
+    for k, v in groups.items():
+        n = len(v)
+        expected = [v[(n - 1) // 2], v[n // 2], v[math.ceil(n * 0.95) - 1], v[-1], v[round((n - 1) * 0.75)]]
+        assert got[k].n == n and all(same(a, b) for a, b in zip(expected, (got[k].med, got[k].up, got[k].p95, got[k].top, got[k].r))) and got[k].beyond is None
+    every = sorted(v for v in sum(groups.values(), []) if v == v)
+    assert quantiles.at_places(df.where("NOT isnan(v)"), [], "v", {"m": quantiles.lower(0.5)}).first().m == every[(len(every) - 1) // 2]
+    assert quantiles.at_places(df.limit(0), ["k"], "v", {"m": quantiles.lower(0.5)}).count() == 0
+    plan = quantiles.at_places(df, ["k"], "v", {"m": quantiles.lower(0.5)})
+    native = {r.k: r.p for r in df.groupBy("k").agg(F.percentile("v", 0.37).alias("p")).collect()}
+    mine = {r.k: r.p for r in stats.linear_percentile(df, "k", "v", 0.37, "p").collect()}
+    assert all(same(mine[k], native[k]) or abs(mine[k] - native[k]) < 1e-12 for k in mine) and plan.columns == ["k", "n", "m"]
+
+
 def test_split_overlap_reports_pairs_without_any(spark):
     m = spark.createDataFrame([("train", "e"), ("train", "b"), ("test", "e"), ("test", "e"), ("val", "z"), ("val", None)], "split string, identity string")
     got = {(r.a, r.b): (r.common, r.share, len(r.examples)) for r in audit.overlap(m, "identity").collect()}
