@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .catalog import checkpointed
 from .geometry import ranked
 
 #: Words in names of secrets, the characters of such names, and what is masked, in this order.
@@ -117,15 +118,40 @@ def best_page_text(pages: DataFrame, keys: list[str]) -> DataFrame:
     return best.withColumn("scan_like", F.length(F.regexp_replace("text", r"\s", "")) < 40)
 
 
-def term_search(docs: DataFrame, queries: DataFrame, *, k: int = 10) -> DataFrame:
+def term_search(docs: DataFrame, queries: DataFrame, *, k: int = 10, first: int = 8) -> DataFrame:
     """Shared terms / query terms for many queries at once; documents without a shared term are left out.
 
-    ``docs``: id, tokens (distinct); ``queries``: query_id, tokens (distinct).
+    ``docs``: id, tokens (distinct); ``queries``: query_id, tokens (distinct).  Ties go to the smaller id.
+
+    A query's terms stand in order of rarity.  What its ``first`` rarest terms find gives a bound: the k-th best of those
+    documents shares c terms.  A document that shares c or more must hold one of all but the c - 1 commonest terms, so only
+    these are looked up; common words are no keys for documents that cannot be among the k.  Of every document that is
+    found the shared terms are counted in full.
     """
-    q = queries.select("query_id", F.greatest(F.size("tokens"), F.lit(1)).alias("n"), F.explode("tokens").alias("t"))
-    scored = docs.select("id", F.explode("tokens").alias("t")).join(q, "t").groupBy("query_id", "n", "id").agg(F.count("*").alias("common"))
-    scored = scored.select("query_id", "id", (F.col("common").cast("double") / F.col("n")).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    held = docs.select("id", F.explode("tokens").alias("t"))
+    asked = queries.select("query_id", F.explode("tokens").alias("t"))
+    frequency = held.join(asked.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.count("*").alias("f"))
+    # terms that no document holds cannot be shared
+    order = asked.join(frequency, "t").groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("f", "t"))), lambda x: x["t"]).alias("terms"))
+    q = checkpointed(queries.select("query_id", "tokens").join(order, "query_id"))
+
+    def found(taken: DataFrame, most: Column) -> DataFrame:
+        keys = taken.select("query_id", F.explode(F.slice("terms", F.lit(1), most.cast("int"))).alias("t"))
+        return held.join(keys, "t").groupBy("query_id", "id").agg(F.count("*").alias("some"))
+
+    def counted(pairs: DataFrame) -> DataFrame:
+        texts = docs.select("id", F.col("tokens").alias("own"))
+        met = pairs.select("query_id", "id").join(q.select("query_id", "tokens"), "query_id").join(texts, "id")
+        return met.select("query_id", "id", F.size(F.array_intersect("own", "tokens")).alias("common"), F.size("tokens").alias("n"))
+
+    def best(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= most)
+
+    seen = counted(best(found(q, F.lit(first)), [F.desc("some"), F.col("id")], 3 * k))
+    bound = best(seen, [F.desc("common"), F.col("id")], k).where(F.col("rank") == k).select(F.col("query_id").alias("of"), F.col("common").alias("c"))
+    wide = checkpointed(q.join(bound, F.col("query_id") == F.col("of"), "left").withColumn("c", F.coalesce("c", F.lit(1))))
+    every = counted(found(wide, F.size("terms") - F.col("c") + 1))
+    return best(every, [F.desc("common"), F.col("id")], k).select("query_id", "id", (F.col("common").cast("double") / F.col("n")).alias("score"), "rank")
 
 
 def cosine(a: Column, b: Column) -> Column:

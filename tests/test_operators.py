@@ -305,6 +305,21 @@ def test_public_identifiers_and_entries(spark):
     assert [(r.qc, r.source_name, r.withheld) for r in catalog.public_entries(e).collect()] == [('{"a":1.5,"b":{"sequences":1},"sequence_values_disclosed":false}', "y.pdb", True), ('{"a":null}', "z.cif", False), ("{}", "plain", False), ("{}", None, False)]
 
 
+def test_term_search_equals_all_pairs(spark):
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(60)]
+    weights = [1 / (i + 1) for i in range(60)]
+    pick = lambda n: sorted(set(rng.choices(vocabulary, weights, k=n)))
+    docs = [(i, pick(rng.randint(1, 40))) for i in range(150)] + [(200, []), (201, None)]
+    queries = [(f"q{i}", pick(rng.randint(1, 30))) for i in range(20)] + [("copy", docs[5][1]), ("unknown", ["x", "y"]), ("partly", ["x", "w59", "w0"]), ("none", [])]
+    got = {(r.query_id, r.id, round(r.score, 9), r.rank) for r in text.term_search(spark.createDataFrame(docs, "id int, tokens array<string>"), spark.createDataFrame(queries, "query_id string, tokens array<string>"), k=5, first=2).collect()}
+    expected = set()
+    for qid, terms in queries:
+        scored = sorted((-len(set(t or []) & set(terms)), i) for i, t in docs if set(t or []) & set(terms))
+        expected |= {(qid, i, round(-c / len(terms), 9), r + 1) for r, (c, i) in enumerate(scored[:5])}
+    assert got == expected
+
+
 def test_chunks(spark):
     d = spark.createDataFrame([(1, "a" * 2500), (2, None), (3, "   "), (4, "# One\n" + "x" * 900 + "\n" + "y" * 1200 + "\n# Two\nz")], "doc_id long, text string")
     assert [(r.doc_id, r.offset, len(r.text)) for r in text.chunk_fixed(d.where("doc_id < 4")).orderBy("offset").collect()] == [(1, 0, 1800), (1, 1800, 700)]
