@@ -24,20 +24,31 @@ def read_features(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return good, raw.where(~ok).select(F.coalesce("_bad", F.to_json(F.struct("molecule_id", "smiles"))).alias("line"))
 
 
-def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their file and number; numbers count inside one file, so files are read in parallel."""
-    whole = spark.read.format("text").option("wholetext", True).load(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", r"\r?\n", -1)).alias("line_no", "line"))
+def numbered_lines(spark: SparkSession, path: str, **marks: Column) -> DataFrame:
+    """``file, line_no`` (from 0)``, line`` of text files, a large file read by many tasks.
+
+    Each of ``marks``, a condition on ``line``, adds a column of that name: how many lines of the file up to and
+    with this one meet it.  Lines are numbered in each split of a file; the splits' totals, one small row
+    each, tell how many lines and marked ones stand before a split.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("at"))
+    hit = {k: F.coalesce(c, F.lit(False)).cast("int") for k, c in marks.items()}
+    totals = raw.groupBy("file", "block").agg(F.count("*").alias("lines"), *(F.sum(c).alias(k) for k, c in hit.items()))
+    above = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    before = totals.select(F.col("file").alias("f_"), F.col("block").alias("b_"), *(F.coalesce(F.sum(k).over(above), F.lit(0)).alias(f"before_{k}") for k in ("lines", *marks)))
+    own = W.partitionBy("file", "block").orderBy("at")
+    rows = raw.withColumns({"n": F.row_number().over(own), **{k: F.sum(c).over(own) for k, c in hit.items()}})
+    met = rows.join(before, (F.col("file") == F.col("f_")) & (F.col("block") == F.col("b_")))
+    return met.select("file", (F.col("before_lines") + F.col("n") - 1).alias("line_no"), "line", *((F.col(f"before_{k}") + F.col(k)).alias(k) for k in marks))
 
 
 def read_smiles(spark: SparkSession, path: str) -> DataFrame:
     """``text [name]`` a line; blank lines and ``#`` comments out; unnamed rows get the file's stem and a number."""
-    rows = _numbered(spark, path).where((F.trim("line") != "") & ~F.startswith(F.ltrim("line"), F.lit("#")))
+    record = (F.trim("line") != "") & ~F.startswith(F.ltrim("line"), F.lit("#"))
+    rows = numbered_lines(spark, path, record_index=record).where(record)
     parts = F.split(F.trim("line"), r"\s+", 2)
-    record = F.row_number().over(W.partitionBy("file").orderBy("line_no"))
     stem = F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?$", 1)
-    out = rows.withColumn("record_index", record)
-    return out.select("file", "record_index", F.get(parts, F.lit(0)).alias("smiles"), F.coalesce(F.get(parts, F.lit(1)), F.format_string("%s-%06d", stem, "record_index")).alias("name"))
+    return rows.select("file", F.col("record_index").cast("int").alias("record_index"), F.get(parts, F.lit(0)).alias("smiles"), F.coalesce(F.get(parts, F.lit(1)), F.format_string("%s-%06d", stem, "record_index")).alias("name"))
 
 
 def with_aliases(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
@@ -81,14 +92,12 @@ def read_fasta(spark: SparkSession, path: str, alphabet: str = "ACDEFGHIKLMNPQRS
 
 def read_atoms(spark: SparkSession, path: str) -> DataFrame:
     """Fixed-width ATOM and HETATM lines as an atoms table; the model number counts MODEL lines above."""
-    lines = _numbered(spark, path)
-    above = W.partitionBy("file").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
     kind = F.trim(F.substring("line", 1, 6))
-    numbered = lines.withColumns({"kind": kind, "model": F.greatest(F.lit(1), F.sum(F.when(kind == "MODEL", 1).otherwise(0)).over(above))})
+    numbered = numbered_lines(spark, path, model=kind == "MODEL").withColumns({"kind": kind, "model": F.greatest(F.lit(1), F.col("model"))})
     cut = lambda a, n: F.trim(F.substring("line", a, n))
     atoms = numbered.where(F.col("kind").isin("ATOM", "HETATM"))
     return atoms.select(
-        F.col("file").alias("structure_id"), "line_no", F.col("model").cast("int").alias("model"), cut(7, 5).try_cast("int").alias("serial"), cut(13, 4).alias("atom"), cut(17, 1).alias("altloc"), cut(18, 3).alias("resname"), cut(22, 1).alias("chain"),
+        F.col("file").alias("structure_id"), F.col("line_no").cast("int").alias("line_no"), F.col("model").cast("int").alias("model"), cut(7, 5).try_cast("int").alias("serial"), cut(13, 4).alias("atom"), cut(17, 1).alias("altloc"), cut(18, 3).alias("resname"), cut(22, 1).alias("chain"),
         cut(23, 4).try_cast("int").alias("resnum"), cut(27, 1).alias("icode"), *(cut(a, 8).try_cast("double").alias(c) for a, c in ((31, "x"), (39, "y"), (47, "z"))), F.coalesce(cut(55, 6).try_cast("double"), F.lit(1.0)).alias("occ"), F.upper(cut(77, 2)).alias("element"), (F.col("kind") == "HETATM").alias("het"),
     )
 

@@ -103,3 +103,27 @@ def test_objects_are_stored_once(spark, tmp_path):
         sinks.store_objects(rows.withColumn("sha256", F.lit("0")), str(tmp_path / "o"))
     lines = [r.line for r in sinks.markdown_table(rows.select("sha256", F.lit("x|y").alias("v")).distinct(), ["v"], ["sha256"]).orderBy("place").collect()]
     assert lines == ["| v |", "| --- |", "| x\\|y |", "| x\\|y |"]
+
+
+def test_lines_of_a_large_file_are_numbered_by_its_splits(spark, tmp_path):
+    lines = {name: [f"{name}{i} " + "x" * (i % 50) if i % 7 else "# note" if i % 2 else "" for i in range(n)] for name, n in (("a", 5000), ("b", 3), ("c", 1200))}
+    for name, text in lines.items():
+        write(tmp_path / f"{name}.smi", "\n".join(text) + "\n")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        found = readers.numbered_lines(spark, str(tmp_path), notes=F.startswith("line", F.lit("#")))
+        got = {(r.file[-5], r.line_no): (r.line, r.notes) for r in found.collect()}
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 5
+        for name, text in lines.items():
+            notes = 0
+            for i, line in enumerate(text):
+                notes += line.startswith("#")
+                assert got.pop((name, i)) == (line, notes)
+        assert not got
+        smiles = readers.read_smiles(spark, str(tmp_path)).collect()
+        assert sorted((r.file[-5], r.record_index, r.smiles) for r in smiles) == sorted((n, i, x.split()[0]) for n, text in lines.items() for i, x in enumerate((x for x in text if x and x[0] != "#"), 1))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
