@@ -390,6 +390,30 @@ def test_overlay_and_coherent_mapping(spark):
     assert (r.coverage, r.matches) == (1.0, 4) and r.overlay[0][3] == pytest.approx(-10)
 
 
+def test_coherent_mapping_equals_all_unions():
+    """Against every union of matches, on cases small enough for the beam to hold all."""
+    import numpy as np
+
+    from orepan.operators import overlay
+
+    rng = random.Random(8)
+    for _ in range(60):
+        points_ = np.array([[rng.randint(0, 3) for _ in range(3)] for _ in range(5)], dtype=float)
+        other = points_[[rng.randrange(5) for _ in range(5)]] if rng.random() < 0.5 else points_
+        matches = [(rng.choice([0.0, 0.1, 0.2, 0.5]), tuple(sorted(rng.sample(range(5), 3))), tuple(rng.sample(range(5), 3))) for _ in range(6)]
+        fine = lambda m: len({a for a, _ in m}) == len(m) == len({b for _, b in m}) and all(abs(np.linalg.norm(points_[a] - points_[c]) - np.linalg.norm(other[b] - other[d])) <= 1 + 1e-12 for a, b in m for c, d in m)
+        unions = {frozenset(p for i in range(6) if use >> i & 1 for p in zip(*matches[i][1:])) for use in range(1, 64)}
+        explained = lambda m: [x for x in matches if m >= set(zip(*x[1:]))]
+
+        def key(m):
+            e = [x[0] for x in explained(m)]
+            return -len(m), float(np.median(e)), -len(e), float(np.mean(e)), sorted(m)
+
+        best = min((m for m in unions if fine(m)), key=key, default=frozenset())
+        mapping, chosen = overlay.coherent_mapping(matches, points_, other, 1.0)
+        assert mapping == dict(best) and sorted(matches[i] for i in chosen) == sorted(explained(best))
+
+
 def test_sequence_verification(spark):
     from orepan.operators import overlay
 
