@@ -17,8 +17,9 @@ twice.  A query's partial lists (k rows per candidate block) are then merged.
 
 Vectors that are null, or have null or non-finite components, take no part; nor do rows with a null id.
 Empty vectors, and vectors shorter than the longest, count as padded by zeros.  Large finite values count in
-full: rows and queries with a component above 2^16 are scored over whole numbers of any size beside the
-index, and a score beyond the range of a long counts as the nearest long.  Of repeated ids each row counts on its own; a query's candidates are
+full: rows and queries with a component above ``exact_up_to`` (2^16 to 256 dimensions, less beyond) are scored over whole
+numbers of any size beside the index, and a score beyond the range of a long counts as the nearest long; a component
+beyond the range of a double once scaled counts as the largest double.  Of repeated ids each row counts on its own; a query's candidates are
 all rows with another id.  With fewer than k candidates all are returned; an empty table gives no rows.
 """
 
@@ -35,15 +36,24 @@ from pyspark.sql import Window as W
 from .common import map_arrow
 
 LONG = (1 << 63) - 1
-#: Components up to this keep all sums (and the count of up to 512 dimensions beside them) exact in doubles.
-LARGE = float(1 << 16)
+LARGEST = float(np.finfo("f8").max)
+
+
+def exact_up_to(dims: int) -> float:
+    """Components up to this keep all sums, and the count of dimensions beside them, exact in doubles.
+
+    A sum is at most dims * c * c, the unit above it four to eight times that, and the packed number dims units: below 2^53.
+    """
+    bits = max(1, int(dims - 1).bit_length())
+    return float(1 << max(0, min(16, 24 - bits)))
 
 
 class ImpactIndex:
     """Posting lists of one block of candidates (``x``: whole numbers as doubles, rows in id order)."""
 
     def __init__(self, x: np.ndarray):
-        self.all, self.large = x, np.flatnonzero((np.abs(x) > LARGE).any(axis=1))
+        self.exact = exact_up_to(x.shape[1])
+        self.all, self.large = x, np.flatnonzero((np.abs(x) > self.exact).any(axis=1))
         if len(self.large):
             x = x.copy()
             x[self.large] = 0
@@ -98,7 +108,7 @@ class ImpactIndex:
 
     def search(self, q: np.ndarray, k: int, enough: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` best rows and their exact scores; equal scores by row, which is by id."""
-        if (np.abs(q) > LARGE).any():
+        if (np.abs(q) > self.exact).any():
             rows = exact = np.arange(len(self.x))
         else:
             rows, exact = self.possible(q, min(k + len(self.large), len(self.x)), max(enough or len(self.x) // 20, 4 * k)), self.large
@@ -161,7 +171,8 @@ def top_k(vectors: DataFrame, *, is_query: Column, k: int = 20, scale: float = 6
 
     def encode(batches):
         for batch in batches:
-            out = [np.pad(np.floor(scale * np.array(x, dtype="<f8")), (0, dims - len(x))).tobytes() for x in batch.column(2).to_pylist()]
+            with np.errstate(over="ignore"):
+                out = [np.pad(np.clip(np.floor(scale * np.array(x, dtype="<f8")), -LARGEST, LARGEST), (0, dims - len(x))).tobytes() for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["vec_id", "q", "x"])
 
     coded = map_arrow(rows, encode, "vec_id long, q boolean, x binary")

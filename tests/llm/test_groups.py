@@ -1,9 +1,11 @@
 import collections
 import hashlib
+import math
 import random
 import uuid
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -266,6 +268,23 @@ def brute_top(rows, k):
     return {(q, r + 1, i, s) for q in x if q % 20 == 0 for r, (s, i) in enumerate(sorted(((int(x[q] @ x[i]), i) for i in x if i != q), key=lambda t: (-t[0], t[1]))[:k])}
 
 
+@pytest.mark.parametrize("dims", [3, 600])
+def test_top_k_of_extreme_components_and_many_dimensions(spark, dims):
+    rng = random.Random(dims)
+    plain = [(i, [rng.choice([0.0, rng.gauss(0, 300)]) for _ in range(dims)]) for i in range(60)]
+    rows = plain + [(100, [1e308] * dims), (101, [-1e308, 1e308] + [0.0] * (dims - 2)), (102, []), (103, [float("nan")] * dims)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.top_k(df, is_query=F.col("vec_id") % 20 == 0, k=4, block=25).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    largest, long_ = 1.7976931348623157e308, (1 << 63) - 1
+    whole = {i: [int(max(-largest, min(largest, math.floor(64 * x) if abs(x) < 1e300 else math.copysign(largest, x)))) for x in v] for i, v in rows if i != 103}
+    for q in (0, 20, 40, 100):
+        score = {i: max(-long_, min(long_, sum(a * b for a, b in zip(whole[q], v)))) for i, v in whole.items() if i != q}
+        best = sorted(score.items(), key=lambda x: (-x[1], x[0]))[:4]
+        assert sorted(got[q]) == [(n + 1, i, s) for n, (i, s) in enumerate(best)]
+
+
 def test_exact_top_k(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(c) for c in rng.normal(0, 0.15, 16)]) for i in range(400)]
