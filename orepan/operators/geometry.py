@@ -197,11 +197,28 @@ def contacts(left: DataFrame, right: DataFrame, radius: float, by: str = "struct
     return a.join(b, [by, "gx", "gy", "gz"]).withColumn("distance", d).where(F.col("distance") <= radius).select(by, "left_id", "right_id", "distance")
 
 
-def crop_residues(atoms: DataFrame, pose: DataFrame, cutoff: float = 8.0, by: str = "structure_id") -> DataFrame:
-    """All atoms of residues with an atom within ``cutoff`` of the pose (``by, id, x, y, z``)."""
-    near = contacts(pose, atoms.where("not hydrogen") if "hydrogen" in atoms.columns else atoms, cutoff, by).select(by, F.col("right_id").alias("id")).distinct()
-    residues = atoms.join(near, [by, "id"], "left_semi").select(by, "residue").distinct()
-    return atoms.join(residues, [by, "residue"], "left_semi")
+def crop_residues(atoms: DataFrame, pose: DataFrame, cutoff: float = 8.0, by: str = "structure_id", *, most: int = 2000) -> DataFrame:
+    """All atoms of residues with an atom within ``cutoff`` of the pose (``by, x, y, z``; several poses count together).
+
+    Atoms are shuffled once, by structure: they meet the pose's points as one array, and a residue's atoms lie beside each
+    other then.  Structures whose pose has more than ``most`` points go by cells (``contacts``) instead.
+    """
+    sizes = pose.groupBy(F.col(by).alias("of")).agg(F.count("*").alias("n"))
+    large = sizes.where(F.col("n") > most).select("of")
+    some = not large.isEmpty()
+    few = pose.join(large, F.col(by) == F.col("of"), "left_anti") if some else pose
+    points = few.groupBy(F.col(by).alias("of")).agg(F.collect_list(F.struct("x", "y", "z")).alias("pose"))
+    heavy = ~F.coalesce(F.col("hydrogen"), F.lit(False)) if "hydrogen" in atoms.columns else F.lit(True)
+    square = lambda p: sum(((F.col(c) - p[c]) * (F.col(c) - p[c]) for c in "xyz"), F.lit(0.0))
+    near = heavy & F.coalesce(F.exists("pose", lambda p: F.sqrt(square(p)) <= cutoff), F.lit(False))
+    met = atoms.join(points, F.col(by) == F.col("of")).withColumn("near", near)
+    out = met.withColumn("near", F.max("near").over(W.partitionBy("of", "residue"))).where("near").select(*atoms.columns)
+    if not some:
+        return out
+    own = atoms.join(large, F.col(by) == F.col("of"), "left_semi")
+    close = contacts(pose.join(large, F.col(by) == F.col("of"), "left_semi"), own.where(heavy), cutoff, by).select(by, F.col("right_id").alias("id")).distinct()
+    residues = own.join(close, [by, "id"], "left_semi").select(by, "residue").distinct()
+    return out.unionByName(own.join(residues, [by, "residue"], "left_semi").select(*atoms.columns))
 
 
 def ring_centroids(atoms: DataFrame, by: tuple[str, ...] = ("structure_id", "residue"), least: int = 3) -> DataFrame:

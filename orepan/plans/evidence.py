@@ -318,11 +318,22 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     version = F.when(F.col("id") % 4 == 0, F.struct(F.array(F.struct(F.struct(F.concat(F.lit("1."), F.col("id").cast("string")).alias("version")).alias("RDKit"))).alias("tools"), F.lit(None).cast("string").alias("rdkit"))).when(F.col("id") % 2 == 0, F.struct(F.array().cast("array<struct<RDKit:struct<version:string>>>").alias("tools"), F.concat(F.lit(" 1."), F.col("id").cast("string")).alias("rdkit")))
     doc = F.to_json(F.struct("atoms", F.when(F.col("id") % 3 != 0, F.concat(F.lit("k"), F.col("id").cast("string"))).alias("kind"), version.alias("env")))
     rows = g.select("id", "rows", doc.alias("qc"))
-    found = catalog.nested_versions(rows, "qc", "rdkit", by="id", depth=5)
+    found = catalog.nested_versions(rows, "qc", "rdkit", by="id")
     wide = rows.select("id", "rows", *catalog.qc_projection(F.col("qc"), {"kind": ("string", "unknown")}, sums={"heavy": "atoms"}, sizes={"chains": "atoms"}))
     return wide.join(found, "id", "left").select("id", "rows", "heavy", "chains", "kind", "version")
 
 
+@query("SELECT l_orderkey AS id, round(max(l_extendedprice), 6) AS score FROM lineitem WHERE l_returnflag <> 'A' GROUP BY 1")
+def ranking_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The highest ranking score in documents of up to 14 levels."""
+    scored = F.when(F.col("l_returnflag") != "A", F.col("l_extendedprice"))
+    n = lines(spark, sf_dir).select(F.col("l_orderkey").alias("id"), "mode", F.to_json(F.struct(scored.alias("sample_ranking_score"), F.lit("9e9").alias("score"))).alias("doc"))
+    # the m-th line of an order lies 2 m levels down
+    deep = F.concat(F.repeat(F.lit('{"samples": ['), F.col("mode")), "doc", F.repeat(F.lit("]}"), F.col("mode")))
+    g = n.groupBy("id").agg(F.array_join(F.sort_array(F.collect_list(deep)), ", ").alias("d"))
+    return catalog.ranking_scores(g.select("id", F.concat(F.lit('{"results": ['), "d", F.lit("]}")).alias("doc")), "doc", by="id").withColumn("score", r6(F.col("score")))
+
+
 # --- text and selection -------------------------------------------------------------------------
 
 

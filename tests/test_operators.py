@@ -361,6 +361,31 @@ def test_contacts_by_cells_equal_all_pairs(spark):
     assert got == {(a[1], b[1]) for a in rows for b in rows if math.dist(a[2:], b[2:]) <= 5.0}
 
 
+def test_crop_by_array_and_by_cells(spark):
+    rng = random.Random(9)
+    place = lambda: [rng.uniform(0, 30) for _ in range(3)]
+    atoms = [(s, i, f"r{i // 4}", *place(), rng.random() < 0.2) for s in ("a", "b", "c") for i in range(80)]
+    pose = [(s, i, *place()) for s, n in (("a", 3), ("b", 12)) for i in range(n)]
+    df = spark.createDataFrame(atoms, "structure_id string, id int, residue string, x double, y double, z double, hydrogen boolean")
+    p = spark.createDataFrame(pose, "structure_id string, id int, x double, y double, z double")
+    near = {(a[0], a[2]) for a in atoms for q in pose if a[0] == q[0] and not a[6] and math.dist(a[3:6], q[2:5]) <= 5}
+    expected = sorted((a[0], a[1]) for a in atoms if (a[0], a[2]) in near)
+    for most in (2000, 5, 1):
+        assert sorted((r.structure_id, r.id) for r in geometry.crop_residues(df, p, 5.0, most=most).collect()) == expected
+    assert geometry.crop_residues(df, p.limit(0), 5.0).count() == 0
+
+
+def test_nested_keys_at_any_depth(spark):
+    deep = '{"a": [' * 12 + '{"VINA": {"version": " 1.2 "}, "sample_ranking_score": 0.5}' + "]}" * 12
+    docs = {
+        1: deep, 2: '{"a": {"b": {"vina": "deep"}}, "c": {"vina": "other"}}', 3: '{"z": {"vina": "x"}, "Vina": " own "}', 4: '{"vina": " ", "b": [{"vina": {"version": 3}}, {"vina": "kept"}]}', 5: "[]", 6: "{broken", 7: None,
+        8: '{"sample_ranking_score": true, "b": [{"sample_ranking_score": "7"}, {"sample_ranking_score": -2}, {"sample_ranking_score": {"sample_ranking_score": 1.5}}]}',
+    }
+    df = spark.createDataFrame(list(docs.items()), "k int, doc string")
+    assert {r.k: r.version for r in catalog.nested_versions(df, "doc", "vina", by="k").collect()} == {1: "1.2", 2: "deep", 3: "own", 4: "kept"}
+    assert {r.k: r.score for r in catalog.ranking_scores(df, "doc", by="k").collect()} == {1: 0.5, 8: 1.5}
+
+
 def test_altloc_and_clusters(spark):
     a = spark.createDataFrame([("s", "CA", "A", 0.5, 1.0, 0.0, 0.0), ("s", "CA", "B", 0.5, 2.0, 0.0, 0.0), ("s", "CB", "B", 0.7, 0.0, 0.0, 0.0), ("s", "CB", "A", 0.3, 0.0, 0.0, 0.0)], "structure_id string, atom string, altloc string, occ double, x double, y double, z double")
     assert {(r.atom, r.altloc, r.tied) for r in geometry.choose_altloc(a, ("structure_id", "atom")).collect()} == {("CA", "A", 2), ("CB", "B", 1)}
