@@ -5,9 +5,6 @@ Each gives on a stream what its batch operator gives on the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -42,21 +39,66 @@ def latest_states(events: DataFrame, *, delay: str = "1 hour") -> DataFrame:
     return seen.groupBy("run_id", "stage").agg(F.max_by(F.struct("status", "seconds"), F.struct("ts", "seq")).alias("last"), F.count("*").alias("attempts"), F.max("ts").alias("ts"))
 
 
-def tool_cursor(events: DataFrame, required: list[str]) -> DataFrame:
-    """How far each session has got in the required tools, per micro batch (``session_id, matched, passed``).
+def tool_cursor(events: DataFrame, required: list[str], *, delay: str = "10 minutes") -> DataFrame:
+    """How far each session has got in the required tools: ``session_id, matched, passed`` whenever it gets further, and at first.
 
-    State per session: the place in the list.  Rows of a micro batch are taken in ``seq`` order; failures and
-    other tools may stand between.
+    ``events``: session_id, seq, tool, ok, ts.  Failures and other tools may stand between.  Rows wait until the
+    watermark (``delay`` behind the latest ``ts``) has passed them and are then taken by (ts, seq), so rows that
+    come late or in another order, within the delay, give what the batch operator gives on all rows.  Rows
+    behind the watermark are not taken.  A session keeps its place and the rows that wait; rows that cannot move the place,
+    and those of a session that has passed, are not kept.  Needs the RocksDB state store (see ``state_store``).
     """
-    import pandas as pd
-
-    def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        (at,) = state.get if state.exists else (0,)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for tool, ok in zip(rows["tool"], rows["ok"]):
-            at += bool(at < len(required) and ok and tool == required[at])
-        state.update((at,))
-        yield pd.DataFrame({"session_id": [key[0]], "matched": [at], "passed": [at == len(required)]})
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    class Cursor(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.at = handle.getValueState("at", "at int")
+            self.waiting = handle.getListState("waiting", "ms long, seq long, tool string")
+
+        def handleInputRows(self, key, rows, timerValues):
+            import pandas as pd
+
+            known = self.at.exists()
+            at, passed_ms = self.at.get()[0] if known else 0, timerValues.getCurrentWatermarkInMs()
+            if not known:
+                self.at.update((0,))
+                yield pd.DataFrame({"session_id": [key[0]], "matched": [0], "passed": [not required]})
+            new = []
+            for pdf in rows:
+                if at < len(required):
+                    pdf = pdf[pdf["ok"].fillna(False).astype(bool) & pdf["tool"].isin(required)]
+                    new += [(int(ms), int(seq), tool) for ms, seq, tool in zip(pdf["ms"], pdf["seq"], pdf["tool"]) if ms > passed_ms]
+            if new:
+                self.waiting.appendList(new)
+                for ms in {r[0] for r in new}:
+                    self.handle.registerTimer(ms)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            import pandas as pd
+
+            passed_ms = timerValues.getCurrentWatermarkInMs()
+            rows = sorted(self.waiting.get())
+            due, later = [r for r in rows if r[0] <= passed_ms], [r for r in rows if r[0] > passed_ms]
+            if due:
+                before = at = self.at.get()[0]
+                for _, _, tool in due:
+                    at += at < len(required) and tool == required[at]
+                self.waiting.clear()
+                if later and at < len(required):
+                    self.waiting.put(later)
+                if at > before:
+                    self.at.update((at,))
+                    yield pd.DataFrame({"session_id": [key[0]], "matched": [at], "passed": [at == len(required)]})
+
+        def close(self) -> None:
+            pass
 
     kind = dict(events.dtypes)["session_id"]
-    return events.groupBy("session_id").applyInPandasWithState(step, f"session_id {kind}, matched int, passed boolean", "at int", "update", "NoTimeout")
+    rows = events.withWatermark("ts", delay).select("session_id", "seq", "tool", "ok", "ts", F.unix_millis("ts").alias("ms"))
+    return rows.groupBy("session_id").transformWithStateInPandas(Cursor(), f"session_id {kind}, matched int, passed boolean", "update", "eventtime")
+
+
+def state_store(spark: SparkSession) -> None:
+    """Sets the state store that ``tool_cursor`` needs; to be called by a job before its streams start."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

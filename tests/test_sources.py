@@ -1,7 +1,9 @@
 import pytest
 """Readers, sinks and streaming feeds on small files."""
 
+import datetime
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -72,16 +74,29 @@ def test_scan_and_stream_ingest(spark, tmp_path):
     assert got.count() == 3 == got.select("sha256").distinct().count() and got.where("state = 'QUARANTINED'").count() == 0
 
 
-def test_stream_cursor_equals_batch(spark, tmp_path):
-    rows = [("a", i, t, ok) for i, (t, ok) in enumerate([("s", True), ("x", True), ("w", True)])] + [("b", 0, "s", False), ("b", 1, "s", True)]
-    schema = "session_id string, seq int, tool string, ok boolean"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "e"))
-    out = feeds.tool_cursor(spark.readStream.schema(schema).parquet(str(tmp_path / "e")), ["s", "w"])
-    q = out.writeStream.format("memory").queryName("cursor").outputMode("update").start()
-    q.processAllAvailable()
-    q.stop()
-    batch = runs.required_subsequence(spark.createDataFrame(rows, schema), ["s", "w"])
-    assert {(r.session_id, r.matched, r.passed) for r in spark.table("cursor").collect()} == {(r.session_id, r.matched, r.passed) for r in batch.collect()}
+def test_stream_cursor_equals_batch_in_any_order(spark, tmp_path):
+    rng = random.Random(1)
+    tools = ["s", "w", "v"]
+    rows = [(f"u{u}", i, rng.choice([*tools, "x"]), rng.random() < 0.8, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=30 * i)) for u in range(12) for i in range(rng.randint(1, 12))]
+    rng.shuffle(rows)
+    schema = "session_id string, seq int, tool string, ok boolean, ts timestamp"
+    end = [("end", i, "x", True, datetime.datetime(2025, 1, 1)) for i in range(2)]
+    for n, part in enumerate([rows[i::4] for i in range(4)] + [end[:1], end[1:]]):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"e/{n}"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    feeds.state_store(spark)
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "e/*"))
+        q = feeds.tool_cursor(stream, tools, delay="1 hour").writeStream.format("memory").queryName("cursor").outputMode("update").start()
+        q.processAllAvailable()
+        q.stop()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    last = {}
+    for r in spark.table("cursor").where("session_id <> 'end'").collect():
+        last[r.session_id] = max(last.get(r.session_id, (0, False)), (r.matched, r.passed))
+    batch = runs.required_subsequence(spark.createDataFrame(rows, schema), tools)
+    assert last == {r.session_id: (r.matched, r.passed) for r in batch.collect()} and len({m for m, _ in last.values()}) > 2
 
 
 def test_latest_states_on_a_stream(spark, tmp_path):
