@@ -191,8 +191,8 @@ def shard(docs: DataFrame, *, shards: int | None = None, target_bytes: int | Non
     sums = placed.groupBy("__shard", "__bin").agg(F.count("*").alias("c"))
     first = sums.select("__shard", "__bin", (F.sum("c").over(W.partitionBy("__shard").orderBy("__bin").rowsBetween(W.unboundedPreceding, 0)) - F.col("c")).alias("before"))
     numbered = placed.withColumn("rn", F.row_number().over(W.partitionBy("__shard", "__bin").orderBy("__id", "__crc")))
-    # one small row per shard and bin: their number depends on the settings, not on the data
-    slots = numbered.join(F.broadcast(first), ["__shard", "__bin"])
+    # one row per shard and bin, joined where the numbered rows lie already
+    slots = numbered.join(first, ["__shard", "__bin"])
     return slots.select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.col("__shard").alias("shard"), (F.col("before") + F.col("rn") - 1).alias("slot"))
 
 
