@@ -17,13 +17,23 @@ def split_pairs(members: DataFrame) -> DataFrame:
     return names.join(names.select(F.col("a").alias("b")), F.col("a") < F.col("b"))
 
 
-def split_summary(members: DataFrame, identities: list[str], error: str | None = None) -> DataFrame:
-    """Per split: records, invalid records, distinct values and repeats of each identity."""
+def split_summary(members: DataFrame, identities: list[str], error: str | None = None, *, index: str | None = None, examples: int = 20) -> DataFrame:
+    """Per split: records, parsed and invalid ones, distinct values and repeats of each identity among the parsed.
+
+    With ``index`` there are also the first invalid records by it, as (index, code); no more than ``examples`` of a split
+    are gathered.
+    """
     valid = F.col(error).isNull() if error else F.lit(True)
-    aggs = [F.count("*").alias("records"), F.count_if(~valid).alias("invalid")]
+    aggs = [F.count("*").alias("records"), F.count_if(valid).alias("parsed"), F.count_if(~valid).alias("invalid")]
     for c in identities:
         aggs += [F.count_distinct(F.when(valid, F.col(c))).alias(f"unique_{c}"), (F.count(F.when(valid, F.col(c))) - F.count_distinct(F.when(valid, F.col(c)))).alias(f"repeats_{c}")]
-    return members.groupBy("split").agg(*aggs)
+    out = members.groupBy("split").agg(*aggs)
+    if not error or not index:
+        return out
+    first = members.where(~valid).withColumn("rn", F.row_number().over(W.partitionBy("split").orderBy(index, error))).where(F.col("rn") <= examples)
+    few = first.groupBy(F.col("split").alias("of")).agg(F.sort_array(F.collect_list(F.struct(F.col(index).alias("record_index"), F.col(error).alias("code")))).alias("examples"))
+    none = F.array().cast(few.schema["examples"].dataType)
+    return out.join(few, F.col("split").eqNullSafe(F.col("of")), "left").drop("of").withColumn("examples", F.coalesce("examples", none))
 
 
 def overlap(members: DataFrame, identity: str, examples: int = 20) -> DataFrame:

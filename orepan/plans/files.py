@@ -150,3 +150,13 @@ def published_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = sinks.publish_index(objects(spark, sf_dir), name, buckets=8).first()
     spark.sql(f"DROP TABLE {name}")
     return spark.createDataFrame([(facts.objects, facts.conformers, facts.triangles)], "objects long, conformers long, triangles long")
+
+
+@query("SELECT 's' || s_suppkey AS run_id, 'c' || s_nationkey AS case_id, CASE WHEN s_acctbal > 0 THEN 'DOCKED' ELSE 'FAILED' END AS state, 'INDEXED' AS last_completed_stage FROM supplier WHERE s_suppkey % 7 <> 0 AND s_suppkey % 5 <> 0")
+def run_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One manifest file a supplier; broken ones and those without a state are left out."""
+    key = F.col("s_suppkey")
+    doc = F.to_json(F.struct(F.concat(F.lit("s"), key.cast("string")).alias("run_id"), F.concat(F.lit("c"), F.col("s_nationkey").cast("string")).alias("case_id"), F.when(key % 5 != 0, F.when(F.col("s_acctbal") > 0, "DOCKED").otherwise("FAILED")).alias("state"), F.lit("INDEXED").alias("last_completed_stage")), {"pretty": "true"})
+    path = _folder(spark, "runs")
+    table(spark, sf_dir, "supplier").select(F.when(key % 7 == 0, F.left(doc, F.lit(20))).otherwise(doc).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return readers.read_runs(spark, path, "run_id string, case_id string, state string, last_completed_stage string", name="*.txt")

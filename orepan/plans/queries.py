@@ -273,9 +273,16 @@ def split_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("a", "b", "common", r6(F.col("share")).alias("share"))
 
 
-@query(f"WITH {MEMBERS_SQL} SELECT split, count(*) AS records, count(DISTINCT identity) AS unique_identity, count(identity) - count(DISTINCT identity) AS repeats_identity, count(DISTINCT letters) AS unique_letters, count(letters) - count(DISTINCT letters) AS repeats_letters FROM m GROUP BY 1")
+@query(f"""WITH {MEMBERS_SQL}, e AS (SELECT m.*, CASE WHEN length(text) < 120 THEN 'SHORT' WHEN d.lang = 'fr' AND d.doc_id % 11 = 0 THEN 'LANGUAGE' END AS error FROM m JOIN documents d USING (doc_id)), v AS (SELECT * FROM e WHERE error IS NULL),
+x AS (SELECT split, string_agg(doc_id || ':' || error, ',' ORDER BY doc_id) AS examples FROM (SELECT * FROM e WHERE error IS NOT NULL QUALIFY row_number() OVER (PARTITION BY split ORDER BY doc_id) <= 20) GROUP BY 1)
+SELECT e.split, count(*) AS records, count(*) FILTER (error IS NULL) AS parsed, count(error) AS invalid, count(DISTINCT identity) FILTER (error IS NULL) AS unique_identity, count(identity) FILTER (error IS NULL) - count(DISTINCT identity) FILTER (error IS NULL) AS repeats_identity,
+  count(DISTINCT letters) FILTER (error IS NULL) AS unique_letters, count(letters) FILTER (error IS NULL) - count(DISTINCT letters) FILTER (error IS NULL) AS repeats_letters, coalesce(any_value(examples), '') AS examples FROM e LEFT JOIN x ON x.split = e.split GROUP BY 1""")
 def split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.split_summary(_members(spark, sf_dir), ["identity", "letters"]).drop("invalid")
+    """Counts of each split, with its first invalid records."""
+    short = F.when(F.length("text") < 120, "SHORT").when((F.col("lang") == "fr") & (F.col("doc_id") % 11 == 0), "LANGUAGE")
+    errors = table(spark, sf_dir, "documents").select("doc_id", short.alias("error"))
+    s = audit.split_summary(_members(spark, sf_dir).join(errors, "doc_id"), ["identity", "letters"], "error", index="doc_id")
+    return s.withColumn("examples", F.array_join(F.transform("examples", lambda x: F.concat_ws(":", x["record_index"].cast("string"), x["code"])), ","))
 
 
 NAMES_SQL = "n AS (SELECT DISTINCT p_name AS s, list_sort(list_distinct(string_split(p_name, ' '))) AS t FROM part)"

@@ -157,6 +157,7 @@ def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return rows, broken
 
 
-def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Run manifests below a folder; files that are no valid JSON are left out."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").option("pathGlobFilter", "manifest.json").option("recursiveFileLookup", True).json(path)
+def read_runs(spark: SparkSession, path: str, schema: str, *, required: tuple[str, ...] = ("run_id", "case_id", "state", "last_completed_stage"), name: str = "manifest.json") -> DataFrame:
+    """Run manifests (files called ``name``, a pattern) below a folder; files that are no valid JSON, or lack a required field, are left out."""
+    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").option("pathGlobFilter", name).option("recursiveFileLookup", True).json(path)
+    return rows.where(F.forall(F.array(*(F.col(c).isNotNull() for c in required)), lambda x: x))

@@ -153,6 +153,14 @@ def test_order_statistics_without_a_group_in_one_task(spark):
     assert all(same(mine[k], native[k]) or abs(mine[k] - native[k]) < 1e-12 for k in mine) and plan.columns == ["k", "n", "m"]
 
 
+def test_split_summary_shows_its_first_invalid_records(spark):
+    rows = [("a", i, f"x{i % 3}", "BAD" if i % 2 else None) for i in range(60)] + [("b", 0, "x0", None), (None, 5, "y", "ODD")]
+    df = spark.createDataFrame(rows, "split string, i int, identity string, error string")
+    got = {r.split: r for r in audit.split_summary(df, ["identity"], "error", index="i").collect()}
+    assert (got["a"].records, got["a"].parsed, got["a"].invalid, got["a"].unique_identity, got["a"].repeats_identity) == (60, 30, 30, 3, 27)
+    assert [tuple(x) for x in got["a"].examples] == [(i, "BAD") for i in range(1, 40, 2)] and got["b"].examples == [] and [tuple(x) for x in got[None].examples] == [(5, "ODD")]
+
+
 def test_split_overlap_reports_pairs_without_any(spark):
     m = spark.createDataFrame([("train", "e"), ("train", "b"), ("test", "e"), ("test", "e"), ("val", "z"), ("val", None)], "split string, identity string")
     got = {(r.a, r.b): (r.common, r.share, len(r.examples)) for r in audit.overlap(m, "identity").collect()}

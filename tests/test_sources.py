@@ -142,3 +142,12 @@ def test_lines_of_a_large_file_are_numbered_by_its_splits(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_run_manifests(spark, tmp_path):
+    doc = {"run_id": "a", "case_id": "c", "state": "DOCKED", "last_completed_stage": "INDEXED", "more": [1]}
+    for name, text in (("1", json.dumps(doc, indent=1)), ("2", "{broken"), ("3", json.dumps({**doc, "run_id": "b"})), ("4", json.dumps({k: v for k, v in doc.items() if k != "state"})), ("5", "")):
+        write(tmp_path / f"runs/{name}/manifest.json", text)
+    write(tmp_path / "runs/1/other.json", json.dumps({**doc, "run_id": "no"}))
+    got = readers.read_runs(spark, str(tmp_path / "runs"), "run_id string, case_id string, state string, last_completed_stage string")
+    assert sorted(r.run_id for r in got.collect()) == ["a", "b"]
