@@ -22,6 +22,14 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(sum(((F.get(a, F.lit(i)) - F.get(b, F.lit(i))) * (F.get(a, F.lit(i)) - F.get(b, F.lit(i))) for i in (1, 2)), (F.get(a, F.lit(0)) - F.get(b, F.lit(0))) * (F.get(a, F.lit(0)) - F.get(b, F.lit(0)))))
 
 
+def toward(position: tuple[Column, Column, Column], center: tuple[Column, Column, Column], step: float = 2.8) -> tuple[Column, Column, Column]:
+    """The position moved toward the centre by ``step``, or half way if that is nearer; a position at the centre stays."""
+    way = [c - p for p, c in zip(position, center)]
+    norm = F.sqrt(way[0] * way[0] + way[1] * way[1] + way[2] * way[2])
+    far = F.least(F.lit(step), norm * 0.5)
+    return tuple(F.when(norm <= SHORTEST_EDGE, p).otherwise(p + far * w / norm) for p, w in zip(position, way))
+
+
 #: The three pairs of a triangle's points.
 PAIRS = ((0, 1), (0, 2), (1, 2))
 

@@ -71,6 +71,47 @@ def check_complex(atoms: DataFrame, asked: DataFrame, by: str = "structure_id")
     return both.select(by, off.alias("differing"))
 
 
+def predicted_complex(atoms: DataFrame, asked: DataFrame, letters: DataFrame, *, ligand_chain: str = "Z", water: tuple[str, ...] = ("HOH", "WAT", "DOD"), backbone: tuple[str, ...] = ("N", "CA", "C"), by: str = "structure_id") -> DataFrame:
+    """Predicted complexes against what was asked for: ``by, chains, sequences, ligand_residues, elements, reasons``.
+
+    ``asked``: by, sequences (of chains A, B, ... in this order); ``letters``: resname, letter of the standard residues, a fixed
+    table that is broadcast.  Model 1 counts, residues and chains stand in the order of their first atom.
+
+    Reasons: ``coordinates`` (one is not finite), ``backbone`` (a standard residue lacks one of its atoms), ``chains`` or
+    ``sequences`` (not as asked), ``ligand`` (not exactly one residue on the ligand's chain, or one without heavy atoms),
+    ``molecules`` (other residues than water elsewhere), ``missing`` (no atoms at all).  A structure is a few rows a chain.
+    """
+    finite = F.lit(True)
+    for c in "xyz":
+        finite = finite & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+    heavy = F.when(~F.upper("element").isin("H", "D"), F.upper("element"))
+    one = atoms.where("model = 1").groupBy(by, "chain", "resnum", "icode", "resname").agg(F.min("serial").alias("at"), F.collect_set(F.upper(F.trim("atom"))).alias("have"), F.bool_or(~finite).alias("bad"), F.collect_list(heavy).alias("heavy"))
+    one = one.join(F.broadcast(letters.select(F.upper("resname").alias("name_"), "letter")), F.upper("resname") == F.col("name_"), "left")
+    protein = F.col("letter").isNotNull()
+    wet = F.coalesce(F.upper("resname").isin(*water), F.lit(False))
+    ligand = ~protein & ~wet & (F.col("chain") == ligand_chain)
+    lacking = protein & (F.size(F.array_except(F.array(*(F.lit(a) for a in backbone)), "have")) > 0)
+    chain = one.groupBy(by, "chain").agg(
+        F.min(F.when(protein, F.col("at"))).alias("at"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(protein, F.struct("at", "letter")))), lambda r: r["letter"]), "").alias("sequence"),
+        F.bool_or("bad").alias("bad"), F.bool_or(lacking).alias("lacking"), F.count_if(ligand).alias("ligands"),
+        F.flatten(F.collect_list(F.when(ligand, F.col("heavy")))).alias("heavy"), F.bool_or(~protein & ~wet & ~ligand).alias("other"),
+    )
+    proteins = F.sort_array(F.collect_list(F.when(F.col("sequence") != "", F.struct("at", "chain", "sequence"))))
+    whole = chain.groupBy(by).agg(proteins.alias("p"), F.bool_or("bad").alias("bad"), F.bool_or("lacking").alias("lacking"), F.sum("ligands").alias("ligand_residues"), F.sort_array(F.flatten(F.collect_list("heavy"))).alias("heavy"), F.bool_or("other").alias("other"))
+    rows = asked.select(by, F.col("sequences").alias("wanted")).join(whole, by, "left")
+    rows = rows.withColumns({"chains": F.transform("p", lambda x: x["chain"]), "sequences": F.transform("p", lambda x: x["sequence"])})
+    names = F.transform("wanted", lambda _, i: F.char(F.lit(ord("A")) + i))
+    kinds = F.array_distinct("heavy")
+    elements = F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter("heavy", lambda h: h == k))))
+    broken = {
+        "missing": F.col("p").isNull(), "coordinates": F.col("bad"), "backbone": F.col("lacking"), "chains": F.col("chains") != names, "sequences": F.col("sequences") != F.col("wanted"),
+        "ligand": (F.col("ligand_residues") != 1) | (F.size("heavy") == 0), "molecules": F.col("other"),
+    }
+    reasons = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in broken.items())))
+    return rows.select(by, "chains", "sequences", "ligand_residues", elements.alias("elements"), reasons.alias("reasons"))
+
+
 def first_reject(residues: DataFrame, *, most_residues: int = 700, most_ligand_atoms: int = 100, by: str = "structure_id") -> DataFrame:
     """The first rule that a structure breaks, in order; null if it may be used."""
     counts = residues.groupBy(by).agg(

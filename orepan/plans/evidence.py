@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audit, catalog, runs, selection, stats, structures, text
+from ..operators import audit, catalog, geometry, runs, selection, stats, structures, text
 from ..sources import readers
 from .bindings import LINES_SQL, lines, table
 from .queries import MATCH_SQL, RECOVERY_SQL, _recovery, _search, r6
@@ -142,6 +142,27 @@ def complex_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structures.check_complex(a, asked).select("structure_id", F.array_join("differing", ",").alias("differing"))
 
 
+@query(f"""WITH {ATOMS_SQL}, r AS (SELECT s, chain, resnum, resname, min(serial) AS pos, list_distinct(list(atom)) AS have, list(element) FILTER (element <> 'H') AS heavy, CASE resname WHEN 'ALA' THEN 'A' WHEN 'GLY' THEN 'G' END AS letter FROM a GROUP BY 1, 2, 3, 4),
+c AS (SELECT s, chain, min(pos) AS pos, string_agg(letter, '' ORDER BY pos) AS sequence FROM r WHERE letter IS NOT NULL GROUP BY 1, 2), p AS (SELECT s, string_agg(chain, ',' ORDER BY pos) AS chains, string_agg(sequence, ',' ORDER BY pos) AS sequences FROM c GROUP BY 1),
+w AS (SELECT s, bool_or(letter IS NOT NULL AND len(have) < 3) AS lacking, count(*) FILTER (letter IS NULL AND resname <> 'HOH' AND chain = 'R') AS ligands, coalesce(sum(len(heavy)) FILTER (letter IS NULL AND resname <> 'HOH' AND chain = 'R'), 0) AS heavy, bool_or(letter IS NULL AND resname <> 'HOH' AND chain <> 'R') AS other FROM r GROUP BY 1)
+SELECT s AS structure_id, coalesce(chains, '') AS chains, coalesce(sequences, '') AS sequences, ligands AS ligand_residues, array_to_string(list_filter([CASE WHEN lacking THEN 'backbone' END, CASE WHEN coalesce(chains, '') <> 'A' THEN 'chains' END, CASE WHEN coalesce(sequences, '') <> CASE WHEN s % 2 = 0 THEN 'A' ELSE 'G' END THEN 'sequences' END,
+  CASE WHEN ligands <> 1 OR heavy = 0 THEN 'ligand' END, CASE WHEN other THEN 'molecules' END], lambda v: v IS NOT NULL), ',') AS reasons FROM w LEFT JOIN p USING (s)""")
+def predicted_complexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains, sequences and the one ligand of each structure, with what is not as asked."""
+    a = atoms(spark, sf_dir)
+    asked = a.select("structure_id").distinct().withColumn("sequences", F.array(F.when(F.col("structure_id") % 2 == 0, "A").otherwise("G")))
+    letters = spark.createDataFrame([("ALA", "A"), ("GLY", "G")], "resname string, letter string")
+    c = structures.predicted_complex(a, asked, letters, ligand_chain="R")
+    return c.select("structure_id", F.array_join("chains", ",").alias("chains"), F.array_join("sequences", ",").alias("sequences"), "ligand_residues", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(f"WITH {ATOMS_SQL}, n AS (SELECT s, serial, x, y, z, sqrt((25-x)*(25-x)+(5-y)*(5-y)+(4-z)*(4-z)) AS d FROM a) SELECT s AS structure_id, serial, round(CASE WHEN d <= 1e-8 THEN x ELSE x + least(2.8, d * 0.5) * (25 - x) / d END, 6) AS x, round(CASE WHEN d <= 1e-8 THEN y ELSE y + least(2.8, d * 0.5) * (5 - y) / d END, 6) AS y, round(CASE WHEN d <= 1e-8 THEN z ELSE z + least(2.8, d * 0.5) * (4 - z) / d END, 6) AS z FROM n")
+def steps_toward_center(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every atom moved a step toward the site."""
+    moved = geometry.toward(tuple(F.col(c) for c in "xyz"), (F.lit(25.0), F.lit(5.0), F.lit(4.0)))
+    return atoms(spark, sf_dir).select("structure_id", "serial", *(r6(v).alias(c) for v, c in zip(moved, "xyz")))
+
+
 @query(MATCH_SQL + "SELECT o AS object_id, count(*) AS matches, round(min(err), 6) AS min_error FROM best WHERE o % 2 = 0 GROUP BY 1")
 def prefiltered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The search restricted to given candidates."""

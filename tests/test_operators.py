@@ -478,6 +478,31 @@ def test_structure_checks(spark):
     assert structures.element_counts(atoms).first().elements == {"C": 5, "ZN": 1}
 
 
+def test_predicted_complexes(spark):
+    from orepan.operators import structures
+
+    def residue(s, chain, num, name, atoms, start, bad=False):
+        return [(s, 1, chain, num, "", name, a, e, start + i, float("nan") if bad and i == 0 else 1.0, 2.0, 3.0) for i, (a, e) in enumerate(atoms)]
+
+    back = [("N", "N"), ("CA", "C"), ("C", "C")]
+    lig = residue(0, "Z", 1, "LIG", [("C1", "C"), ("C2", "c"), ("O1", "O"), ("H1", "H")], 50)
+    of = lambda s, rows: [(s, *r[1:]) for r in rows]
+    good = residue(0, "A", 2, "GLY", back, 1) + residue(0, "A", 1, "ALA", back, 4) + residue(0, "B", 1, "ALA", back, 10) + residue(0, "B", 9, "HOH", [("O", "O")], 20) + lig
+    cases = {
+        "good": good, "order": residue(0, "B", 1, "ALA", back, 1) + residue(0, "A", 2, "GLY", back, 5) + residue(0, "A", 3, "ALA", back, 8) + lig, "backbone": residue(0, "A", 2, "GLY", back[:2], 1) + good[3:], "none": [r for r in good if r[2] != "Z"],
+        "two": good + residue(0, "Z", 2, "LIG", [("C1", "C")], 60), "bare": [r for r in good if r[2] != "Z"] + residue(0, "Z", 1, "LIG", [("H1", "H")], 60), "other": good + residue(0, "C", 1, "ZN", [("ZN", "ZN")], 70), "nan": residue(0, "A", 2, "GLY", back, 1, True) + good[3:], "empty": [],
+    }
+    df = spark.createDataFrame([r for s, rows in cases.items() for r in of(s, rows)], "structure_id string, model int, chain string, resnum int, icode string, resname string, atom string, element string, serial int, x double, y double, z double")
+    asked = spark.createDataFrame([(s, ["GA", "A"]) for s in cases], "structure_id string, sequences array<string>")
+    letters = spark.createDataFrame([("ALA", "A"), ("GLY", "G")], "resname string, letter string")
+    got = {r.structure_id: r for r in structures.predicted_complex(df, asked, letters).collect()}
+    assert {s: r.reasons for s, r in got.items()} == {"good": [], "order": ["chains", "sequences"], "backbone": ["backbone"], "none": ["ligand"], "two": ["ligand"], "bare": ["ligand"], "other": ["molecules"], "nan": ["coordinates"], "empty": ["missing"]}
+    assert got["good"].sequences == ["GA", "A"] and got["good"].elements == {"C": 2, "O": 1}
+    p = spark.createDataFrame([(0.0, 0.0, 10.0), (0.0, 0.0, 1.0), (0.0, 0.0, 0.0)], "x double, y double, z double")
+    zero = (F.lit(0.0),) * 3
+    assert [round(r.z, 9) for r in p.select(geometry.toward(tuple(F.col(c) for c in "xyz"), zero)[2].alias("z")).collect()] == [7.2, 0.5, 0.0]
+
+
 def test_similarity_audit_agrees_with_brute_force(spark, tmp_path):
     from orepan.plans import registry
 
