@@ -642,7 +642,20 @@ def recorded_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.recorded_differences(a, b, keys, ["q"]).select(*keys, F.array_join("reasons", ",").alias("reasons"))
 
 
-@query(None)
+_WHITE = "' ' || chr(9) || chr(10) || chr(13)"
+
+
+# line by line what is gathered and what goes out; then each passage cut from its front
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+f AS (SELECT doc_id, l, 1 AS i, CAST(NULL AS VARCHAR) AS section, '' AS buf, 0 AS held, CAST(NULL AS VARCHAR) AS out_section, CAST(NULL AS VARCHAR) AS out_text FROM d
+  UNION ALL SELECT doc_id, l, i + 1, CASE WHEN head <> '' THEN head ELSE section END, CASE WHEN goes THEN '' ELSE now END, CASE WHEN goes THEN 0 ELSE size END, section, CASE WHEN goes THEN now END
+  FROM (SELECT *, head <> '' OR size >= 1800 OR i > len(l) AS goes FROM (SELECT *, CASE WHEN head <> '' OR i > len(l) THEN buf WHEN held = 0 THEN l[i] ELSE buf || chr(10) || l[i] END AS now, CASE WHEN head <> '' OR i > len(l) THEN held ELSE held + length(l[i]) + 1 END AS size
+    FROM (SELECT *, CASE WHEN i <= len(l) THEN regexp_extract(l[i], '^#{{1,6}}\\s+(.+?)\\s*$', 1) ELSE '' END AS head FROM f WHERE i <= len(l) + 1)))),
+c AS (SELECT doc_id, i, 0 AS n, out_section AS section, trim(out_text, {_WHITE}) AS rest, CAST(NULL AS VARCHAR) AS piece FROM f WHERE out_text IS NOT NULL
+  UNION ALL SELECT doc_id, i, n + 1, section, ltrim(substr(rest, cut_at + 1), {_WHITE}), substr(rest, 1, cut_at)
+  FROM (SELECT *, CASE WHEN length(rest) <= 1800 THEN length(rest) WHEN strpos(substr(rest, 902, 899), chr(10)) = 0 THEN 1800 ELSE 1800 - strpos(reverse(substr(rest, 902, 899)), chr(10)) END AS cut_at FROM c WHERE rest <> '')),
+p AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, n) - 1 AS INTEGER) AS chunk_no FROM c WHERE piece IS NOT NULL)
+SELECT doc_id, chunk_no, section, trim(piece, {_WHITE}) AS text, substr(sha256(coalesce(section, '') || chr(0) || chunk_no || chr(0) || piece), 1, 20) AS chunk_id FROM p""")
 def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cut into chunks by sections and line ends; the packing is sequential in each document."""
     return text.chunk_sections(table(spark, sf_dir, "documents"))
