@@ -40,14 +40,38 @@ def _large(x: np.ndarray) -> bool:
     return x.max(initial=0) >= LARGE or x.min(initial=0) <= -LARGE
 
 
+def _names(cells: np.ndarray) -> np.ndarray:
+    """One name a cell: up to four small coordinates in a 64-bit number, else the bytes of all."""
+    width = cells.shape[1]
+    if width <= 4 and cells.max(initial=0) < 1 << 15 and cells.min(initial=0) >= -(1 << 15):
+        name = np.zeros(len(cells), dtype=np.int64)
+        for i in range(width):
+            name = (name << 16) | (cells[:, i] & 0xFFFF)
+        return name
+    return cells.view(np.dtype((np.void, cells.dtype.itemsize * width))).ravel()
+
+
+def _larger(batches, rows: int = 16_384):
+    """Record batches put together to about ``rows``: the more parts at once, the fewer cells a part."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 class Grid:
     """The entries of one part position, and the cells met so far."""
 
     def __init__(self, book: np.ndarray):
         self.book, self.wide = book, book.dtype == object
         spread = int(np.median(np.abs(book - book[:1]))) if book.size else 0
-        self.shift = max(0, spread.bit_length() - 2)  # a cell is about a quarter to a half of the spread wide
-        self.known: dict[bytes, np.ndarray] = {}
+        self.shift = max(0, spread.bit_length() - 1)  # a cell is about a half of the spread wide, or all of it
+        self.known: dict[int | bytes, np.ndarray] = {}
 
     def possible(self, cells: np.ndarray) -> list[np.ndarray]:
         """For each cell the entries that are not dominated in its box, ascending."""
@@ -63,9 +87,8 @@ class Grid:
         if self.wide or not parts.shape[1] or _large(parts):
             return self._all(parts.astype(object))
         cells = np.ascontiguousarray(parts >> self.shift)
-        key = cells.view(np.dtype((np.void, cells.dtype.itemsize * cells.shape[1]))).ravel()
-        _, first, cell = np.unique(key, return_index=True, return_inverse=True)
-        names = [cells[i].tobytes() for i in first]
+        name, first, cell = np.unique(_names(cells), return_index=True, return_inverse=True)
+        names = [bytes(x) for x in name] if name.dtype.kind == "V" else name.tolist()
         if len(self.known) + len(names) > CELLS:
             self.known.clear()
         new = [i for i, name in enumerate(names) if name not in self.known]
@@ -169,7 +192,7 @@ def _sums(rows: DataFrame, books: Codebooks) -> dict[int, tuple[list[int], list[
         width = len(books.books[0][0])
         counts, totals = np.zeros((n_parts, k), dtype=np.int64), np.zeros((n_parts, k, width), dtype=object)
         seen = False
-        for batch in batches:
+        for batch in _larger(batches):
             seen = seen or batch.num_rows > 0
             for p, (part, index, _) in enumerate(zip(*_assigned(grids, batch.column(0)))):
                 counts[p] += np.bincount(index, minlength=k)
@@ -215,7 +238,7 @@ def coded(rows: DataFrame, books: Codebooks) -> DataFrame:
 
     def run(batches):
         grids = books.grids()
-        for batch in batches:
+        for batch in _larger(batches):
             _, index, far = _assigned(grids, batch.column(2))
             codes = np.stack(index, axis=1).astype(np.uint8)
             error = np.sum([f.astype(object) for f in far], axis=0) if any(f.dtype == object for f in far) else np.sum(far, axis=0)
