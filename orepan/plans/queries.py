@@ -661,10 +661,17 @@ def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.chunk_sections(table(spark, sf_dir, "documents"))
 
 
-@query(None)
+# point by point: the first cluster in reach takes it and moves, or it begins one
+@query(f"""WITH RECURSIVE {LINES_SQL}, p AS (SELECT l_orderkey AS s, list({{'t': l_linestatus, 'x': l_quantity, 'y': l_discount * 100, 'z': l_tax * 100}} ORDER BY l_linestatus, l_quantity, l_discount * 100, l_tax * 100) AS p FROM lines GROUP BY 1),
+r AS (SELECT s, p, 1 AS i, CAST([] AS STRUCT(t VARCHAR, x DOUBLE, y DOUBLE, z DOUBLE, n BIGINT)[]) AS c FROM p
+  UNION ALL SELECT s, p, i + 1, CASE WHEN hit = 0 THEN list_append(c, {{'t': q.t, 'x': q.x, 'y': q.y, 'z': q.z, 'n': CAST(1 AS BIGINT)}})
+    ELSE list_transform(c, lambda v, k: CASE WHEN k = hit THEN {{'t': v.t, 'x': (v.x * v.n + q.x) / (v.n + 1), 'y': (v.y * v.n + q.y) / (v.n + 1), 'z': (v.z * v.n + q.z) / (v.n + 1), 'n': v.n + 1}} ELSE v END) END
+  FROM (SELECT *, coalesce(list_position(list_transform(c, lambda v: v.t = q.t AND sqrt((v.x - q.x) * (v.x - q.x) + (v.y - q.y) * (v.y - q.y) + (v.z - q.z) * (v.z - q.z)) <= 5), true), 0) AS hit FROM (SELECT *, p[i] AS q FROM r WHERE i <= len(p))))
+SELECT s AS structure_id, c.t AS type, round(c.x, 6) AS x, round(c.y, 6) AS y, round(c.z, 6) AS z, c.n AS members FROM (SELECT s, unnest(c) AS c FROM r WHERE i = len(p) + 1)""")
 def point_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy clusters of same-type points per structure."""
-    return geometry.cluster_points(_atoms(spark, sf_dir).select("structure_id", "type", "x", "y", "z"), 5.0)
+    c = geometry.cluster_points(_atoms(spark, sf_dir).select("structure_id", "type", "x", "y", "z"), 5.0)
+    return c.select("structure_id", "type", *(r6(F.col(x)).alias(x) for x in "xyz"), "members")
 
 
 @query(None)
