@@ -128,21 +128,22 @@ def term_search(docs: DataFrame, queries: DataFrame, *, k: int = 10, first: int
     these are looked up; common words are no keys for documents that cannot be among the k.  Of every document that is
     found the shared terms are counted in full.
     """
-    held = docs.select("id", F.explode("tokens").alias("t"))
     asked = queries.select("query_id", F.explode("tokens").alias("t"))
-    frequency = held.join(asked.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.count("*").alias("f"))
-    # terms that no document holds cannot be shared
-    order = asked.join(frequency, "t").groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("f", "t"))), lambda x: x["t"]).alias("terms"))
-    q = checkpointed(queries.select("query_id", "tokens").join(order, "query_id"))
+    postings = docs.select("id", F.explode("tokens").alias("t")).join(asked.select("t").distinct(), "t", "left_semi")
+    # numbers of the terms in order of rarity; terms that no document holds cannot be shared
+    numbered = checkpointed(postings.groupBy("t").agg(F.count("*").alias("f")).orderBy("f", "t").select("t", F.monotonically_increasing_id().alias("w")))
+    held = checkpointed(postings.join(numbered, "t").select("id", "w"))
+    order = asked.join(numbered, "t").groupBy("query_id").agg(F.sort_array(F.collect_list("w")).alias("terms"))
+    q = checkpointed(queries.select("query_id", F.size("tokens").alias("n")).join(order, "query_id"))
+    own = held.groupBy("id").agg(F.collect_list("w").alias("own"))
 
     def found(taken: DataFrame, most: Column) -> DataFrame:
-        keys = taken.select("query_id", F.explode(F.slice("terms", F.lit(1), most.cast("int"))).alias("t"))
-        return held.join(keys, "t").groupBy("query_id", "id").agg(F.count("*").alias("some"))
+        keys = taken.select("query_id", F.explode(F.slice("terms", F.lit(1), most.cast("int"))).alias("w"))
+        return held.join(keys, "w").groupBy("query_id", "id").agg(F.count("*").alias("some"))
 
     def counted(pairs: DataFrame) -> DataFrame:
-        texts = docs.select("id", F.col("tokens").alias("own"))
-        met = pairs.select("query_id", "id").join(q.select("query_id", "tokens"), "query_id").join(texts, "id")
-        return met.select("query_id", "id", F.size(F.array_intersect("own", "tokens")).alias("common"), F.size("tokens").alias("n"))
+        met = pairs.select("query_id", "id").join(q, "query_id").join(own, "id")
+        return met.select("query_id", "id", F.size(F.array_intersect("own", "terms")).alias("common"), "n")
 
     def best(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
         return rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= most)
