@@ -21,6 +21,7 @@ LIGAND_MEDIA = ("chemical/x-mdl-sdfile", "chemical/x-sdf", "chemical/x-mdl-molfi
 CANDIDATE = "candidate_id string, molecule_id string, microstate_id string, smiles string, receptor string, box_center array<double>, box_size array<double>, score double, score_semantics string, pose string, evidence string, heavy_element_counts map<string,int>"
 
 _LEGACY = "struct<molecule_id:string,microstate_id:string,score:double,score_semantics:string,pose:string,evidence:string,box_center:array<double>,box_size:array<double>>"
+_BUNDLE = "struct<" + ",".join(f"{k}:variant" for k in ("candidate_id", "molecule_id", "microstate_id", "canonical_isomeric_smiles", "receptor", "box_center", "box_size")) + ">"
 _STATE = "struct<molecule_id:string,microstate_id:string,canonical_isomeric_smiles:string,heavy_element_counts:map<string,int>>"
 
 
@@ -28,21 +29,27 @@ def _get(v: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(v, path, kind)
 
 
-def _is(v: Column, path: str, kind: str) -> Column:
-    """Whether the value at the path is there and of this kind (a pattern on its schema)."""
-    return F.coalesce(F.rlike(F.schema_of_variant(_get(v, path, "variant")), F.lit(f"^(?:{kind})$")), F.lit(False))
+def _is(v: Column, kind: str) -> Column:
+    """Whether a value is there and of this kind (a pattern on its schema)."""
+    return F.coalesce(F.rlike(F.schema_of_variant(v), F.lit(f"^(?:{kind})$")), F.lit(False))
 
 
-def _filled(v: Column, path: str) -> Column:
+def _filled(v: Column) -> Column:
     """A string that is not blank, else null."""
-    return F.when(_is(v, path, "STRING"), F.when(F.trim(_get(v, path, "string")) != "", _get(v, path, "string")))
+    return F.when(_is(v, "STRING"), _nonblank(_get(v, "$", "string")))
 
 
-def _vector(v: Column, path: str, positive: bool = False) -> Column:
-    """Exactly three finite numbers (above 0), else null; booleans and numbers in quotes do not count."""
-    items = _get(v, path, "array<variant>")
-    number = lambda x: F.rlike(F.schema_of_variant(x), F.lit("^(?:BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"))
-    value = F.transform(items, lambda x: F.when(number(x), F.try_variant_get(x, "$", "double")))
+def _nonblank(text: Column) -> Column:
+    return F.when(F.trim(text) != "", text)
+
+
+def _numbers(v: Column) -> Column:
+    """The values of an array, null for those that are no numbers; booleans and numbers in quotes do not count."""
+    return F.transform(_get(v, "$", "array<variant>"), lambda x: F.when(_is(x, "BIGINT|DOUBLE|FLOAT|DECIMAL.*"), _get(x, "$", "double")))
+
+
+def _vector(value: Column, positive: bool = False) -> Column:
+    """Exactly three finite numbers (above 0), else null."""
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")) & ((x > 0) if positive else F.lit(True))
     return F.when((F.size(value) == 3) & F.forall(value, fine), value)
 
@@ -76,42 +83,52 @@ def read_documents(docs: DataFrame, *, legacy_kind: str = "cofold-input-batch",
     schema, kind = _get(v, "$.schema_version", "string"), _get(v, "$.kind", "string")
     version = F.when((schema == "1.0") & (kind == legacy_kind), "legacy").when(schema.isin("1.0", "2.0") & (kind == bundle_kind), "bundle")
 
-    raw = F.coalesce(_get(v, "$.candidates", "variant"), _get(v, "$.selected_candidates", "variant"))
-    given = F.when(F.rlike(F.schema_of_variant(raw), F.lit("^ARRAY")), F.try_variant_get(raw, "$", "array<variant>"))
-
-    def of_bundle(c: Column) -> Column:
-        own = _get(c, "$.receptor", "string")
-        whole = {"candidate_id": _filled(c, "$.candidate_id"), "molecule_id": _filled(c, "$.molecule_id"), "microstate_id": _filled(c, "$.microstate_id")}
-        smiles, center, size = _filled(c, "$.canonical_isomeric_smiles"), _vector(c, "$.box_center"), _vector(c, "$.box_size", positive=True)
-        absent = _get(c, "$.receptor", "variant").isNull() | F.is_variant_null(_get(c, "$.receptor", "variant"))
-        rules = {"object": F.rlike(F.schema_of_variant(c), F.lit("^OBJECT")), **{k: x.isNotNull() for k, x in whole.items()}, "smiles": smiles.isNotNull(), "box_center": center.isNotNull(), "box_size": size.isNotNull(), "receptor": absent | (own == F.col("receptor"))}
-        return _candidate(_reasons(rules), *whole.values(), smiles, F.col("receptor"), center, size)
-
-    evaluated = F.array_sort(
-        F.transform(_get(v, "$.quick_vina.evaluated", f"array<{_LEGACY}>"), lambda e: F.struct(e["score"].alias("score"), e["molecule_id"].alias("molecule_id"), e["microstate_id"].alias("microstate_id"), e.alias("e"))),
-        lambda a, b: F.when(a["score"].eqNullSafe(b["score"]) & (a["molecule_id"] == b["molecule_id"]) & (a["microstate_id"] == b["microstate_id"]), 0)
-        .when(F.struct(a["score"].isNull(), a["score"], a["molecule_id"], a["microstate_id"]) < F.struct(b["score"].isNull(), b["score"], b["molecule_id"], b["microstate_id"]), -1)
-        .otherwise(1),
-    )
-    states = _get(v, "$.microstates", f"array<{_STATE}>")
-    retained = _get(v, "$.quick_vina.retained_molecule_ids", "array<string>")
-
-    def of_legacy(m: Column) -> Column:
-        best = F.get(F.filter(F.col("evaluated"), lambda e: e["molecule_id"] == m), F.lit(0))["e"]
+    # what is no array, or no object, has no such reading: null
+    given = _get(F.coalesce(_get(v, "$.candidates", "variant"), _get(v, "$.selected_candidates", "variant")), "$", "array<variant>")
+
+    # each step names what the next one uses more than once: a lambda's expressions are not shared
+    def of_bundle(given: Column) -> Column:
+        read = F.transform(given, lambda c: _get(c, "$", _BUNDLE))
+        texts = ("candidate_id", "molecule_id", "microstate_id", "canonical_isomeric_smiles")
+        cut = F.transform(read, lambda c: F.struct(c.isNotNull().alias("object"), *(_filled(c[k]).alias(k) for k in texts), c["receptor"].alias("receptor"), _numbers(c["box_center"]).alias("box_center"), _numbers(c["box_size"]).alias("box_size")))
+        whole = F.transform(cut, lambda c: F.struct(*(c[k].alias(k) for k in ("object", *texts, "receptor")), _vector(c["box_center"]).alias("box_center"), _vector(c["box_size"], positive=True).alias("box_size")))
+
+        def candidate(c: Column) -> Column:
+            absent = c["receptor"].isNull() | F.is_variant_null(c["receptor"])
+            rules = {"object": c["object"], **{k: c[k].isNotNull() for k in texts[:3]}, "smiles": c[texts[3]].isNotNull(), "box_center": c["box_center"].isNotNull(), "box_size": c["box_size"].isNotNull(), "receptor": absent | (_get(c["receptor"], "$", "string") == F.col("receptor"))}
+            return _candidate(_reasons(rules), *(c[k] for k in texts), F.col("receptor"), c["box_center"], c["box_size"])
+
+        return F.transform(whole, candidate)
+
+    # by score (nulls last), then state; repeated evaluations in the order of the batch
+    order = lambda e, i: F.struct(e["score"].isNull().alias("none"), e["score"].alias("score"), e["molecule_id"].alias("molecule_id"), e["microstate_id"].alias("microstate_id"), i.alias("i"), e.alias("e"))
+    legacy = version == "legacy"
+    evaluated = F.when(legacy, F.sort_array(F.transform(_get(v, "$.quick_vina.evaluated", f"array<{_LEGACY}>"), order)))
+    states = F.when(legacy, _get(v, "$.microstates", f"array<{_STATE}>"))
+    retained = F.when(legacy, _get(v, "$.quick_vina.retained_molecule_ids", "array<string>"))
+
+    def of_legacy(retained: Column) -> Column:
+        scored = F.transform(retained, lambda m: F.struct(m.alias("m"), F.get(F.filter(F.col("evaluated"), lambda e: e["molecule_id"] == m), F.lit(0))["e"].alias("best")))
         # of repeated states the last one counts
-        state = F.try_element_at(F.filter(F.col("states"), lambda s: (s["molecule_id"] == m) & (s["microstate_id"] == best["microstate_id"])), F.lit(-1))
-        smiles = F.when(F.trim(state["canonical_isomeric_smiles"]) != "", state["canonical_isomeric_smiles"])
-        center = F.when(F.size(best["box_center"]) == 3, best["box_center"])
-        size = F.when((F.size(best["box_size"]) == 3) & F.forall(best["box_size"], lambda x: x > 0), best["box_size"])
-        rules = {"evaluation": best["score"].isNotNull(), "microstate": state.isNotNull(), "smiles": smiles.isNotNull(), "box_center": center.isNotNull(), "box_size": size.isNotNull()}
-        return _candidate(_reasons(rules), selected_id(m, best["microstate_id"]), m, best["microstate_id"], smiles, F.col("receptor"), center, size, best["score"], best["score_semantics"], best["pose"], best["evidence"], state["heavy_element_counts"])
+        state = lambda c: F.try_element_at(F.filter(F.col("states"), lambda s: (s["molecule_id"] == c["m"]) & (s["microstate_id"] == c["best"]["microstate_id"])), F.lit(-1))
+        stated = F.transform(scored, lambda c: F.struct(c["m"].alias("m"), c["best"].alias("best"), state(c).alias("state")))
+
+        def candidate(c: Column) -> Column:
+            best, state = c["best"], c["state"]
+            smiles = _nonblank(state["canonical_isomeric_smiles"])
+            center = F.when(F.size(best["box_center"]) == 3, best["box_center"])
+            size = F.when((F.size(best["box_size"]) == 3) & F.forall(best["box_size"], lambda x: x > 0), best["box_size"])
+            rules = {"evaluation": best["score"].isNotNull(), "microstate": state.isNotNull(), "smiles": smiles.isNotNull(), "box_center": center.isNotNull(), "box_size": size.isNotNull()}
+            return _candidate(_reasons(rules), selected_id(c["m"], best["microstate_id"]), c["m"], best["microstate_id"], smiles, F.col("receptor"), center, size, best["score"], best["score_semantics"], best["pose"], best["evidence"], state["heavy_element_counts"])
+
+        return F.transform(stated, candidate)
 
     rows = _once(rows.select("doc_id", "screen", "library", "receptor", "v", version.alias("version"), given.alias("given"), evaluated.alias("evaluated"), states.alias("states"), retained.alias("retained")))
     count = F.coalesce(F.when(F.col("version") == "legacy", F.size("retained")).otherwise(F.size("given")), F.lit(-1))
     rows = rows.withColumn("counted", count.between(LEAST, MOST))
-    # a document that fails the count is not opened: its length has no bound
     none = F.array().cast(f"array<{_STRUCT}>")
-    found = F.when(~F.col("counted"), none).when(F.col("version") == "legacy", F.transform("retained", of_legacy)).when(F.col("version") == "bundle", F.transform("given", of_bundle)).otherwise(none)
+    # a document that fails the count is not opened: its length has no bound
+    found = F.when(~F.col("counted"), none).when(F.col("version") == "legacy", of_legacy(F.col("retained"))).when(F.col("version") == "bundle", of_bundle(F.col("given"))).otherwise(none)
     rows = _once(rows.select("doc_id", "screen", "library", "receptor", "v", "version", "counted", found.alias("candidates")))
     ids = F.transform("candidates", lambda c: c["candidate_id"])
     pairs = F.transform("candidates", lambda c: F.struct(c["molecule_id"], c["microstate_id"]))
