@@ -127,12 +127,12 @@ def read_documents(docs: DataFrame, *, legacy_kind: str = "cofold-input-batch",
     count = F.coalesce(F.when(F.col("version") == "legacy", F.size("retained")).otherwise(F.size("given")), F.lit(-1))
     rows = rows.withColumn("counted", count.between(LEAST, MOST))
     none = F.array().cast(f"array<{_STRUCT}>")
-    # a document that fails the count is not opened: its length has no bound
-    found = F.when(~F.col("counted"), none).when(F.col("version") == "legacy", of_legacy(F.col("retained"))).when(F.col("version") == "bundle", of_bundle(F.col("given"))).otherwise(none)
+    # a document that fails the count is opened too, as its candidates' broken rules are rows as well; ids are compared in short ones only
+    found = F.coalesce(F.when(F.col("version") == "legacy", of_legacy(F.col("retained"))).when(F.col("version") == "bundle", of_bundle(F.col("given"))), none)
     rows = _once(rows.select("doc_id", "screen", "library", "receptor", "v", "version", "counted", found.alias("candidates")))
     ids = F.transform("candidates", lambda c: c["candidate_id"])
     pairs = F.transform("candidates", lambda c: F.struct(c["molecule_id"], c["microstate_id"]))
-    unique = (F.size(F.array_distinct(ids)) == F.size(ids)) & (F.size(F.array_distinct(pairs)) == F.size(pairs))
+    unique = ~F.col("counted") | ((F.size(F.array_distinct(ids)) == F.size(ids)) & (F.size(F.array_distinct(pairs)) == F.size(pairs)))
     named = lambda path, column: _get(v, path, "string") == F.col(column)
     legacy_or = lambda holds: (F.col("version") == "legacy") | holds
     rules = {"count": F.col("counted"), "identities": unique, "screening_artifact": legacy_or(named("$.screening_artifact", "screen")), "library_index": legacy_or(named("$.library_index", "library")), "receptor": named("$.receptor", "receptor")}

@@ -146,3 +146,19 @@ def test_validation_batches_and_their_guard(spark, tmp_path):
     assert not (tmp_path / "bad").exists()
     none = selections.validation_batches(b.limit(0), spark.createDataFrame(d, docked), refs)
     assert none.count() == 0
+
+
+def test_long_documents_name_their_candidates_too(spark):
+    """A document above the count still has a row for each broken rule of its candidates, in both versions."""
+    of = lambda i: {"candidate_id": f"c{i % 2}", "molecule_id": "m", "microstate_id": "s", "canonical_isomeric_smiles": "" if i == 18 else "C", "box_center": [1, 2, 3], "box_size": [0 if i == 17 else 4, 4, 4]}
+    head = {"schema_version": "1.0", "kind": "selection-bundle", "screening_artifact": "scr", "library_index": "lib", "receptor": "rec"}
+    bundle = head | {"selected_candidates": [of(i) for i in range(1, 19)]}
+    box = {"box_center": [1.0, 2.0, 3.0], "box_size": [4.0, 4.0, 4.0]}
+    scores = [{"molecule_id": f"m{i}", "microstate_id": "s", "score": 1.0, "score_semantics": "lower", "pose": "p", "evidence": "e", **box} for i in range(1, 18)]
+    states = [{"molecule_id": f"m{i}", "microstate_id": "s", "canonical_isomeric_smiles": "" if i == 2 else "C"} for i in range(1, 18)]
+    legacy = {"schema_version": "1.0", "kind": "cofold-input-batch", "receptor": "rec", "quick_vina": {"evaluated": scores, "retained_molecule_ids": [f"m{i}" for i in range(1, 18)]}, "microstates": states}
+    docs = spark.createDataFrame([(1, json.dumps(bundle), "scr", "lib", "rec"), (2, json.dumps(legacy), "scr", "lib", "rec"), (3, json.dumps(head), "scr", "lib", "rec")], "doc_id long, document string, screen string, library string, receptor string")
+    read = selections.read_documents(docs)
+    got = {tuple(r) for r in selections.violations(read).collect()}
+    assert got == {(1, None, "count"), (1, 17, "box_size"), (1, 18, "smiles"), (2, None, "count"), (2, 2, "smiles"), (3, None, "count")}
+    assert selections.candidates(read).isEmpty()
