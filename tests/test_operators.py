@@ -532,3 +532,19 @@ def test_lineage_does_not_end_early_in_silence(spark):
     assert catalog.lineage(edges, roots, 4).count() == 5
     with pytest.raises(RuntimeError):
         catalog.lineage(edges, roots, 3)
+
+
+def test_similarity_at_the_threshold_and_shingles_made_once(spark):
+    """A subset at exactly the threshold is a pair; exploding shingles does not make a text's words anew for each."""
+    from orepan.plans import queries
+
+    a = spark.createDataFrame([(1, list(range(55)))], "id int, tokens array<int>")
+    b = spark.createDataFrame([(2, list(range(100))), (3, list(range(101)))], "id int, tokens array<int>")
+    got = audit.token_similarity(a, b, 0.55).collect()
+    assert [(r.left_id, r.right_id, r.common) for r in got] == [(1, 2, 55)]
+
+    docs = spark.createDataFrame([(1, "a b  c d e f"), (2, "a b c d"), (3, None)], "doc_id long, text string")
+    flat = queries._shingle_sets(docs, "doc_id").select("id", F.explode("tokens").alias("t"))
+    assert flat._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    want = spark.createDataFrame([("a b c d e",), ("b c d e f",)], "s string").select(F.xxhash64("s").alias("t"))
+    assert sorted((r.id, r.t) for r in flat.collect()) == sorted((1, r.t) for r in want.collect())
