@@ -548,3 +548,23 @@ def test_similarity_at_the_threshold_and_shingles_made_once(spark):
     assert flat._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
     want = spark.createDataFrame([("a b c d e",), ("b c d e f",)], "s string").select(F.xxhash64("s").alias("t"))
     assert sorted((r.id, r.t) for r in flat.collect()) == sorted((1, r.t) for r in want.collect())
+
+
+def test_edit_similarity_keys_are_short(spark):
+    """What the join of pieces shuffles are numbers, no texts or digests."""
+    df = spark.createDataFrame([("a" * 30 + "b" * 30,), ("a" * 29 + "c" + "b" * 30,)], "seq string")
+    e = audit.edit_similarity(df, df, 0.9)
+    plan = e._jdf.queryExecution().optimizedPlan().toString()
+    assert "unhex" not in plan and "sha2" not in plan
+    assert len({(r.x, r.y) for r in e.collect()}) == 4
+
+
+def test_candidates_are_joined_to_matches(spark):
+    """The restriction to candidates meets the matches, never the index."""
+    features = [("A", [0.0, 0.0, 0.0]), ("B", [3.0, 0.0, 0.0]), ("C", [0.0, 4.0, 0.0])]
+    objects = spark.createDataFrame([(i, 0, features) for i in range(4)], "object_id long, conformer_id int, features array<struct<type string, position array<double>>>")
+    index = geometry.binned(geometry.triangles(objects))
+    found = geometry.match_triangles(index, index.where("object_id = 0"), candidates=spark.createDataFrame([(1,), (3,)], "object_id long"))
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.index("LeftSemi") < plan.index("Inner")
+    assert sorted(r.object_id for r in found.collect()) == [1, 3]
