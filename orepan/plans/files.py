@@ -158,5 +158,7 @@ def run_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("s_suppkey")
     doc = F.to_json(F.struct(F.concat(F.lit("s"), key.cast("string")).alias("run_id"), F.concat(F.lit("c"), F.col("s_nationkey").cast("string")).alias("case_id"), F.when(key % 5 != 0, F.when(F.col("s_acctbal") > 0, "DOCKED").otherwise("FAILED")).alias("state"), F.lit("INDEXED").alias("last_completed_stage")), {"pretty": "true"})
     path = _folder(spark, "runs")
-    table(spark, sf_dir, "supplier").select(F.when(key % 7 == 0, F.left(doc, F.lit(20))).otherwise(doc).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    # a file a row: writing them is the work, so the rows of a small table are dealt to many tasks
+    dealt = table(spark, sf_dir, "supplier").select(F.when(key % 7 == 0, F.left(doc, F.lit(20))).otherwise(doc).alias("value")).repartition(4 * spark.sparkContext.defaultParallelism)
+    dealt.write.option("maxRecordsPerFile", 1).text(path)
     return readers.read_runs(spark, path, "run_id string, case_id string, state string, last_completed_stage string", name="*.txt")
