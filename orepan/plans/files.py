@@ -19,13 +19,14 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{catalog.shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def _as_text(df: DataFrame, line, name: str, *, by: str | None = None) -> str:
-    """Write one line (or block) a row; ``by``: one folder a value."""
+def _as_text(df: DataFrame, line, name: str, *, by: str | None = None, whole: bool = True) -> str:
+    """Write one line (or block) a row; ``by``: one folder a value, of one file if ``whole``, else of a file a task."""
     path = _folder(df.sparkSession, name)
     if by is None:
         df.select(line.alias("value")).write.text(path)
     else:
-        df.select(line.alias("value"), F.col(by).alias("k")).repartition("k").write.partitionBy("k").text(path)
+        rows = df.select(line.alias("value"), F.col(by).alias("k"))
+        (rows.repartition("k") if whole else rows).write.partitionBy("k").text(path)
     return path
 
 
@@ -85,10 +86,10 @@ def fasta_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LINES_SQL} SELECT l_linenumber AS model_records, CAST(l_suppkey % 7 AS INTEGER) AS resnum, l_returnflag AS chain, count(*) AS atoms, round(sum(round(l_quantity, 3)), 3) AS x, round(sum(round(l_extendedprice % 1000, 3)), 3) AS z, count(*) FILTER (l_linestatus = 'O') AS het FROM lines GROUP BY 1, 2, 3")
 def pdb_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as fixed-width records, read back as atoms; a file a line number."""
-    m = lines(spark, sf_dir)
+    """Lines as fixed-width records, read back as atoms; a folder a line number, as few numbers hold all rows."""
+    m = table(spark, sf_dir, "lineitem")
     line = F.format_string("%-6s%5d %-4s%1s%3s %1s%4d%1s   %8.3f%8.3f%8.3f%6.2f%6.2f          %2s", F.when(F.col("l_linestatus") == "O", "HETATM").otherwise("ATOM"), (F.col("l_orderkey") % 99999).cast("int"), F.lit(" CA"), F.lit(""), F.lit("ALA"), F.col("l_returnflag"), (F.col("l_suppkey") % 7).cast("int"), F.lit(""), F.round("l_quantity", 3), F.lit(0.0), F.round(F.col("l_extendedprice") % 1000, 3), F.lit(1.0), F.lit(0.0), F.lit("C"))
-    a = readers.read_atoms(spark, _as_text(m, line, "pdb", by="l_linenumber")).withColumnRenamed("structure_id", "file")
+    a = readers.read_atoms(spark, _as_text(m, line, "pdb", by="l_linenumber", whole=False)).withColumnRenamed("structure_id", "file")
     rows = a.groupBy(_key().alias("model_records"), "resnum", "chain")
     return rows.agg(F.count("*").alias("atoms"), F.round(F.sum("x"), 3).alias("x"), F.round(F.sum("z"), 3).alias("z"), F.count_if("het").alias("het"))
 

@@ -151,3 +151,22 @@ def test_run_manifests(spark, tmp_path):
     write(tmp_path / "runs/1/other.json", json.dumps({**doc, "run_id": "no"}))
     got = readers.read_runs(spark, str(tmp_path / "runs"), "run_id string, case_id string, state string, last_completed_stage string")
     assert sorted(r.run_id for r in got.collect()) == ["a", "b"]
+
+
+def test_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Few keys or a small table do not leave the writing of files to one task."""
+    from pathlib import Path
+
+    from orepan.plans import registry  # before its parts
+    from orepan.plans import files
+
+    df = spark.range(40, numPartitions=4).select(F.col("id").cast("string").alias("line"), F.lit(1).alias("k"))
+    path = files._as_text(df, F.col("line"), "few", by="k", whole=False)
+    assert len(list(Path(path.removeprefix("file:")).glob("k=1/part-*"))) == 4
+
+    spark.range(1, 61, numPartitions=1).selectExpr("id AS s_suppkey", "1 AS s_nationkey", "1.0D AS s_acctbal").write.parquet(str(tmp_path / "supplier.parquet"))
+    seen = []
+    monkeypatch.setattr(readers, "read_runs", lambda spark, path, *a, read=readers.read_runs, **b: (seen.append(path), read(spark, path, *a, **b))[1])
+    assert registry.QUERIES["run_manifests"](spark, str(tmp_path)).count() == sum(k % 7 != 0 and k % 5 != 0 for k in range(1, 61))
+    names = [p.name for p in Path(seen[0].removeprefix("file:")).glob("part-*")]
+    assert len(names) == 60 and len({n.split("-")[1] for n in names}) > 1
