@@ -60,6 +60,21 @@ def test_search_loses_nothing_to_bins(spark):
     assert {r.object_id: r["count"] for r in got} == {o: n for o, n in expected.items() if n}
 
 
+def test_triangles_are_compiled_and_keep_points_with_missing_parts(spark):
+    odd = [("Donor", [0.0, 0.0, 0.0]), (None, [3.0, 0.0, 0.0]), ("Aromatic", [0.0, 4.0]), ("Hydrophobe", None), ("Donor", [0.0, 0.0, 5.0])]
+    tri = geometry.binned(geometry.triangles(library(spark, [("o", 0, odd), ("two", 0, odd[:2]), ("null", 0, None)])))
+    got = {(r.i, r.j, r.k): r for r in tri.collect()}
+    # a triangle counts as long as one of its edges is known
+    assert set(got) == {(0, 1, 2), (0, 1, 3), (0, 1, 4), (0, 2, 4), (0, 3, 4), (1, 2, 4), (1, 3, 4)}
+    whole, part = got[0, 1, 4], got[0, 1, 2]
+    assert (whole.type_key, whole.kinds, whole.d01, whole.d02, whole.area) == ("Donor|Donor", 2, 3.0, 5.0, 7.5) and [round(e, 9) for e in whole.edges] == [3.0, 5.0, round(34**0.5, 9)]
+    assert (part.d01, part.d02, part.d12, part.area, part.edges[0]) == (3.0, None, None, None, 3.0)
+    # a method of more than 8,000 bytes is never compiled by the JVM
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    sizes = re.findall(r"maxMethodCodeSize:\s*(\d+)", tri.where(F.col("perimeter") > 0)._jdf.queryExecution().explainString(mode))
+    assert sizes and max(map(int, sizes)) < 8000
+
+
 def test_published_index_is_searched_by_its_buckets(spark):
     from orepan.sources import sinks
 
