@@ -96,6 +96,30 @@ def test_published_index_is_searched_by_its_buckets(spark):
     spark.sql("DROP TABLE published_test")
 
 
+def test_published_rows_leave_out_what_follows_from_types_and_distances(spark):
+    from orepan.sources import sinks
+
+    rng = random.Random(5)
+    rows = [(f"o{i}", 0, points(*((rng.choice(["Donor", "Acceptor"]), *(rng.uniform(0, 6) for _ in range(3))) for _ in range(4)))) for i in range(5)]
+    sinks.publish_index(library(spark, rows), "narrow_test", buckets=4).collect()
+    index = spark.table("narrow_test")
+    assert not {"edges", "type_key", "kinds", "perimeter", "b0", "b1", "b2"} & set(index.columns)
+    whole = geometry.binned(geometry.triangles(library(spark, rows)))
+    again = geometry.binned(geometry.completed(index)).select(whole.columns)
+    key = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    assert key(again) == key(whole) and len(key(whole)) == 20
+    spark.sql("DROP TABLE narrow_test")
+
+
+def test_query_object_is_read_once(spark):
+    from orepan.plans import queries
+
+    best, own, _ = queries._matched(spark, "/root/testdata/sf0.001")
+    leaves = own._jdf.queryExecution().optimizedPlan().collectLeaves()
+    assert [leaves.apply(i).getClass().getSimpleName() for i in range(leaves.size())] in (["LocalRelation"], ["LogicalRDD"])
+    assert 0 < own.count() <= geometry.MOST_TRIANGLES and best.where("object_id is not null").count() > 0
+
+
 def test_fusion_breaks_ties_by_id(spark):
     a = spark.createDataFrame([("x", 1, 0.9), ("y", 2, 0.8)], "id string, rank int, score double")
     b = spark.createDataFrame([("y", 1, 0.7), ("x", 2, 0.6)], "id string, rank int, score double")
