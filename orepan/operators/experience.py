@@ -1,6 +1,7 @@
 """Experience records: what a reported run was about, what it chose, and how far the evidence went.
 
-All that is known of runs comes as one table of parts, each row tagged with what it is (``parts`` makes it).  One
+All that is known of runs comes as one table of parts, each row tagged with what it is (``parts`` makes it; ``wide_parts``
+of rows that are several at once).  One
 shuffle by run then gives a nested row for each reported run.  ``refresh`` makes only the rows anew of runs whose
 manifest changed, and equals a rebuild whatever the order of updates.
 """
@@ -44,6 +45,19 @@ def parts(**tables: DataFrame) -> DataFrame:
     return out
 
 
+def wide_parts(rows: DataFrame, **kinds: dict[str, Column] | tuple[Column, dict[str, Column]]) -> DataFrame:
+    """A table as ``parts`` makes it, of rows that are parts of several kinds at once: what all kinds share is read once.
+
+    ``rows`` has ``run_id``.  A kind's columns (as in ``PARTS``) stand alone or after the condition that a row is of it.
+    """
+    made = {}
+    for kind, given in kinds.items():
+        when, columns = given if isinstance(given, tuple) else (None, given)
+        own = F.struct(*(columns[c].cast(t).alias(c) for c, t in (f.split(":") for f in PARTS[kind][7:-1].split(","))))
+        made[kind] = own if when is None else F.when(when, own)
+    return rows.select("run_id", *(made.get(k, F.lit(None)).cast(t).alias(k) for k, t in PARTS.items()))
+
+
 def place_of(grade: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in zip(GRADES, PLACES) for x in pair)), grade), F.lit(UNKNOWN_PLACE))
 
