@@ -112,6 +112,7 @@ def test_published_rows_leave_out_what_follows_from_types_and_distances(spark):
 
 
 def test_query_object_is_read_once(spark):
+    from orepan.plans import registry  # noqa: F401  (loads the queries in their order)
     from orepan.plans import queries
 
     best, own, _ = queries._matched(spark, "/root/testdata/sf0.001")
@@ -575,6 +576,7 @@ def test_lineage_does_not_end_early_in_silence(spark):
 
 def test_similarity_at_the_threshold_and_shingles_made_once(spark):
     """A subset at exactly the threshold is a pair; exploding shingles does not make a text's words anew for each."""
+    from orepan.plans import registry  # noqa: F401  (loads the queries in their order)
     from orepan.plans import queries
 
     a = spark.createDataFrame([(1, list(range(55)))], "id int, tokens array<int>")
