@@ -423,6 +423,15 @@ def test_crop_by_array_and_by_cells(spark):
     assert geometry.crop_residues(df, p.limit(0), 5.0).count() == 0
 
 
+def test_nested_keys_write_nothing_on_the_way(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "checkpointed", lambda df: pytest.fail("a level was written"))
+    docs = [(1, ' {"b": {"k": 1.25}, "a": [[{"k": {"k": -3}}]]}'), (2, '{"k": 1, "k": 2}'), (3, '{"n": ' * 300 + '{"k": 12345678901234567890123}' + "}" * 300), (4, '"k"'), (5, '{"k": "\\ud83d\\ude00"}')]
+    found = catalog.nested_keys(spark.createDataFrame(docs, "n long, doc string"), "doc", "k", by="n")
+    got = sorted((r.id, r.holder[:27], r.pos, r.v) for r in found.select("id", "holder", "pos", F.col("v").cast("string").alias("v")).collect())
+    inner = "00000000/" * 3
+    assert got == [(1, inner, 0, "-3"), (1, inner, 0, '{"k":-3}'), (1, "00000001/", 0, "1.25"), (3, inner, 0, "12345678901234567890123"), (5, "", 0, "\U0001f600")]
+
+
 def test_nested_keys_at_any_depth(spark):
     deep = '{"a": [' * 12 + '{"VINA": {"version": " 1.2 "}, "sample_ranking_score": 0.5}' + "]}" * 12
     docs = {
