@@ -368,6 +368,29 @@ def test_term_search_equals_all_pairs(spark):
     assert got == expected
 
 
+def test_term_search_deals_documents_and_queries(spark):
+    rng = random.Random(8)
+    word = lambda: rng.choice(["x", "ü", "語", "语法"]) + str(int(rng.expovariate(0.08)))
+    docs = [(f"d{i:03}é" if i % 3 else f"d{i:03}e", [word() for _ in range(rng.randint(0, 60))] + rng.choice([[], [None]])) for i in range(120)] + [(None, ["x0"]), ("none", None), ("copy", ["x1", "x2"]), ("copy", ["x2", "x3"])]
+    queries = [(i, list({word() for _ in range(rng.randint(0, 25))})) for i in range(30)] + [(None, ["x0"]), (90, None), (91, ["nowhere"]), (92, ["x1", "x2", "x3", "x0"])]
+    held = {}
+    for i, t in docs:
+        if i is not None:
+            held.setdefault(i, set()).update(t or [])
+    expected = set()
+    for q, t in queries:
+        scored = sorted((-len((held[i] - {None}) & set(t)), i.encode()) for i in held if q is not None and t and (held[i] - {None}) & set(t))
+        expected |= {(q, i.decode(), round(-c / len(t), 9), n + 1) for n, (c, i) in enumerate(scored[:7])}
+    d, q = spark.createDataFrame(docs, "id string, tokens array<string>"), spark.createDataFrame(queries, "query_id long, tokens array<string>")
+    for size in ({}, {"most": 20, "block": 6}, {"most": 1, "block": 40}):
+        rows = text.term_search(d, q, k=7, **size)
+        assert {(r.query_id, r.id, round(r.score, 9), r["rank"]) for r in rows.collect()} == expected
+        # a document is a row, and its words are made, once a block: no row for a word or a shared word
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "explode(tokens" not in plan and "Join" not in plan
+    assert text.term_search(d.where("id is null"), q).count() == text.term_search(d, q.where("query_id is null")).count() == 0
+
+
 def test_chunks(spark):
     d = spark.createDataFrame([(1, "a" * 2500), (2, None), (3, "   "), (4, "# One\n" + "x" * 900 + "\n" + "y" * 1200 + "\n# Two\nz")], "doc_id long, text string")
     assert [(r.doc_id, r.offset, len(r.text)) for r in text.chunk_fixed(d.where("doc_id < 4")).orderBy("offset").collect()] == [(1, 0, 1800), (1, 1800, 700)]
