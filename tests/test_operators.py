@@ -9,7 +9,7 @@ from itertools import permutations
 import pytest
 from pyspark.sql import functions as F
 
-from orepan.operators import audit, catalog, fusion, geometry, quantiles, runs, selection, stats, text
+from orepan.operators import audit, catalog, edits, fusion, geometry, quantiles, runs, selection, stats, text
 
 POINT = "array<struct<type string, position array<double>>>"
 
@@ -663,6 +663,46 @@ def test_edit_similarity_keys_are_short(spark):
     assert len({(r.x, r.y) for r in e.collect()}) == 4
 
 
+def test_edit_similarity_broadcasts_no_rows_of_pieces(spark):
+    """What the driver holds are bands of lengths, however many pieces the sequences have."""
+    rng = random.Random(6)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(600)) for _ in range(40)]
+    a, b = (spark.createDataFrame([(s[:i] + c + s[i:],) for i, s in enumerate(base)], "seq string") for c in "xy")
+    e = audit.edit_similarity(a, b, 0.9)
+    assert sorted((r.x.replace("x", ""), round(r.identity, 9)) for r in e.collect()) == sorted((s, round(1 - 1 / 601, 9)) for s in base)
+
+    def broadcast(plan):
+        inner = plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan.plan() if "QueryStage" in plan.nodeName() else None
+        children = [inner] if inner else [plan.children().apply(i) for i in range(plan.children().size())]
+        own = [plan.metrics().apply("numOutputRows").value()] if plan.nodeName() == "BroadcastExchange" else []
+        return own + [n for c in children for n in broadcast(c)]
+
+    assert max(broadcast(e._jdf.queryExecution().executedPlan()), default=0) < 40
+
+
+def test_close_pairs_and_distances_equal_brute_force():
+    """Few letters, repeats, empty texts and letters of several bytes, at thresholds with long, short and no pieces."""
+    rng = random.Random(3)
+
+    def lev(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, d in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+        return row[-1]
+
+    for letters in ("ab", "abé中\U0001f600") * 5:
+        some = lambda n: ["".join(rng.choice(letters) for _ in range(rng.randint(0, rng.choice([3, 12, 60])))) for _ in range(n)]  # noqa: B023, E731
+        ys = [*some(12), "ab" * 25, "abb" * 17]
+        xs = [*some(6), *(y[: len(y) // 2] + rng.choice(["", "a"]) + y[len(y) // 2 + 1 :] for y in ys)]
+        apart = {(x, y): lev(x, y) for x in xs for y in ys}
+        assert all(edits.distances(xs, y).tolist() == [apart[x, y] for x in xs] for y in ys)
+        for t in (0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0):
+            want = sorted((x, y, apart[x, y]) for x in xs for y in ys if (1 - apart[x, y] / max(len(x), len(y)) if x or y else 1) >= t - 1e-12)
+            assert sorted(edits.near_pairs(xs, ys, t)) == want
+
+
 def test_candidates_are_joined_to_matches(spark):
     """The restriction to candidates meets the matches, never the index."""
     features = [("A", [0.0, 0.0, 0.0]), ("B", [3.0, 0.0, 0.0]), ("C", [0.0, 4.0, 0.0])]
