@@ -7,6 +7,8 @@ import numpy as np
 #: Letters of one list gone through at once, pairs counted at once, and matches of pieces looked at at once.
 STEP_LETTERS, STEP_PAIRS, STEP_MATCHES = 200_000, 4_000_000, 2_000_000
 
+#: Letters of the texts that are compared to another one at once.
+ROW_LETTERS = 8_000
 #: No letter.
 BETWEEN = 0x110000
 
@@ -151,14 +153,14 @@ def distances(xs: list[str], y: str) -> np.ndarray:
     return len(y) + steps(up) - steps(down)
 
 
-def near_pairs(xs: list[str], ys: list[str], t: float, eps: float = 1e-9):
-    """(x, y, edits) of all pairs with an identity of ``t`` or more."""
+def candidates(xs: list[str], ys: list[str], t: float, eps: float = 1e-9):
+    """(y, some x) of all pairs of ``close_pairs``, with about ``ROW_LETTERS`` of x at once."""
     for i, j in close_pairs(xs, ys, t, eps) if xs and ys else ():
-        for own in np.split(i, np.flatnonzero(np.diff(j)) + 1) if len(i) else ():
-            y = ys[j[0]]
-            j = j[len(own) :]
-            for r in runs([len(xs[k]) for k in own], STEP_LETTERS):
-                some = [xs[k] for k in own[r]]
-                for x, d in zip(some, distances(some, y).tolist()):
-                    if d <= (1 - t) * max(len(x), len(y)) + eps:
-                        yield x, y, d
+        for at in np.split(np.arange(len(j)), np.flatnonzero(np.diff(j)) + 1) if len(j) else ():
+            for r in runs([len(xs[k]) for k in i[at]], ROW_LETTERS):
+                yield ys[j[at[0]]], [xs[k] for k in i[at][r]]
+
+
+def near(y: str, xs: list[str], t: float, eps: float = 1e-9) -> list[tuple[str, str, int]]:
+    """(x, y, edits) of those ``xs`` that have an identity of ``t`` or more to y."""
+    return [(x, y, d) for x, d in zip(xs, distances(xs, y).tolist()) if d <= (1 - t) * max(len(x), len(y)) + eps]

@@ -700,7 +700,7 @@ def test_close_pairs_and_distances_equal_brute_force():
         assert all(edits.distances(xs, y).tolist() == [apart[x, y] for x in xs] for y in ys)
         for t in (0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0):
             want = sorted((x, y, apart[x, y]) for x in xs for y in ys if (1 - apart[x, y] / max(len(x), len(y)) if x or y else 1) >= t - 1e-12)
-            assert sorted(edits.near_pairs(xs, ys, t)) == want
+            assert sorted(pair for y, some in edits.candidates(xs, ys, t) for pair in edits.near(y, some, t)) == want
 
 
 def test_candidates_are_joined_to_matches(spark):
